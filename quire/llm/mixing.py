@@ -21,17 +21,15 @@ separate documents ordered by size; a source of size 0 and an empty table have n
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import WORD, documents, stored
 
 WEIGHTS = (5, 2, 1)
-BLOCK_DOCUMENTS, MOST_BLOCKS = 2048, 65536
+BLOCK_DOCUMENTS, MOST_BLOCKS, SEED = 2048, 65536, 11
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -79,18 +77,19 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-@dataclass
-class Plan:
-    sources: list  # rows: source, n_docs, size, target, blocks
-    shards: int
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+
 
+def _block(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.col("blocks")).cast("int")
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
+def draws(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (with size, source_size, target, source_no, block), block draws, and sources.
 
-def draws(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, shards: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """(documents with size, source_size, target, block), (block draws: source_no, block, copy, shard, and for the cut block the place up to which documents count)."""
+    A draw is source_no, block, copy, shard and, for a source's cut block, the words there is room for.
+    """
     spark = docs.sparkSession
     rows = stored(sized(docs))
     per = sorted(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))  # one row per source
@@ -98,7 +97,7 @@ def draws(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, shards: int | Non
     blocks = [int(min(MOST_BLOCKS, max(1, -(-r["n"] // BLOCK_DOCUMENTS)))) for r in per]
     table = spark.createDataFrame([(i, r["source"], r["size"], float(t), b) for i, (r, t, b) in enumerate(zip(per, want, blocks, strict=True))], "source_no int, _source string, source_size long, target double, blocks int")
     known = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["_source"])).drop("_source")  # one row per source
-    known = known.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
+    known = known.withColumn("block", _block(seed))
     # whole blocks of the last, partial pass, in order of a hash of the block
     sums = known.groupBy("source_no", "block").agg(F.sum("size").alias("block_size"))
     order = W.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", F.lit(seed + 1)), "block")
@@ -124,7 +123,7 @@ def draws(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, shards: int | Non
     drawn = drawn.withColumn("at", at).join(F.broadcast(cuts), "source_no")  # shards x sources numbers
     drawn = drawn.join(last, ["source_no", "block"])
     drawn = drawn.select("source_no", "block", "copy", (F.size(F.filter("ends", lambda e: e < F.col("at")))).alias("shard"), F.when(F.col("copy") > F.col("whole"), F.col("room")).alias("room"))
-    return known, drawn
+    return known, drawn, table
 
 
 def _in_cut_block(rows: DataFrame) -> DataFrame:
@@ -135,7 +134,7 @@ def _in_cut_block(rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: a row doc_id, size, source, copy, shard, place for every time a document is taken."""
-    known, drawn = draws(docs, **how)
+    known, drawn, _ = draws(docs, **how)
     rows = known.join(drawn, ["source_no", "block"])
     whole = rows.filter(F.col("room").isNull()).withColumn("fits", F.lit(True))
     taken = whole.unionByName(_in_cut_block(rows.filter(F.col("room").isNotNull()))).filter("fits")
@@ -143,11 +142,29 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return taken.select("doc_id", "size", "source", "copy", "shard", place.alias("place"))
 
 
+def _per_block(drawn: DataFrame) -> DataFrame:
+    return drawn.groupBy("source_no", "block").agg(F.sum(F.when(F.col("room").isNull(), 1).otherwise(0)).alias("copies"), F.max("room").alias("room"))
+
+
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """Every row of ``docs``, unchanged, as often as the mix takes it; texts are not shuffled."""
+    known, drawn, sources = draws(docs, **how)
+    per_block = stored(_per_block(drawn))
+    cut = known.join(F.broadcast(per_block.filter(F.col("room").isNotNull())), ["source_no", "block"])  # one block per source
+    fits = stored(_in_cut_block(cut).filter("fits").select(F.col("source_no").alias("_no"), F.col("doc_id").alias("_id")).distinct())
+    few = lambda df: F.broadcast(df) if df.count() <= 500_000 else df
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+    rows = rows.join(F.broadcast(sources.select("_source", "source_no", "blocks")), F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", _block(how.get("seed", SEED)))
+    rows = rows.join(few(per_block.select("source_no", "block", "copies")), ["source_no", "block"], "left")
+    rows = rows.join(few(fits.withColumn("one", F.lit(1))), (F.col("source_no") == F.col("_no")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    times = F.coalesce("copies", F.lit(0)) + F.coalesce("one", F.lit(0))
+    return rows.filter(times > 0).select("row", F.explode(F.sequence(F.lit(1), times.cast("int")))).select("row.*")
+
+
 def counted(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs``."""
-    known, drawn = draws(docs, **how)
-    per_block = drawn.groupBy("source_no", "block").agg(F.sum(F.when(F.col("room").isNull(), 1).otherwise(0)).alias("copies"), F.max("room").alias("room"))
-    rows = known.join(per_block, ["source_no", "block"], "left")
+    known, drawn, _ = draws(docs, **how)
+    rows = known.join(_per_block(drawn), ["source_no", "block"], "left")
     cut = _in_cut_block(rows.filter(F.col("room").isNotNull()))
     plain = rows.filter(F.col("room").isNull()).withColumn("fits", F.lit(False))
     times = F.coalesce(F.col("copies"), F.lit(0)) + F.when(F.col("fits"), 1).otherwise(0)
