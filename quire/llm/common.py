@@ -71,6 +71,44 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Recall(dict):
+    """key -> ``of(key)``; takes results in while there is room, and starts anew once far more have passed it by."""
+
+    def __init__(self, of: Callable, bound: int = 400_000):
+        super().__init__()
+        self.of, self.bound, self.passed = of, bound, 0
+
+    def __missing__(self, key):
+        got = self.of(key)
+        if len(self) < self.bound:
+            if len(key) <= 64:
+                self[key] = got
+        else:
+            self.passed += 1
+            if self.passed > 8 * self.bound:
+                self.clear()
+                self.passed = 0
+        return got
+
+
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(kind: str, key, make: Callable):
+    """``make()``, once per Python worker process while the key stays: workers live on from task to task."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT.pop(kind, None)
+        _KEPT[kind] = key, make()
+    return _KEPT[kind][1]
+
+
+def marked_parts(text: str, mark: str, cut: Callable[[str], list[str]], alone: str) -> list[str]:
+    """``cut(text)``, by plain splitting where no two marks meet; ``alone``: the characters that stand by themselves."""
+    if alone != "\n\t\r" or mark + mark in text or any(x in text for x in ("\0", "\t", "\r")):
+        return cut(text)
+    return text.replace(mark, "\0" + mark).replace("\n", "\0\n\0").split("\0")
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))

@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import by_rows, documents
+from quire.llm.common import Recall, by_rows, documents, kept, marked_parts
 
 MARK, UNKNOWN = "▁", 10.0
 
@@ -56,8 +56,9 @@ class Vocabulary:
 
     def _parts(self, inner: set[str]) -> str:
         if any(MARK in p.lstrip(MARK) for p in self.pieces) or not self.byte_pieces:
+            self.alone = ""
             return r"(?s).+"
-        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
+        alone = self.alone = "".join(c for c in "\n\t\r" if c not in inner)
         return rf"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else rf"{MARK}*[^{MARK}]+|{MARK}+"
 
     def count(self, part: str) -> int:
@@ -84,26 +85,17 @@ class Vocabulary:
         return pieces[n]
 
 
-class Counter(dict):
-    """part -> number of tokens, for at most ``bound`` parts at a time."""
+class Counter:
+    """text -> number of tokens."""
 
-    def __init__(self, vocabulary: Vocabulary, bound: int = 250_000):
-        super().__init__()
-        self.vocabulary, self.bound = vocabulary, bound
-
-    def __missing__(self, part: str) -> int:
-        got = self.vocabulary.count(part)
-        if len(part) <= 64:
-            if len(self) >= self.bound:
-                self.clear()
-            self[part] = got
-        return got
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.counts = vocabulary, Recall(vocabulary.count)
 
     def of(self, text: bytes | None) -> int:
         if not text:
             return 0
         marked = MARK + text.decode("utf-8", "replace").replace(" ", MARK)
-        return sum(map(self.__getitem__, self.vocabulary.cut(marked)))
+        return sum(map(self.counts.__getitem__, marked_parts(marked, MARK, self.vocabulary.cut, self.vocabulary.alone)))
 
 
 def token_counts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
@@ -111,7 +103,7 @@ def token_counts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
     def make():
-        counter = Counter(Vocabulary(model_file))
+        counter = kept("token_counts", model_file, lambda: Counter(Vocabulary(model_file)))
         return lambda row: (row[0], counter.of(row[1]))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(by_rows(make, schema), "doc_id long, n_tokens long")
