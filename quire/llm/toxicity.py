@@ -43,19 +43,25 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&"
+_EDGES_TEXT = _EDGES.decode()
 
 
 def swaps(terms=IDENTITY_TERMS) -> dict[bytes, bytes]:
     return {a.encode(): b.encode() for group in terms for a, b in zip(group, group[1:] + group[:1], strict=True)}
 
 
-def word_features(word: bytes) -> np.ndarray:
-    """Sorted distinct feature numbers of one lower-case word."""
-    w = word.decode("utf-8", "replace").strip(_EDGES.decode())
+def feature_numbers(word: bytes) -> list[int]:
+    """Feature numbers of one lower-case word, with repeats."""
+    w = word.decode("utf-8", "replace").strip(_EDGES_TEXT)
     if not w:
-        return np.zeros(0, np.int32)
+        return []
     parts = [f"={w}", *(f"^{w[:k]}" for k in (3, 4, 5) if len(w) >= k), *(f"{w[-k:]}$" for k in (3, 4, 5) if len(w) >= k), *(w[i : i + 4] for i in range(len(w) - 3))]
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(p) >> (64 - BITS) for p in parts], np.int32))
+    return [xxhash.xxh3_64_intdigest(p) >> (64 - BITS) for p in parts]
+
+
+def word_features(word: bytes) -> np.ndarray:
+    """Sorted distinct feature numbers of one lower-case word."""
+    return np.unique(np.array(feature_numbers(word), np.int32))
 
 
 class Memo(dict):
@@ -85,14 +91,8 @@ class Model:
 
     def scorer(self):
         """A function text -> score that looks every distinct word up once."""
-        chosen = np.zeros(1 << BITS, bool)
-        chosen[list(self.place)] = True
-
-        def places(word: bytes) -> tuple:
-            f = word_features(word)
-            return tuple(self.place[i] for i in f[chosen[f]].tolist())
-
-        memo = Memo(places)
+        place = self.place
+        memo = Memo(lambda word: tuple({place[i] for i in feature_numbers(word) if i in place}))
 
         def score(text: bytes | None) -> float:
             found = set()
