@@ -66,7 +66,7 @@ def pymupdf_renderer() -> Callable[[bytes], Iterator[tuple[int, int, bytes]]]:
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (file stem) and md of the Markdown files under ``path``."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)\.[^./]*$", 1).alias("doc_id"), F.col("value").alias("md"))
 
 
