@@ -14,7 +14,9 @@ Frequent are the ``most_frequent`` tokens with the greatest counts that blocks o
 block (a task's next few million tokens, equal sets once) reports all it has seen twice or more.  The
 list only moves tokens to the end of the order; any list gives the same links.
 
-Candidates are checked in two rounds, each exact on whole sets.  First every indexed set meets the
+Candidates are checked in two rounds, each exact on whole sets.  A parity sketch of each set, about
+one bit per token, comes first: sketches differ in at most as many bits as the sets in tokens, so a
+pair whose sketches differ too much cannot link, and whole sets are only fetched for the rest.  First every indexed set meets the
 least one of its bucket, which is linear in the index, and links join components.  Then the pairs of
 a bucket whose sets lie in different components meet; within a component nothing is left to find, so
 a group of near copies never becomes all its pairs.
@@ -34,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, documents, shingle_set, stored
+from quire.llm.common import WordHashes, documents, scramble, shingle_set, stored
 from quire.llm.components import components
 
 NUMBER, PERCENT = 5, 80
 #: sets of at most PAIRS_TO tokens index pairs of frequent tokens, those above SINGLES_FROM single ones
 PAIRS_TO, SINGLES_FROM = 150, 119
 BLOCK = 4_000_000
+#: ids and keys are broadcast up to this number (some MB), beyond it joined by a shuffle
+FEW = 500_000
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,39 +129,58 @@ def _signatures(frequent: np.ndarray):
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    names=["doc_id", "n", "same", "keys"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([parity_sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                    names=["doc_id", "n", "same", "sketch", "keys"],
                 )
 
     return run
 
 
-def _seen(ids: DataFrame, bits: int = 23) -> bytes:
-    """A one-hash filter of the ids, 2**bits bits whatever their number; it only spares work."""
-    h = f"pmod(xxhash64(id), {1 << bits})"
-    words = ids.select(F.expr(f"{h} div 64").alias("w"), F.expr(f"shiftleft(1L, cast({h} % 64 as int))").alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return table.tobytes()
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """Bit ``i`` tells whether an odd number of tokens hash to ``i``; a power of two of bits, about one per token."""
+    bits = max(64, 1 << int(len(tokens)).bit_length())
+    odd = np.bincount((scramble(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """At most the size of the symmetric difference of the sets; the longer sketch is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _plausible(percent: int):
+    """Pairs (a, b) whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            # of n1 + n2 tokens, linked sets have at most this share on one side only
+            ok = [(100 + percent) * sketch_distance(s, t) <= (100 - percent) * (m + n) for m, n, s, t in zip(na, nb, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A broadcast of ``ids`` where they are few, else a hash join's build side."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids.hint("shuffle_hash")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and token set (binary) of the documents named by ``ids``."""
-    shared = docs.sparkSession.sparkContext.broadcast(_seen(ids))  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), np.frombuffer(shared.value, np.uint64)
+        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                h = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-                hit = (table[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) == 1
-                part = part.filter(pa.array(hit))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_set(t, hashes).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "tokens"])
 
-    rows = _texts(docs).filter(F.col("doc_id").isNotNull()).withColumn("h", F.expr(f"pmod(xxhash64(doc_id), {1 << 23})"))
-    return rows.mapInArrow(run, "id long, tokens binary").join(ids, "id", "left_semi")
+    rows = _texts(docs).filter(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id")
+    return rows.join(_few(ids), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens binary")
 
 
 def _verify(percent: int):
@@ -184,37 +207,37 @@ def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct())
 
 
-def _of_like_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose set sizes allow a link."""
-    low, high = sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-    both = pairs.join(low, "a").join(high, "b")
-    return both.filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
+def _likely(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different ids whose set sizes and sketches allow a link."""
+    low, high = (leads.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b"))
+    both = pairs.distinct().join(low, "a").join(high, "b")
+    both = both.filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b", "na", "nb", "sa", "sb")
+    return stored(both.mapInArrow(_plausible(percent), "a long, b long").distinct())
 
 
 def join(docs: DataFrame, percent: int = PERCENT, **how) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, **how))  # 2 MB at most
-    rows = stored(_texts(docs).mapInArrow(lambda it: _signatures(shared.value)(it), "doc_id long, n long, same binary, keys array<long>"))
+    rows = stored(_texts(docs).mapInArrow(lambda it: _signatures(shared.value)(it), "doc_id long, n long, same binary, sketch binary, keys array<long>"))
     good = rows.filter(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
     groups = stored(good.groupBy("same").agg(F.min("doc_id").alias("id")))
-    leads = good.join(groups.select("same", F.col("id").alias("doc_id")), ["same", "doc_id"], "left_semi")
-    sizes = stored(leads.select(F.col("doc_id").alias("id"), "n").distinct())
-    index = leads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    leads = good.join(groups.select("same", F.col("id").alias("doc_id")), ["same", "doc_id"], "left_semi").withColumnRenamed("doc_id", "id")
+    sketches = stored(leads.select("id", "n", "sketch").distinct())
+    index = leads.select(F.explode("keys").alias("key"), "id")
     buckets = stored(index.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high"))
-    large = buckets.filter("size > 2")
-    members = stored(index.join(large.select("key", "low"), "key"))
-    star = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b"))).distinct()
-    star = stored(_of_like_size(star, sizes, percent))
-    links = _linked(docs, star, percent)
+    members = stored(index.join(_few(buckets.filter("size > 2").select("key", "low")), "key"))
+    star = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    star = stored(star.distinct())
+    links = _linked(docs, _likely(star, sketches, percent), percent)
     parts = stored(components(links))
     known = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
     mixed = known.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
-    rest = stored(known.join(mixed, "key").select("key", "id", "part").join(sizes, "id"))
+    rest = stored(known.join(mixed, "key").select("key", "id", "part").join(sketches.select("id", "n"), "id"))
     x = rest.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
     y = rest.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
     more = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
     more = stored(more.join(star, ["a", "b"], "left_anti"))
-    links = links.unionByName(_linked(docs, more, percent))
+    links = links.unionByName(_linked(docs, _likely(more, sketches, percent), percent))
     # equal sets under other ids and the least id of each group
     whole = components(links.unionByName(good.join(groups, "same").filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()))
     return rows.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
