@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 from quire.llm.common import documents, shared_dir
 
 SEGMENT = 1 << 21
-ROUNDS, PER_ROUND, LEAST = 3, 5000, 12
+ROUNDS, PER_ROUND, LEAST, SLOTS = 3, 5000, 12, 19
 FIRST_RULE = 50257
 #: Unicode White_Space, which the pre-tokeniser's \s means
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PARTS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+#: white space other than blank and newline, or the sign used for cutting
+_ODD = re.compile("[\\0" + _BLANK.replace("\t-\r ", "\t\x0b-\r") + "]").search
 FORMAT = "shard int, segment int, doc_ids array<long>, sizes array<long>, rounds array<int>, rules binary, lengths binary, symbols binary"
 _ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("rounds", pa.list_(pa.int32())), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())])
 
@@ -56,28 +58,59 @@ def default_tokenizer() -> str:
 class Encoder:
     """text -> ids as little-endian 16-bit bytes, equal to the library's ids of the whole text."""
 
-    def __init__(self, tokenizer_file: str | None = None, bound: int = 250_000):
+    def __init__(self, tokenizer_file: str | None = None, bound: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(tokenizer_file or default_tokenizer())
-        self.memo, self.bound = {}, bound
+        self.memo, self.bound, self.passed = {}, bound, 0
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        parts = [_PARTS.findall(t.decode("utf-8", "replace")) if t else [] for t in texts]
-        if len(self.memo) >= self.bound:
-            self.memo.clear()
-        memo = self.memo
-        new = list({p for row in parts for p in row if p not in memo})
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts that the memo lacks; it takes them in while there is room, and starts anew when most pass it by."""
+        new, found = list(parts), {}
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, np.uint16).tobytes()
-        return [b"".join(map(memo.__getitem__, row)) for row in parts]
+            found |= {p: np.array(e.ids, np.uint16).tobytes() for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
+        if len(self.memo) + len(found) <= self.bound:
+            self.memo |= found
+        else:
+            self.passed += len(found)
+            if self.passed > 8 * self.bound:
+                self.memo, self.passed = {}, 0
+        return found
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        # plain splitting is enough where single blanks and single newlines are the only white space
+        if text and not _ODD(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
+            return text.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n").split("\0")
+        return _PARTS.findall(text)
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        rows = [self.parts(t.decode("utf-8", "replace")) if t else [] for t in texts]
+        got = [list(map(self.memo.get, row)) for row in rows]
+        missing = {p for row, ids in zip(rows, got, strict=True) if None in ids for p, i in zip(row, ids, strict=True) if i is None}
+        if missing:
+            found = self._learn(missing)
+            got = [[found[p] if i is None else i for p, i in zip(row, ids, strict=True)] if None in ids else ids for row, ids in zip(rows, got, strict=True)]
+        return list(map(b"".join, got))
+
+
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def encoder(tokenizer_file: str | None) -> Encoder:
+    """The process's encoder: a Python worker keeps its memo from task to task."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """(rules of each round, rules as pairs, expansion lengths, symbols) of 16-bit ``ids``."""
+    """(rules of each round, rules as pairs, expansion lengths, symbols) of 16-bit ``ids``.
+
+    Pairs are counted in hashed slots; a slot counts the pair that it met last and that pair alone.
+    """
     seq, rules, made, lengths = ids.astype(np.uint16), [], [], np.ones(1 << 16, np.uint32)
     first = FIRST_RULE
     for _ in range(rounds):
@@ -85,40 +118,35 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND,
         if len(seq) < 2 or room <= 0:
             break
         key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        slot = (key * np.uint32(2654435761)) >> np.uint32(12)  # 2**20 slots
-        count = np.bincount(slot, minlength=1 << 20)
-        often = count >= least
-        if int(often.sum()) > 2 * room:
-            often = count >= np.partition(count, -2 * room)[-2 * room]
-        pairs, times = np.unique(key[often[slot]], return_counts=True)
-        order = np.lexsort((pairs, -times))[:room]
-        order = order[times[order] >= least]
-        if not len(order):
+        slot = ((key * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)).astype(np.int32)
+        pair = np.zeros(1 << SLOTS, np.uint32)
+        pair[slot] = key
+        own = pair[slot] == key
+        count = np.bincount(slot[own], minlength=1 << SLOTS)
+        some = np.flatnonzero(count >= least)
+        if not len(some):
             break
-        chosen = pairs[order]
-        # rank of the rule at every place, found through the slots
-        by_key = np.argsort(chosen)
-        sorted_pairs = chosen[by_key]
-        rank = np.full(len(key), len(chosen), np.uint32)
-        member = np.zeros(1 << 20, bool)
-        member[(chosen * np.uint32(2654435761)) >> np.uint32(12)] = True
-        maybe = np.flatnonzero(member[slot])
-        at = np.minimum(np.searchsorted(sorted_pairs, key[maybe]), len(chosen) - 1)
-        hit = sorted_pairs[at] == key[maybe]
-        rank[maybe[hit]] = by_key[at[hit]]
-        before = np.concatenate([[len(chosen)], rank[:-1]])
-        after = np.concatenate([rank[1:], [len(chosen)]])
-        use = np.flatnonzero((rank < len(chosen)) & (rank < before) & (rank <= after))
+        if len(some) > room:
+            some = some[np.argpartition(count[some], -room)[-room:]]
+        some = some[np.lexsort((pair[some], -count[some]))]
+        chosen, none = pair[some], len(some)
+        rank_of = np.full(1 << SLOTS, none, np.uint16)
+        rank_of[some] = np.arange(none)
+        rank = np.where(own, rank_of[slot], np.uint16(none))
+        use = rank < none
+        use[1:] &= rank[1:] < rank[:-1]
+        use[:-1] &= rank[:-1] <= rank[1:]
+        at = np.flatnonzero(use)
         out = seq.copy()
-        out[use] = (first + rank[use]).astype(np.uint16)
+        out[at] = (first + rank[at]).astype(np.uint16)
         keep = np.ones(len(seq), bool)
-        keep[use + 1] = False
+        keep[at + 1] = False
         seq = out[keep]
         left, right = (chosen >> np.uint32(16)).astype(np.uint16), chosen.astype(np.uint16)
-        lengths[first : first + len(chosen)] = lengths[left] + lengths[right]
+        lengths[first : first + none] = lengths[left] + lengths[right]
         rules.append(np.stack([left, right], 1))
-        made.append(len(chosen))
-        first += len(chosen)
+        made.append(none)
+        first += none
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
     return made, pairs, lengths[FIRST_RULE:first], seq
 
@@ -149,7 +177,7 @@ def read_slice(made: list[int], pairs: np.ndarray, lengths: np.ndarray, symbols:
 
 def _encode(tokenizer_file: str | None, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, number = Encoder(tokenizer_file), TaskContext.get().partitionId(), 0
+        encode, shard, number = encoder(tokenizer_file), TaskContext.get().partitionId(), 0
         ids, docs, sizes, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
