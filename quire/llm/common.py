@@ -102,11 +102,19 @@ def kept(kind: str, key, make: Callable):
     return _KEPT[kind][1]
 
 
-def marked_parts(text: str, mark: str, cut: Callable[[str], list[str]], alone: str) -> list[str]:
-    """``cut(text)``, by plain splitting where no two marks meet; ``alone``: the characters that stand by themselves."""
-    if alone != "\n\t\r" or mark + mark in text or any(x in text for x in ("\0", "\t", "\r")):
-        return cut(text)
-    return text.replace(mark, "\0" + mark).replace("\n", "\0\n\0").split("\0")
+def marked_parts(text: bytes, mark: str, cut: Callable[[str], list[str]], alone: str) -> list[bytes]:
+    """``cut`` of the text with a mark in front and for each blank, as bytes with blanks for marks.
+
+    Plain splitting does where no two marks meet; ``alone``: the characters that stand by themselves.
+    """
+    text = b" " + text
+    if alone != "\n\t\r" or any(x in text for x in (b"  ", b"\0", b"\t", b"\r")):
+        return [p.replace(mark, " ").encode() for p in cut(text.decode("utf-8", "replace").replace(" ", mark))]
+    return text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0")
+
+
+def with_marks(part: bytes, mark: str) -> str:
+    return part.decode("utf-8", "replace").replace(" ", mark)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

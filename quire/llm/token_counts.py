@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Recall, by_rows, documents, kept, marked_parts
+from quire.llm.common import Recall, by_rows, documents, kept, marked_parts, with_marks
 
 MARK, UNKNOWN = "▁", 10.0
 
@@ -89,13 +89,13 @@ class Counter:
     """text -> number of tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.counts = vocabulary, Recall(vocabulary.count)
+        self.vocabulary = vocabulary
+        self.counts = Recall(lambda part: vocabulary.count(with_marks(part, MARK)))
 
     def of(self, text: bytes | None) -> int:
         if not text:
             return 0
-        marked = MARK + text.decode("utf-8", "replace").replace(" ", MARK)
-        return sum(map(self.counts.__getitem__, marked_parts(marked, MARK, self.vocabulary.cut, self.vocabulary.alone)))
+        return sum(map(self.counts.__getitem__, marked_parts(text, MARK, self.vocabulary.cut, self.vocabulary.alone)))
 
 
 def token_counts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
