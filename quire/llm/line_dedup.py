@@ -14,7 +14,7 @@ bit-parallel band written in higher-order functions gives the same verdicts at m
 
 Verification has two rounds.  First every text of a bucket meets the earliest text of the bucket:
 linear in the index, and enough to drop nearly all of a group of copies.  Texts that are not dropped
-then meet all earlier texts of their buckets.
+then meet all earlier texts of their buckets; blocks of texts meet as rows, so no pairs are emitted.
 
 Defined cases: a null text has no lines and stays null; an empty text stays empty; ``keep`` leaves out
 a document all of whose words went, while one that never had any stays; rows with equal ids count as
@@ -32,6 +32,8 @@ from quire.llm.common import WORD, documents, stored
 EDITS, LEAST = 2, 40
 #: ids are broadcast up to this number (a few MB), beyond it joined by a shuffle
 FEW = 500_000
+#: texts of a bucket that are compared as one row
+BLOCK = 128
 
 
 def _segments(n: str, k: int) -> list[tuple[str, str]]:
@@ -47,16 +49,15 @@ def _segments(n: str, k: int) -> list[tuple[str, str]]:
 
 
 def keys(k: int) -> Column:
-    """Structs (key, indexed): the keys of the segments of ``text``, then the other places it probes."""
-    index = [f"xxhash64(n, {i}, substring(text, cast({s} as int), cast({size} as int)))" for i, (s, size) in enumerate(_segments("n", k))]
-    probes = []
+    """Structs (key, indexed): the keys of the segments of ``text``, then those of the other places it probes."""
+    places = [("true", 0, i, s, size) for i, (s, size) in enumerate(_segments("n", k))]
     for d in range(k + 1):  # the indexed text is d shorter
         for i, (s, size) in enumerate(_segments(f"(n - {d})", k)):
             # at most i edits lie to the left of segment i and k - i to its right
-            places = range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)
-            probes += [f"xxhash64(n - {d}, {i}, substring(text, cast({s} + ({o}) as int), cast({size} as int)))" for o in places if d or o]
-    own, other = F.array(*map(F.expr, index)), F.array(*map(F.expr, probes))
-    return F.concat(F.transform(own, lambda x: F.struct(x.alias("key"), F.lit(True).alias("indexed"))), F.transform(F.array_except(other, own), lambda x: F.struct(x.alias("key"), F.lit(False).alias("indexed"))))
+            places += [("false", d, i, f"({s} + ({o}))", size) for o in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1) if d or o]
+    of = lambda form: "array(" + ", ".join(f"struct(xxhash64(n - {d}, {i}, substring({form}, cast({s} as int), cast({size} as int))) as key, {own} as indexed)" for own, d, i, s, size in places) + ")"
+    # where characters are bytes, places are found without counting characters; the hash is of bytes either way
+    return F.expr(f"if(octet_length(text) = n, {of('cast(text as binary)')}, {of('text')})")
 
 
 def _id(docs: DataFrame) -> Column:
@@ -90,19 +91,31 @@ def _within(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 def near_lines(texts: DataFrame, k: int = EDITS) -> DataFrame:
     """Ids of ``texts`` (id, text, n; all different) that have an earlier text within ``k`` edits."""
-    posts = texts.select("id", F.inline(keys(k)))
+    own = texts.select("id", keys(k).alias("posts")).select("id", F.inline("posts"))
     kinds = [F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or("indexed").alias("any_indexed"), F.count("*").alias("size")]
-    buckets = stored(posts.groupBy("key").agg(*kinds).filter("any_indexed and low != high"))
-    large = buckets.filter("size > 2").select("key", "low")
-    members = stored(posts.join(F.broadcast(large) if large.count() <= FEW else large, "key"))
+    buckets = stored(own.groupBy("key").agg(*kinds).filter("any_indexed and low != high"))
+    large = buckets.filter("size > 2").select("key", "low", "size")
+    members = stored(own.join(F.broadcast(large) if large.count() <= FEW else large, "key"))
     star = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
     gone = _within(stored(star.distinct()), texts, k)
-    # what is left meets all earlier texts of its buckets
-    rows = members.filter("id != low").select("key", "id", "indexed")
-    left = rows.join(gone, "id", "left_anti").select("key", F.col("id").alias("b"), F.col("indexed").alias("ib"))
-    early = rows.select("key", F.col("id").alias("a"), F.col("indexed").alias("ia"))
-    rest = left.join(early, "key").filter("a < b and (ia or ib)").select("a", "b").distinct()
-    return gone.unionByName(_within(stored(rest), texts, k))
+    # what is left meets all earlier texts of its buckets, block by block
+    rows = members.filter("id != low").select("key", "id", "indexed", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block"))
+    left = stored(rows.join(gone, "id", "left_anti"))
+    early = rows.join(left.select("key").distinct(), "key", "left_semi")
+    ids = stored(early.select("id").distinct())
+    some = stored(_of_ids(texts.select("id", "text", "n"), ids))
+
+    def blocks(df: DataFrame, number: str, name: str) -> DataFrame:
+        """About BLOCK texts as one row."""
+        texts_of = df.join(some, "id").repartition("key", "block").groupBy("key", "block").agg(F.collect_list(F.struct("id", "indexed", "n", "text")).alias(name))
+        return texts_of.withColumnRenamed("block", number)
+
+    pairs = left.select("key", F.col("block").alias("b1")).distinct().join(early.select("key", F.col("block").alias("b2")).distinct(), "key")
+    close = lambda x, y: (y["id"] < x["id"]) & (x["indexed"] | y["indexed"]) & (F.abs(x["n"] - y["n"]) <= k) & (F.levenshtein(x["text"], y["text"], k) >= 0)
+    found = F.filter("mine", lambda x: F.exists("others", lambda y: close(x, y)))
+    met = pairs.join(blocks(left, "b1", "mine"), ["key", "b1"]).join(blocks(early, "b2", "others"), ["key", "b2"])
+    more = met.select(F.explode(F.transform(found, lambda x: x["id"])).alias("id"))
+    return gone.unionByName(stored(more.distinct())).distinct()
 
 
 def dropped(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -137,5 +150,16 @@ def keep(docs: DataFrame, **how) -> DataFrame:
     return rows.select(*docs.columns)
 
 
+ORACLE_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+k AS (SELECT *, length(t) AS n FROM l WHERE length(t) >= {LEAST}),
+g AS (SELECT t, n, min((doc_id, i)) AS first FROM k GROUP BY t, n),
+near AS (SELECT DISTINCT a.t FROM g a JOIN g b ON b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS} AND b.first < a.first WHERE levenshtein(a.t, b.t) <= {EDITS}),
+f AS (SELECT k.doc_id, count(*) FILTER (WHERE (k.doc_id, k.i) <> g.first) AS n_equal, count(*) FILTER (WHERE (k.doc_id, k.i) = g.first AND near.t IS NOT NULL) AS n_near
+  FROM k JOIN g ON g.t = k.t LEFT JOIN near ON near.t = k.t GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(documents(spark, sf_dir))
