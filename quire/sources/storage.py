@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import os
 import tempfile
@@ -16,13 +17,15 @@ from pyspark.sql import functions as F
 PAGES = "doc_id string, page_num int, width int, height int, png binary"
 
 
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="quire-")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that nothing upstream runs twice."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     path = f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,9 @@
-"""Results of Spark and DuckDB as comparable sorted lists."""
+"""Where things are, and results of Spark and DuckDB as comparable sorted lists."""
+
+import os
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+SF = "/root/testdata/sf0.001"
 
 
 def plain(v):

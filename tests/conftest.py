@@ -6,7 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{os.environ.get('PYTHONPATH', '')}"
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -31,6 +30,7 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from compare import SF
 
     c = duckdb.connect()
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():

@@ -2,7 +2,7 @@ import ast
 import os
 
 import pytest
-from conftest import ROOT
+from compare import ROOT
 from pyspark.sql import functions as F
 
 from quire.plans import conversion, models

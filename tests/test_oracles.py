@@ -1,6 +1,5 @@
 import pytest
-from compare import duck_rows, spark_rows
-from conftest import SF
+from compare import SF, duck_rows, spark_rows
 
 from quire import catalog
 
