@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """text -> ids as little-endian 16-bit bytes, equal to the library's ids of the whole text."""
 
-    def __init__(self, tokenizer_file: str | None = None, bound: int = 500_000):
+    def __init__(self, tokenizer_file: str | None = None, bound: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -70,7 +71,7 @@ class Encoder:
         new, found = list(parts), {}
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            found |= {p: np.array(e.ids, np.uint16).tobytes() for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
+            found |= {p: array("H", e.ids).tobytes() for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
         if len(self.memo) + len(found) <= self.bound:
             self.memo |= found
         else:
