@@ -10,16 +10,17 @@ under each rare token of its 2-prefix and under each pair of frequent tokens.  L
 pairs would be many, are indexed under the frequent tokens of the 1-prefix instead; sets of a size
 that may meet both kinds have both.
 
-Frequent are the ``most_frequent`` tokens with the greatest counts that blocks of the corpus report: a
+Frequent are the (at most 2**18) tokens with the greatest counts that blocks of the corpus report: a
 block (a task's next few million tokens, equal sets once) reports all it has seen twice or more.  The
 list only moves tokens to the end of the order; any list gives the same links.
 
 Candidates are checked in two rounds, each exact on whole sets.  A parity sketch of each set, about
 one bit per token, comes first: sketches differ in at most as many bits as the sets in tokens, so a
 pair whose sketches differ too much cannot link, and whole sets are only fetched for the rest.  First every indexed set meets the
-least one of its bucket, which is linear in the index, and links join components.  Then the pairs of
-a bucket whose sets lie in different components meet; within a component nothing is left to find, so
-a group of near copies never becomes all its pairs.
+least one of its bucket, which is linear in the index, and links join components.  Then the sets of
+a bucket that lie in different components meet, block against block, and only pairs whose sketches
+allow a link leave the blocks; within a component nothing is left to find, so a group of near copies
+never becomes all its pairs.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer than five
 words are one shingle; rows with equal ids are one node with the links of each of their texts; a row
@@ -36,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, documents, scramble, shingle_set, stored
+from quire.llm.common import WordHashes, documents, most_frequent, scramble, shingle_set, stored
 from quire.llm.components import components
 
 NUMBER, PERCENT = 5, 80
 #: sets of at most PAIRS_TO tokens index pairs of frequent tokens, those above SINGLES_FROM single ones
 PAIRS_TO, SINGLES_FROM = 150, 119
 BLOCK = 4_000_000
+#: sets of a bucket that meet as one row
+BLOCK_SETS = 256
 #: ids and keys are broadcast up to this number (some MB), beyond it joined by a shuffle
 FEW = 500_000
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -85,11 +88,12 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def frequent_tokens(docs: DataFrame, least: int = 16, most_frequent: int = 1 << 18) -> np.ndarray:
-    """At most ``most_frequent`` tokens, most frequent last."""
+def frequent_tokens(docs: DataFrame, least: int = 16, most: int = 1 << 18) -> np.ndarray:
+    """At most ``most`` tokens, most frequent last."""
     found = _texts(docs).mapInArrow(_report, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    top = found.orderBy(F.desc("n"), "token").limit(most_frequent).select("token").toArrow()
-    return top.column(0).to_numpy().view(np.uint64)[::-1].copy()
+    top = most_frequent(stored(found), most).toArrow()
+    token, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    return token[np.lexsort((token, n))]
 
 
 def index_keys(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -164,6 +168,50 @@ def _plausible(percent: int):
     return run
 
 
+def _by_length(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Words of a sketch -> (places, matrix) of the sketches that long."""
+    lengths = np.array([len(s) // 8 for s in sketches])
+    return {int(n): (at := np.flatnonzero(lengths == n), np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(-1, n)) for n in np.unique(lengths)}
+
+
+def _meet(percent: int):
+    """Pairs (a, b) of two blocks in different components whose sizes and sketches allow a link.
+
+    Sets that share one key share many; a pair leaves a task once, as long as the task remembers it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one, two = batch.column("mine")[row].values, batch.column("others")[row].values
+                (i1, p1, n1), (i2, p2, n2) = ([v.field(c).to_numpy(zero_copy_only=False) for c in ("id", "part", "n")] for v in (one, two))
+                found = []
+                longer = _by_length(two.field("sketch").to_pylist())
+                for size, (at, x) in _by_length(one.field("sketch").to_pylist()).items():
+                    for size2, (at2, y) in longer.items():
+                        if not size <= 2 * size2 <= 4 * size:  # sets of a like size have sketches of like length
+                            continue
+                        n = min(size, size2)
+                        u, v = (np.bitwise_xor.reduce(m.reshape(len(m), -1, n), axis=1) for m in (x, y))
+                        total = n1[at][:, None] + n2[at2][None, :]
+                        ok = (p1[at][:, None] != p2[at2][None, :]) & (100 * n1[at][:, None] >= percent * n2[at2][None, :]) & (100 * n2[at2][None, :] >= percent * n1[at][:, None])
+                        apart = np.zeros(ok.shape, np.int64)
+                        for word in range(n):
+                            apart += np.bitwise_count(u[:, None, word] ^ v[None, :, word])
+                        j, k = np.nonzero(ok & ((100 + percent) * apart <= (100 - percent) * total))
+                        found.append(np.stack([i1[at[j]], i2[at2[k]]], 1))
+                pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                new = {(min(p), max(p)) for p in pairs.tolist()} - told
+                if len(told) > 1_000_000:
+                    told.clear()
+                told |= new
+                pairs = np.array(sorted(new), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """A broadcast of ``ids`` where they are few, else a hash join's build side."""
     return F.broadcast(ids) if ids.count() <= FEW else ids.hint("shuffle_hash")
@@ -231,13 +279,17 @@ def join(docs: DataFrame, percent: int = PERCENT, **how) -> DataFrame:
     links = _linked(docs, _likely(star, sketches, percent), percent)
     parts = stored(components(links))
     known = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
-    mixed = known.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
-    rest = stored(known.join(mixed, "key").select("key", "id", "part").join(sketches.select("id", "n"), "id"))
-    x = rest.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
-    y = rest.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
-    more = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
+    mixed = known.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.first("low").alias("low"), F.count("*").alias("size")).filter("p != q")
+    # buckets with one least id hold much the same sets: they are cut alike and their blocks go to the same tasks
+    cut = stored(mixed.groupBy("low").agg(F.ceil(F.max("size") / BLOCK_SETS).alias("blocks")).join(mixed.select("low", "key"), "low"))
+    rest = known.drop("low").join(cut, "key").join(sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    blocks = stored(rest.repartition("low", "block").groupBy("low", "key", "block", "blocks").agg(F.collect_list(F.struct("id", "part", "n", "sketch")).alias("sets")))  # about BLOCK_SETS sets
+    within = blocks.select(F.col("sets").alias("mine"), F.col("sets").alias("others"))
+    one, two = (blocks.filter("blocks > 1").select("low", "key", F.col("block").alias(b), F.col("sets").alias(name)) for b, name in (("b1", "mine"), ("b2", "others")))
+    across = one.join(two, ["low", "key"]).filter("b1 < b2").repartition("low", "b1", "b2").select("mine", "others")
+    more = within.mapInArrow(_meet(percent), "a long, b long").unionByName(across.mapInArrow(_meet(percent), "a long, b long")).distinct()
     more = stored(more.join(star, ["a", "b"], "left_anti"))
-    links = links.unionByName(_linked(docs, _likely(more, sketches, percent), percent))
+    links = links.unionByName(_linked(docs, more, percent))
     # equal sets under other ids and the least id of each group
     whole = components(links.unionByName(good.join(groups, "same").filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()))
     return rows.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -249,5 +301,17 @@ def keep(docs: DataFrame, **how) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, p.v FROM r JOIN p ON p.u = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN c ON c.node = doc_id"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
