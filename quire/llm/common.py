@@ -43,6 +43,26 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def least_hashed(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the least hash of ``key``; hardly more than them are sorted, however many there are."""
+    total, h = df.count(), F.xxhash64(key)
+    if total > 4 * most:
+        df = df.filter(h < int((1 << 64) * 2 * most / total) - (1 << 63))
+    return df.orderBy(h, key).limit(most)
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of ``counts`` (with a column ``n``) with the greatest ``n``: whole levels, an eighth of a doubling wide, as far as they make ``most`` rows."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    taken, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), reverse=True):  # some hundred levels at most
+        taken += r["rows"]
+        if taken > most:
+            break
+        least = r["level"]
+    return counts.filter(level >= least) if least is not None else counts.limit(0)
+
+
 def by_rows(make: Callable[[], Callable[[tuple], tuple]], schema: pa.Schema, step: int = 256):
     """A ``mapInArrow`` function from ``make()``, which builds per task a function row -> row."""
 

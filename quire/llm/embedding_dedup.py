@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import least_hashed, stored
 from quire.llm.components import components
 
 TILE = 1024
@@ -37,7 +37,7 @@ LEAD = 16
 def principal_axes(rows: DataFrame, sample: int = 2048) -> dict[int, np.ndarray]:
     """Rotation by dimension from at most ``sample`` vectors, those with the smallest hash of the id."""
     by_dim: dict[int, list[np.ndarray]] = {}
-    for r in rows.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect():
+    for r in least_hashed(rows.filter(F.col("embedding").isNotNull()), "vec_id", sample).select("embedding").collect():
         if None in r[0] or not r[0]:
             continue
         v = np.array(r[0], np.float64)
@@ -165,7 +165,7 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, sample: int = 2048) -> Da
     own = stored(own)
     sizes = own.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tiles = own.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
-    tiles = stored(tiles.groupBy(*cell, "tile").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n", "raw"))).alias("rows")))  # about TILE rows
+    tiles = stored(tiles.repartition(*cell, "tile").groupBy(*cell, "tile").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n", "raw"))).alias("rows")))  # about TILE rows
     names = tiles.select(*cell, "tile")
     steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
     near = names.withColumn("step", F.explode(steps)).select("label", "dim", (F.col("c0") + F.col("step.x")).alias("d0"), (F.col("c1") + F.col("step.y")).alias("d1"), "c0", "c1", "tile")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, by_rows, documents, fold, scramble
+from quire.llm.common import WordHashes, by_rows, documents, fold, least_hashed, scramble
 
 BITS = 18
 _SHAPE = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|(.)\1*", re.S)
@@ -180,7 +180,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, k: int, hel
     The label rows are cut first, by the smallest hash of the id, so only their texts are read on.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("label")).filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("_id"), k) != held))
-    parts = [known.filter(F.col("label") == c).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class) for c in (0, 1)]
+    parts = [least_hashed(known.filter(F.col("label") == c), "_id", max_per_class) for c in (0, 1)]
     few = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * max_per_class rows of two integers at most
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(few, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
 

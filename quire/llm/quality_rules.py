@@ -30,6 +30,8 @@ from quire.llm.common import WordHashes, by_rows, documents, stored, windows
 _NOT_COUNTED = b" \t\n\r\x0b\x0c" + bytes(range(0x80, 0xC0))
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: estimates (some 300 bytes each) are broadcast up to this number, beyond it joined by a shuffle
+FEW_GROUPS = 20_000
 #: the transformed statistics, each with the least spread that counts as real
 SPREAD = {"log_words": 0.7, "word_length": 1.0, "symbols": 0.4, "dup_lines": 0.5, "repeats": 0.1}
 
@@ -124,16 +126,18 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 3, least: int = 30) -
 
         return one
 
+    # a row per group: broadcast where groups are few, so that no group's rows meet in one task
+    small = F.broadcast if table.count() <= FEW_GROUPS else lambda df: df
     for _ in range(steps):
-        far = each.join(table, "key").withColumn("distance", _distance(names))
+        far = each.join(small(table), "key").withColumn("distance", _distance(names))
         cut = far.groupBy("key").agg(F.percentile_approx("distance", share, 1000).alias("cut"))
-        near = far.join(cut, "key").filter(F.col("distance") <= F.col("cut"))
+        near = far.join(small(cut), "key").filter(F.col("distance") <= F.col("cut"))
         table = stored(_moments(near, names, ["key"]).select("key", *fields).mapInArrow(by_rows(make, schema), "key string, centre array<double>, inverse array<double>"))
     # the finest level that has an estimate
     found = rows
     for i, level in enumerate(levels):
         own = table.select(F.col("key").alias(f"k{i}"), F.struct("centre", "inverse").alias(f"e{i}"))
-        found = found.withColumn(f"k{i}", key(level)).join(own, f"k{i}", "left")
+        found = found.withColumn(f"k{i}", key(level)).join(small(own), f"k{i}", "left")
     best = F.coalesce("e0", "e1", "e2")
     return found.withColumn("centre", best["centre"]).withColumn("inverse", best["inverse"]).withColumn("distance", F.coalesce(_distance(names), F.lit(0.0))).drop("centre", "inverse", "k0", "k1", "k2", "e0", "e1", "e2")
 
