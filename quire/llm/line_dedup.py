@@ -8,9 +8,8 @@ Equal lines are grouped first; a group stands for its first occurrence.  A group
 ``EDITS + 1`` segments; of two texts within ``EDITS`` edits, the longer has one segment of the shorter
 as it stands, at a place that the length difference bounds.  So each text is indexed under its
 segments (length, segment number, hash) and probes, for every length from ``EDITS`` below its own,
-the substrings at those places.  Pairs that meet are verified on their whole texts by edit distance
-in a band of ``EDITS`` around the diagonal (the built-in ``levenshtein`` with a threshold; a
-bit-parallel band written in higher-order functions gives the same verdicts at many times the cost).
+the substrings at those places.  Pairs that meet are verified on their whole texts by a bit-parallel
+edit distance in a band of ``EDITS`` around the diagonal.
 
 Verification has two rounds.  First every text of a bucket meets the earliest text of the bucket:
 linear in the index, and enough to drop nearly all of a group of copies.  Texts that are not dropped
@@ -32,6 +31,8 @@ from quire.llm.common import WORD, documents, stored
 EDITS, LEAST = 2, 40
 #: ids are broadcast up to this number (a few MB), beyond it joined by a shuffle
 FEW = 500_000
+#: characters that a comparison reads first
+EARLY = 24
 #: texts of a bucket that are compared as one row
 BLOCK = 128
 
@@ -48,16 +49,67 @@ def _segments(n: str, k: int) -> list[tuple[str, str]]:
     return out
 
 
-def keys(k: int) -> Column:
-    """Structs (key, indexed): the keys of the segments of ``text``, then those of the other places it probes."""
-    places = [("true", 0, i, s, size) for i, (s, size) in enumerate(_segments("n", k))]
+def posts(texts: DataFrame, k: int) -> DataFrame:
+    """id, key, indexed: the keys of each text's segments, and those of the other places it probes."""
+    places, columns = [], {}
     for d in range(k + 1):  # the indexed text is d shorter
         for i, (s, size) in enumerate(_segments(f"(n - {d})", k)):
+            columns |= {f"s{d}_{i}": F.expr(f"cast({s} as int)"), f"z{d}_{i}": F.expr(f"cast(4 * {size} as int)")}
             # at most i edits lie to the left of segment i and k - i to its right
-            places += [("false", d, i, f"({s} + ({o}))", size) for o in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1) if d or o]
-    of = lambda form: "array(" + ", ".join(f"struct(xxhash64(n - {d}, {i}, substring({form}, cast({s} as int), cast({size} as int))) as key, {own} as indexed)" for own, d, i, s, size in places) + ")"
-    # where characters are bytes, places are found without counting characters; the hash is of bytes either way
-    return F.expr(f"if(octet_length(text) = n, {of('cast(text as binary)')}, {of('text')})")
+            places += [(d, i, o) for o in range(max(-i, d - (k - i)), min(i, d + (k - i)) + 1)]
+    places.sort(key=lambda p: (p[0] > 0 or p[2] != 0, p))  # the text's own segments first
+    # four bytes a character: places are found without counting characters
+    keys = [f"xxhash64(n - {d}, {i}, substring(wide, 4 * (s{d}_{i} + {o}) - 3, z{d}_{i}))" for d, i, o in places]
+    wide = texts.select("id", "n", F.encode("text", "UTF-32").alias("wide"), *(c.alias(name) for name, c in columns.items()))
+    return wide.select("id", F.posexplode(F.expr(f"array({', '.join(keys)})")).alias("at", "key")).select("id", "key", (F.col("at") <= k).alias("indexed"))
+
+
+def within(x: Column, y: Column, k: int) -> Column:
+    """Are two texts within ``k`` edits?  A bit-parallel band, folded over the characters of ``y``.
+
+    Mask ``e`` holds, for each diagonal from ``-k`` to ``k``, whether ``e`` edits can bring one there.
+    A character keeps the diagonals on which it equals its counterpart; an edit stays on a diagonal
+    (substitution), falls to the one below (insertion), or, reading nothing, rises (deletion).
+    """
+    full, shift = (1 << 2 * k + 1) - 1, F.shiftright
+    let = lambda v, of: F.get(F.transform(F.array(v), of), F.lit(0))
+    as_masks = lambda masks: F.struct(*(m.cast("int").alias(f"m{e}") for e, m in enumerate(masks)))
+
+    def step(a: Column, c: Column, j: Column, state: Column) -> Column:
+        same = lambda o: F.when(F.get(a, j + o) == c, 1 << o + k).otherwise(0)
+
+        def moved(equal: Column) -> Column:
+            masks = []
+            for e in range(k + 1):
+                new = state[f"m{e}"].bitwiseAND(equal)
+                if e:
+                    old = state[f"m{e - 1}"]
+                    new = new.bitwiseOR(old).bitwiseOR(shift(old, 1)).bitwiseOR(F.shiftleft(masks[-1], 1).bitwiseAND(F.lit(full)))
+                masks.append(new)
+            return as_masks(masks)
+
+        equal = same(-k)
+        for o in range(1 - k, k + 1):
+            equal = equal.bitwiseOR(same(o))
+        return F.when(state[f"m{k}"] == 0, state).otherwise(let(equal, moved))
+
+    start = as_masks([F.lit(sum(1 << k + i for i in range(e + 1))) for e in range(k + 1)])
+
+    def masks(x: Column, y: Column) -> Column:
+        places = F.transform(F.split(y, ""), lambda c, j: F.struct(c.alias("c"), j.alias("j")))
+        return let(F.split(x, ""), lambda a: F.aggregate(places, start, lambda state, p: step(a, p["c"], p["j"], state)))
+
+    # most texts that are no match differ early: their beginnings are read first
+    alive = let(masks(F.left(x, F.lit(EARLY + k)), F.left(y, F.lit(EARLY))), lambda m: m[f"m{k}"] != 0)
+    longer = F.char_length(x) - F.char_length(y)
+    accept = F.call_function("shiftleft", F.lit(1), longer + k)
+    return F.when((F.abs(longer) <= k) & alive, let(masks(x, y), lambda m: F.greatest(*(m[f"m{e}"].bitwiseAND(accept) for e in range(k + 1))) > 0)).otherwise(F.lit(False))
+
+
+def parity(text: Column) -> Column:
+    """Bit ``i`` tells whether an odd number of characters have a code that is ``i`` modulo 64: an edit changes two bits at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63)))
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(bit(c)))
 
 
 def _id(docs: DataFrame) -> Column:
@@ -85,13 +137,13 @@ def _within(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     some = stored(_of_ids(texts.select("id", "text", "n"), ids))
     x, y = (some.select(F.col("id").alias(i), F.col("text").alias(t), F.col("n").alias(f"n{i}")) for i, t in (("a", "x"), ("b", "y")))
-    met = pairs.join(x, "a").join(y, "b").filter((F.abs(F.col("na") - F.col("nb")) <= k) & (F.levenshtein("x", "y", k) >= 0))
+    met = pairs.join(x, "a").join(y, "b").filter((F.abs(F.col("na") - F.col("nb")) <= k) & within(F.col("x"), F.col("y"), k))
     return stored(met.select(F.col("b").alias("id")).distinct())
 
 
 def near_lines(texts: DataFrame, k: int = EDITS) -> DataFrame:
     """Ids of ``texts`` (id, text, n; all different) that have an earlier text within ``k`` edits."""
-    own = texts.select("id", keys(k).alias("posts")).select("id", F.inline("posts"))
+    own = posts(texts, k)
     kinds = [F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or("indexed").alias("any_indexed"), F.count("*").alias("size")]
     buckets = stored(own.groupBy("key").agg(*kinds).filter("any_indexed and low != high"))
     large = buckets.filter("size > 2").select("key", "low", "size")
@@ -103,15 +155,15 @@ def near_lines(texts: DataFrame, k: int = EDITS) -> DataFrame:
     left = stored(rows.join(gone, "id", "left_anti"))
     early = rows.join(left.select("key").distinct(), "key", "left_semi")
     ids = stored(early.select("id").distinct())
-    some = stored(_of_ids(texts.select("id", "text", "n"), ids))
+    some = stored(_of_ids(texts.select("id", "text", "n"), ids).withColumn("odd", parity(F.col("text"))))
 
     def blocks(df: DataFrame, number: str, name: str) -> DataFrame:
         """About BLOCK texts as one row."""
-        texts_of = df.join(some, "id").repartition("key", "block").groupBy("key", "block").agg(F.collect_list(F.struct("id", "indexed", "n", "text")).alias(name))
+        texts_of = df.join(some, "id").repartition("key", "block").groupBy("key", "block").agg(F.collect_list(F.struct("id", "indexed", "n", "odd", "text")).alias(name))
         return texts_of.withColumnRenamed("block", number)
 
     pairs = left.select("key", F.col("block").alias("b1")).distinct().join(early.select("key", F.col("block").alias("b2")).distinct(), "key")
-    close = lambda x, y: (y["id"] < x["id"]) & (x["indexed"] | y["indexed"]) & (F.abs(x["n"] - y["n"]) <= k) & (F.levenshtein(x["text"], y["text"], k) >= 0)
+    close = lambda x, y: (y["id"] < x["id"]) & (x["indexed"] | y["indexed"]) & (F.abs(x["n"] - y["n"]) <= k) & (F.bit_count(x["odd"].bitwiseXOR(y["odd"])) <= 2 * k) & within(x["text"], y["text"], k)
     found = F.filter("mine", lambda x: F.exists("others", lambda y: close(x, y)))
     met = pairs.join(blocks(left, "b1", "mine"), ["key", "b1"]).join(blocks(early, "b2", "others"), ["key", "b2"])
     more = met.select(F.explode(F.transform(found, lambda x: x["id"])).alias("id"))
