@@ -449,14 +449,14 @@ def crop_actions(spark, d):
 
 
 @query(
-    f"""WITH {PAGES_SQL} SELECT doc_id, page_num, CASE page_num % 5 WHEN 0 THEN '<!-- 第' || (page_num + 1) || '页转换失败 -->' WHEN 1 THEN '<!-- 第' || (page_num + 1) || '页转换失败: timeout -->' WHEN 2 THEN 'second' ELSE md END AS md, page_num % 5 IN (2, 3) AS retried FROM pages_fx"""
+    f"""WITH {PAGES_SQL} SELECT doc_id, page_num, CASE page_num % 5 WHEN 0 THEN '<!-- 第' || (page_num + 1) || '页转换失败 -->' WHEN 1 THEN '<!-- 第' || (page_num + 1) || '页转换失败: timeout -->' WHEN 2 THEN 'second' ELSE 'x' || md END AS md, page_num % 5 IN (2, 3) AS retried FROM pages_fx"""
 )
 def retry_selection(spark, d):
     """Blank, failed, better second try, worse second try, good at once."""
     k = F.col("page_num") % 5
     pages = pages_fx(spark, d)
     some, none = F.array(F.lit("x")), F.array().cast("array<string>")
-    first = pages.select("doc_id", "page_num", F.lit(1).alias("attempt"), F.when(k == 0, " ").when(k == 1, None).otherwise(_md()).alias("md"), F.when(k == 1, "timeout").alias("error"), F.when(k.isin(2, 3), 50).when(k == 4, 55).alias("score"), F.when(k == 4, none).otherwise(some).alias("issues"))
+    first = pages.select("doc_id", "page_num", F.lit(1).alias("attempt"), F.when(k == 0, " ").when(k == 1, None).otherwise(F.concat(F.lit("x"), _md())).alias("md"), F.when(k == 1, "timeout").alias("error"), F.when(k.isin(2, 3), 50).when(k == 4, 55).alias("score"), F.when(k == 4, none).otherwise(some).alias("issues"))
     second = pages.filter(k.isin(2, 3)).select("doc_id", "page_num", F.lit(2).alias("attempt"), F.lit("second").alias("md"), F.lit(None).cast("string").alias("error"), F.when(k == 2, 51).otherwise(50).alias("score"), some.alias("issues"))
     first = first.withColumn("issues", F.when(k.isin(0, 1), none).otherwise(F.col("issues")))
     return stitching.chosen_attempt(first.unionByName(second))
