@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -31,13 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver forget finished plans, so that Spark's cleaner removes their shuffle files now and not some time later."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
@@ -63,10 +73,12 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= least) if least is not None else counts.limit(0)
 
 
-def by_rows(make: Callable[[], Callable[[tuple], tuple]], schema: pa.Schema, step: int = 256):
-    """A ``mapInArrow`` function from ``make()``, which builds per task a function row -> row."""
+def by_rows(make: Callable[[], Callable[[tuple], tuple]], schema: pa.Schema, step: int = 256, keeps: bool = False):
+    """A ``mapInArrow`` function from ``make()``, which builds per task a function row -> row; ``keeps``: it uses ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         one = make()
         for batch in batches:
             for at in range(0, batch.num_rows, step):
@@ -125,6 +137,11 @@ def kept(kind: str, key, make: Callable):
     return _KEPT[kind][1]
 
 
+def forget() -> None:
+    """Drop what ``kept`` holds: for tasks of other operators in the same process."""
+    _KEPT.clear()
+
+
 def marked_parts(text: bytes, mark: str, cut: Callable[[str], list[str]], alone: str) -> list[bytes]:
     """``cut`` of the text with a mark in front and for each blank, as bytes with blanks for marks.
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, documents, stored
+from quire.llm.common import WORD, documents, release, stored
 
 EDITS, LEAST = 2, 40
 #: ids are broadcast up to this number (a few MB), beyond it joined by a shuffle
@@ -146,6 +146,7 @@ def near_lines(texts: DataFrame, k: int = EDITS) -> DataFrame:
     own = posts(texts, k)
     kinds = [F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or("indexed").alias("any_indexed"), F.count("*").alias("size")]
     buckets = stored(own.groupBy("key").agg(*kinds).filter("any_indexed and low != high"))
+    release(texts.sparkSession)
     large = buckets.filter("size > 2").select("key", "low", "size")
     members = stored(own.join(F.broadcast(large) if large.count() <= FEW else large, "key"))
     star = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
@@ -173,7 +174,8 @@ def near_lines(texts: DataFrame, k: int = EDITS) -> DataFrame:
 def dropped(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, at, near of every line that goes; ``near`` is false where the earlier line is equal."""
     rows = lines(docs, least)
-    texts = stored(rows.groupBy("text").agg(F.min("id").alias("id"), F.first("n").alias("n")))
+    texts = stored(rows.groupBy("text").agg(F.min("id").alias("id"), F.first("n").alias("n")), "zstd")
+    release(docs.sparkSession)  # all texts were shuffled
     near = near_lines(texts, k).withColumn("near", F.lit(True))
     same = F.unhex(F.md5("text"))
     fate = texts.select("id", same.alias("same")).join(near, "id", "left").select("same", F.col("id").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, documents, most_frequent, scramble, shingle_set, stored
+from quire.llm.common import WordHashes, documents, forget, most_frequent, scramble, shingle_set, stored
 from quire.llm.components import components
 
 NUMBER, PERCENT = 5, 80
@@ -65,6 +65,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens seen at least twice in a block, with their counts."""
+    forget()
     hashes, held, size, seen = WordHashes(), [], 0, set()
 
     def flush() -> pa.RecordBatch:
@@ -124,6 +125,7 @@ def _signatures(frequent: np.ndarray):
     table = frequent[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, by_rows, documents, fold, least_hashed, scramble
+from quire.llm.common import WordHashes, by_rows, documents, fold, forget, least_hashed, scramble
 
 BITS = 18
 _SHAPE = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|(.)\1*", re.S)
@@ -223,6 +223,7 @@ def keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches):
+        forget()
         features, m = Features(), shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

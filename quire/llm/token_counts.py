@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
         counter = kept("token_counts", model_file, lambda: Counter(Vocabulary(model_file)))
         return lambda row: (row[0], counter.of(row[1]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(by_rows(make, schema), "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(by_rows(make, schema, keeps=True), "doc_id long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
