@@ -297,10 +297,21 @@ def join(docs: DataFrame, percent: int = PERCENT, **how) -> DataFrame:
     return rows.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _one_of_equal(rows: DataFrame) -> DataFrame:
+    """``rows`` with one of those that have equal ids and texts; rows with a null id all stay.
+
+    Only rows that are repeated meet, one per task and group, so a group of any size is never gathered.
+    """
+    named = rows.withColumn("_same", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")))
+    again = stored(named.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "_same").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    once, more = (named.join(_few(again), ["doc_id", "_same"], how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.dropDuplicates(["doc_id", "_same"])).select(*rows.columns)
+
+
 def keep(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that have the least id of their component, unchanged; of rows with equal ids and texts one."""
     gone = join(docs, **how).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _one_of_equal(docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_rows import ODD, rows
+from llm_rows import ODD, PROSE, rows
 
 from quire.llm import components, embedding_dedup, line_dedup, ngram_jaccard
 
@@ -90,6 +90,15 @@ def test_jaccard_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 6, 7, 9, 10, None}
 
 
+def test_jaccard_keeps_one_of_repeated_rows(spark):
+    """Repeats of a row go where its id is the least of its group, too, or alone."""
+    data = [(3, PROSE, "en", "a")] * 40 + [(4, PROSE, "de", "a")] * 2 + [(5, "alone here", "en", "a")] * 3 + [(6, "one text", "en", "a"), (6, "another text", "en", "a")]
+    data += [(7, None, "en", "a")] * 2 + [(8, "", "en", "a")] * 2 + [(None, PROSE, "en", "a")] * 2
+    kept = ngram_jaccard.keep(rows(spark, data).repartition(3))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect()) == sorted([(3, PROSE), (5, "alone here"), (6, "one text"), (6, "another text"), (7, ""), (8, ""), (-1, PROSE), (-1, PROSE)])
+    assert {r.lang for r in kept.collect()} == {"en"}
+
+
 def test_index_meets_all_links():
     """Any two sets that link share a key, whatever is called frequent."""
     rng = np.random.default_rng(3)
