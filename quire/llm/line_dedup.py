@@ -1,6 +1,7 @@
 """Line dedup: a segment-partition edit join in DataFrame operations only.
 
-Lines of at least ``LEAST`` characters are compared; shorter ones always stay.  A line goes if an
+Lines of at least ``LEAST`` characters are compared; shorter ones that hold a word go where an earlier
+line is equal (``short``, as ``keep`` and so the pipeline have it), else they stay.  A line goes if an
 earlier line of the corpus - by document id, then place in the text - is equal or within ``EDITS``
 edits of it; that the earlier line may go itself does not matter.
 
@@ -120,11 +121,11 @@ def _id(docs: DataFrame) -> Column:
     return F.expr(f"(coalesce(cast(doc_id as decimal(20,0)) - {lo} + 1, 0) * {1 << bits} + at)" if kind != "bigint" else f"coalesce(doc_id - {lo}L + 1L, 0L) * {1 << bits}L + at").cast(kind)
 
 
-def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, id, text, n of the lines that are compared; ids ascend with document id and place."""
+def lines(docs: DataFrame, least: int = LEAST, short: bool = False) -> DataFrame:
+    """doc_id, id, text, n of the lines that are compared, with ``short`` also those under ``least`` that hold a word; ids ascend with document id and place."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    return rows.withColumn("n", F.char_length("text")).filter(F.col("n") >= least).select("doc_id", "at", _id(docs).alias("id"), "text", "n")
+    return rows.withColumn("n", F.char_length("text")).filter((F.col("n") >= least) | (F.col("text").rlike(WORD) if short else F.lit(False))).select("doc_id", "at", _id(docs).alias("id"), "text", "n")
 
 
 def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,12 +172,15 @@ def near_lines(texts: DataFrame, k: int = EDITS) -> DataFrame:
     return gone.unionByName(stored(more.distinct())).distinct()
 
 
-def dropped(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
-    """doc_id, at, near of every line that goes; ``near`` is false where the earlier line is equal."""
-    rows = lines(docs, least)
+def dropped(docs: DataFrame, k: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
+    """doc_id, at, near of every line that goes; ``near`` is false where the earlier line is equal.
+
+    With ``short``, lines under ``least`` that hold a word go where an earlier line is equal.
+    """
+    rows = lines(docs, least, short)
     texts = stored(rows.groupBy("text").agg(F.min("id").alias("id"), F.first("n").alias("n")), "zstd")
     release(docs.sparkSession)  # all texts were shuffled
-    near = near_lines(texts, k).withColumn("near", F.lit(True))
+    near = near_lines(texts.filter(F.col("n") >= least) if short else texts, k).withColumn("near", F.lit(True))
     same = F.unhex(F.md5("text"))
     fate = texts.select("id", same.alias("same")).join(near, "id", "left").select("same", F.col("id").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     each = rows.select("doc_id", "at", "id", same.alias("same")).join(fate, "same")
@@ -191,9 +195,9 @@ def counted(docs: DataFrame, **how) -> DataFrame:
     return own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "n_lines", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_equal", "n_near")))
 
 
-def keep(docs: DataFrame, **how) -> DataFrame:
+def keep(docs: DataFrame, short: bool = True, **how) -> DataFrame:
     """``docs`` without the lines that go; ``n_chars``, if there, is counted anew."""
-    gone = dropped(docs, **how).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("_gone")).withColumnRenamed("doc_id", "_id")  # lines of one document
+    gone = dropped(docs, short=short, **how).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("_gone")).withColumnRenamed("doc_id", "_id")  # lines of one document
     rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
     parts = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))

@@ -170,6 +170,12 @@ def test_lines_of_odd_rows(spark, odd, none):
     assert line_dedup.keep(odd).columns == odd.columns
 
 
+def test_short_equal_lines_go(spark):
+    data = [(1, "Subscribe now\nfirst\n\n--", "en", "s"), (2, "Subscribe now\nsecond\n\n--", "en", "s"), (3, "Subscribe nov\n \n ", "en", "s"), (4, "Subscribe now", "en", "s")]
+    assert {r.doc_id: r.text for r in line_dedup.keep(rows(spark, data)).collect()} == {1: "Subscribe now\nfirst\n\n--", 2: "second\n", 3: "Subscribe nov\n \n "}
+    assert {r.doc_id: (r.n_equal, r.n_near) for r in line_dedup.counted(rows(spark, data), short=True).collect()} == {1: (0, 0), 2: (2, 0), 3: (0, 0), 4: (1, 0)}
+
+
 @pytest.mark.parametrize("k", [1, 2])
 def test_segments_cover_the_text(spark, k):
     from pyspark.sql import functions as F
