@@ -20,6 +20,7 @@ MODULES = {
     "op8_token_counts": "token_counts",
     "op9_quality_classifier": "quality_classifier",
     "op10_line_dedup": "line_dedup",
+    "op10_line_dedup_scaled": "line_dedup_scaled",
 }
 
 

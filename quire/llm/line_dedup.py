@@ -3,7 +3,8 @@
 Lines of at least ``LEAST`` characters are compared; shorter ones that hold a word go where an earlier
 line is equal (``short``, as ``keep`` and so the pipeline have it), else they stay.  A line goes if an
 earlier line of the corpus - by document id, then place in the text - is equal or within ``EDITS``
-edits of it; that the earlier line may go itself does not matter.
+edits of it; that the earlier line may go itself does not matter.  With ``share``, as ``keep`` and so the
+pipeline have it, the edits grow with the length: one for ``share`` characters of the shorter line.
 
 Equal lines are grouped first; a group stands for its first occurrence.  A group's text is split into
 ``EDITS + 1`` segments; of two texts within ``EDITS`` edits, the longer has one segment of the shorter
@@ -30,6 +31,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import WORD, documents, release, stored
 
 EDITS, LEAST = 2, 40
+#: with ``share``, one edit for so many characters: ``EDITS`` below 60, 3 from 60, 16 from 320
+SHARE = 20
+#: allowances up to this have keys by place, greater ones by windows; keys of a pass for each text, which bounds what is shuffled at once
+PLACED, PASS_KEYS, LEAST_KEYS = 40, 25, 5_000_000
 #: ids are broadcast up to this number (a few MB), beyond it joined by a shuffle
 FEW = 500_000
 #: characters that a comparison reads first
@@ -65,6 +70,51 @@ def posts(texts: DataFrame, k: int) -> DataFrame:
     return wide.select("id", F.posexplode(F.expr(f"array({', '.join(keys)})")).alias("at", "key")).select("id", "key", (F.col("at") <= k).alias("indexed"))
 
 
+def allowed(n: Column, share: int) -> Column:
+    """Edits within which a text of ``n`` characters counts as near, where they grow with its length."""
+    return F.greatest(F.lit(EDITS), F.floor(n / share)).cast("int")
+
+
+def _banded(texts: DataFrame, share: int) -> DataFrame:
+    """id, n, text, own, k: each text with its allowance, and with the lesser one if a text that has that is near in length."""
+    own = F.col("own")
+    rows = texts.select("id", "n", "text", allowed(F.col("n"), share).alias("own"))
+    return rows.withColumn("k", F.explode(F.when((own > EDITS) & (F.col("n") - own + 1 < own * share), F.array(own, own - 1)).otherwise(F.array(own))))
+
+
+def banded_posts(texts: DataFrame, share: int) -> DataFrame:
+    """id, key, indexed as in ``posts``, for the pairs within what the shorter text allows; ``texts`` are of ``_banded``.
+
+    An allowance ``k`` has k + 1 segments of one size, the first half placed from the start of a text
+    and the others from its end.  Some segment has no edit in it, ``i`` edits to its left and at most
+    ``k - i`` to its right, so it stands in the longer text within ``i`` places from the start and
+    ``k - i`` from the end, whatever the lengths.  Of long texts all windows of that size are probed.
+    """
+    places = texts.sparkSession.range(EDITS, PLACED + 1).select(F.col("id").cast("int").alias("k")).select("k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    places = places.select("k", "i", F.explode(F.expr("sequence(-least(i, k - i), least(i, k - i))")).alias("o"))
+    wide = texts.select("id", "n", "own", "k", F.expr(f"cast(k * {share} div (k + 1) as int)").alias("w"), F.explode(F.array(F.encode("text", "UTF-32"))).alias("wide"))  # exploded, it is made once a text and not once a key
+    near = wide.filter(F.col("k") <= PLACED).join(F.broadcast(places), "k").withColumn("at", F.expr("if(i <= k div 2, i * w, n - (k + 1 - i) * w) + o"))  # some thousand places
+    near = near.filter("at >= 0 and at <= n - w").withColumn("indexed", F.expr("k = own and o = 0"))
+    far = wide.filter(F.col("k") > PLACED).withColumn("at", F.explode(F.expr("sequence(0, n - w)"))).withColumn("i", F.lit(-1))
+    far = far.withColumn("indexed", F.expr("k = own and at % w = 0 and at div w <= k"))
+    key = F.expr("xxhash64(k, i, substring(wide, 4 * at + 1, 4 * w))").alias("key")
+    return near.select("id", key, "indexed").unionByName(far.select("id", key, "indexed"))
+
+
+def _passes(banded: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of allowances, each with about ``PASS_KEYS`` keys a text of all or with one allowance alone."""
+    k = F.col("k").cast("long")
+    keys = F.when(k <= PLACED, k * k / 2 + k + 1).otherwise(F.col("n"))
+    sums = banded.groupBy("k").agg(F.sum(keys).alias("keys"), F.count("*").alias("rows")).orderBy("k").collect()  # a row for each allowance
+    most, out, held = max(LEAST_KEYS, PASS_KEYS * sum(r["rows"] for r in sums)), [], 0
+    for r in sums:
+        if not out or held + r["keys"] > most:
+            out.append([r["k"], r["k"]])
+            held = 0
+        out[-1][1], held = r["k"], held + r["keys"]
+    return [(lo, hi) for lo, hi in out]
+
+
 def within(x: Column, y: Column, k: int) -> Column:
     """Are two texts within ``k`` edits?  A bit-parallel band, folded over the characters of ``y``.
 
@@ -133,25 +183,42 @@ def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids.hint("shuffle_hash"), "id", "left_semi")
 
 
-def _within(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Ids b of the pairs (a, b) whose texts are within ``k`` edits."""
+def _close(x: Column, y: Column, nx: Column, ny: Column, k: int, share: int | None) -> Column:
+    """Are two texts within ``k`` edits, or with ``share`` within what the shorter one allows?"""
+    if share is None:
+        return (F.abs(nx - ny) <= k) & within(x, y, k)
+    most = allowed(F.least(nx, ny), share)
+    return (F.abs(nx - ny) <= most) & (F.call_function("levenshtein", x, y, most) >= 0)  # -1 beyond
+
+
+def _within(pairs: DataFrame, texts: DataFrame, k: int, share: int | None) -> DataFrame:
+    """Ids b of the pairs (a, b) whose texts are close."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     some = stored(_of_ids(texts.select("id", "text", "n"), ids))
     x, y = (some.select(F.col("id").alias(i), F.col("text").alias(t), F.col("n").alias(f"n{i}")) for i, t in (("a", "x"), ("b", "y")))
-    met = pairs.join(x, "a").join(y, "b").filter((F.abs(F.col("na") - F.col("nb")) <= k) & within(F.col("x"), F.col("y"), k))
+    met = pairs.join(x, "a").join(y, "b").filter(_close(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), k, share))
     return stored(met.select(F.col("b").alias("id")).distinct())
 
 
-def near_lines(texts: DataFrame, k: int = EDITS) -> DataFrame:
-    """Ids of ``texts`` (id, text, n; all different) that have an earlier text within ``k`` edits."""
-    own = posts(texts, k)
+def near_lines(texts: DataFrame, k: int = EDITS, share: int | None = None) -> DataFrame:
+    """Ids of ``texts`` (id, text, n; all different) that have an earlier text within ``k`` edits, or with ``share`` within what the shorter of both allows."""
     kinds = [F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or("indexed").alias("any_indexed"), F.count("*").alias("size")]
-    buckets = stored(own.groupBy("key").agg(*kinds).filter("any_indexed and low != high"))
-    release(texts.sparkSession)
+    if share is None:
+        own = posts(texts, k)
+        parts = [own]
+    else:
+        banded = _banded(texts, share)
+        own = banded_posts(banded, share)
+        parts = [banded_posts(banded.filter(F.col("k").between(lo, hi)), share) for lo, hi in _passes(banded)] or [own]
+    buckets = None
+    for part in parts:
+        some = stored(part.groupBy("key").agg(*kinds).filter("any_indexed and low != high"))
+        buckets = some if buckets is None else buckets.unionByName(some)
+        release(texts.sparkSession)
     large = buckets.filter("size > 2").select("key", "low", "size")
     members = stored(own.join(F.broadcast(large) if large.count() <= FEW else large, "key"))
     star = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
-    gone = _within(stored(star.distinct()), texts, k)
+    gone = _within(stored(star.distinct()), texts, k, share)
     # what is left meets all earlier texts of its buckets, block by block
     rows = members.filter("id != low").select("key", "id", "indexed", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("block"))
     left = stored(rows.join(gone, "id", "left_anti"))
@@ -165,22 +232,25 @@ def near_lines(texts: DataFrame, k: int = EDITS) -> DataFrame:
         return texts_of.withColumnRenamed("block", number)
 
     pairs = left.select("key", F.col("block").alias("b1")).distinct().join(early.select("key", F.col("block").alias("b2")).distinct(), "key")
-    close = lambda x, y: (y["id"] < x["id"]) & (x["indexed"] | y["indexed"]) & (F.abs(x["n"] - y["n"]) <= k) & (F.bit_count(x["odd"].bitwiseXOR(y["odd"])) <= 2 * k) & within(x["text"], y["text"], k)
+    most = lambda x, y: F.lit(k) if share is None else allowed(F.least(x["n"], y["n"]), share)
+    close = lambda x, y: (y["id"] < x["id"]) & (x["indexed"] | y["indexed"]) & (F.abs(x["n"] - y["n"]) <= most(x, y)) & (F.bit_count(x["odd"].bitwiseXOR(y["odd"])) <= 2 * most(x, y)) & _close(x["text"], y["text"], x["n"], y["n"], k, share)
     found = F.filter("mine", lambda x: F.exists("others", lambda y: close(x, y)))
     met = pairs.join(blocks(left, "b1", "mine"), ["key", "b1"]).join(blocks(early, "b2", "others"), ["key", "b2"])
     more = met.select(F.explode(F.transform(found, lambda x: x["id"])).alias("id"))
     return gone.unionByName(stored(more.distinct())).distinct()
 
 
-def dropped(docs: DataFrame, k: int = EDITS, least: int = LEAST, short: bool = False) -> DataFrame:
+def dropped(docs: DataFrame, k: int = EDITS, least: int = LEAST, short: bool = False, share: int | None = None) -> DataFrame:
     """doc_id, at, near of every line that goes; ``near`` is false where the earlier line is equal.
 
     With ``short``, lines under ``least`` that hold a word go where an earlier line is equal.
     """
+    if share is not None and least < EDITS * share:
+        raise ValueError(f"lines under {EDITS * share} characters do not have the segments of {EDITS} edits at one for {share}")
     rows = lines(docs, least, short)
     texts = stored(rows.groupBy("text").agg(F.min("id").alias("id"), F.first("n").alias("n")), "zstd")
     release(docs.sparkSession)  # all texts were shuffled
-    near = near_lines(texts.filter(F.col("n") >= least) if short else texts, k).withColumn("near", F.lit(True))
+    near = near_lines(texts.filter(F.col("n") >= least) if short else texts, k, share).withColumn("near", F.lit(True))
     same = F.unhex(F.md5("text"))
     fate = texts.select("id", same.alias("same")).join(near, "id", "left").select("same", F.col("id").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     each = rows.select("doc_id", "at", "id", same.alias("same")).join(fate, "same")
@@ -195,9 +265,9 @@ def counted(docs: DataFrame, **how) -> DataFrame:
     return own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "n_lines", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_equal", "n_near")))
 
 
-def keep(docs: DataFrame, short: bool = True, **how) -> DataFrame:
+def keep(docs: DataFrame, short: bool = True, share: int | None = SHARE, **how) -> DataFrame:
     """``docs`` without the lines that go; ``n_chars``, if there, is counted anew."""
-    gone = dropped(docs, short=short, **how).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("_gone")).withColumnRenamed("doc_id", "_id")  # lines of one document
+    gone = dropped(docs, short=short, share=share, **how).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("_gone")).withColumnRenamed("doc_id", "_id")  # lines of one document
     rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
     parts = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))

@@ -176,6 +176,42 @@ def test_short_equal_lines_go(spark):
     assert {r.doc_id: (r.n_equal, r.n_near) for r in line_dedup.counted(rows(spark, data), short=True).collect()} == {1: (0, 0), 2: (2, 0), 3: (0, 0), 4: (1, 0)}
 
 
+def banded_at_most(a, b, k):
+    row = {j: j for j in range(min(k, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        last, row = row, {}
+        for j in range(max(0, i - k), min(len(b), i + k) + 1):
+            row[j] = min(last.get(j, k) + 1, row.get(j - 1, k) + 1, last.get(j - 1, k + 1) + (j == 0 or x != b[j - 1]))
+        if min(row.values()) > k:
+            return False
+    return row.get(len(b), k + 1) <= k
+
+
+def test_edits_grow_with_the_line(spark):
+    """Against brute force over lines of all bands, edits spread or in one place; a changed word of a long line is near."""
+    rng = random.Random(5)
+    texts = []
+    for n in (40, 61, 79, 161, 321, 337, 830):
+        for _ in range(2):
+            base = "".join(rng.choice("abcdefgh é") for _ in range(n + rng.randint(-1, 1)))
+            texts.append(base)
+            for _ in range(4):
+                line = list(base)
+                from_, to = rng.choice([(0, n - 8), (0, n // 3), (n - n // 3, n - 8)])
+                for _ in range(rng.choice([1, max(2, n // 20), max(2, n // 20), max(2, n // 20) + 2])):
+                    at = min(rng.randint(from_, to), len(line) - 1)
+                    rng.choice([lambda: line.pop(at), lambda: line.insert(at, rng.choice("xyz")), lambda: line.__setitem__(at, "q")])()  # noqa: B023
+                texts.append("".join(line))
+    rng.shuffle(texts)
+    want = {i for i, t in enumerate(texts) if len(t) >= 40 and any(len(u) >= 40 and abs(len(t) - len(u)) <= (k := max(2, min(len(t), len(u)) // 20)) and banded_at_most(t, u, k) for u in texts[:i])}
+    data = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.doc_id for r in line_dedup.counted(rows(spark, data), share=20).collect() if r.n_near or r.n_equal}
+    assert got == {i for i in want | {i for i, t in enumerate(texts) if t in texts[:i]} if len(texts[i]) >= 40} and len(want) > 30
+    line = " ".join(f"word{i}" for i in range(48))
+    kept = line_dedup.keep(rows(spark, [(1, line, "en", "s"), (2, line.replace("word20", "eleven"), "en", "s")]))
+    assert [r.doc_id for r in kept.collect()] == [1]
+
+
 @pytest.mark.parametrize("k", [1, 2])
 def test_segments_cover_the_text(spark, k):
     from pyspark.sql import functions as F
