@@ -27,10 +27,19 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="quire-")
 
 
+#: folders that this process has named, for ``swept``
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a local one in local mode and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own_dir()
+    _MADE.append(f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
@@ -40,6 +49,24 @@ def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A broadcast of ``df`` (narrow rows) where a count finds at most ``most`` of them; beyond, a plain join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def swept(make: Callable[[], DataFrame]) -> DataFrame:
+    """``stored(make())``, after which the tables that were stored on the way are deleted."""
+    at = len(_MADE)
+    df = stored(make())
+    spark, (*gone, _) = df.sparkSession, _MADE[at:]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    del _MADE[at:-1]
+    return df
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver forget finished plans, so that Spark's cleaner removes their shuffle files now and not some time later."""
     for _ in range(2):
@@ -53,12 +80,18 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
 
 
-def least_hashed(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows, those with the least hash of ``key``; hardly more than them are sorted, however many there are."""
-    total, h = df.count(), F.xxhash64(key)
+def least_hashed(df: DataFrame, key: str | list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, those with the least hash of ``key``; hardly more than them are sorted, however many there are.
+
+    Rows that repeat one key pass or miss the threshold together; if too few pass, all rows are sorted.
+    """
+    keys = [key] if isinstance(key, str) else key
+    total, h = df.count(), F.xxhash64(*keys)
     if total > 4 * most:
-        df = df.filter(h < int((1 << 64) * 2 * most / total) - (1 << 63))
-    return df.orderBy(h, key).limit(most)
+        some = df.filter(h < int((1 << 64) * 2 * most / total) - (1 << 63))
+        if some.count() >= most:
+            df = some
+    return df.orderBy(h, *keys).limit(most)
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:

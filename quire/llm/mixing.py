@@ -6,169 +6,187 @@ shared again among the others.
 
 A source's documents fall into blocks by a hash of the id.  Its target is ``e`` whole passes over the
 source, ``q`` whole blocks of one more pass and a rest, taken from the next block document by document
-in hash order.  So the draws of a source are an exact number of blocks.  The tree splits the vector of
-those numbers among the output shards: each node deals half of its shards a multivariate
+in hash order.  So the draws of a source are an exact number of blocks: its quota.  The tree splits
+the vector of quotas among the output shards: each node deals half of its shards a multivariate
 hypergeometric part of its quotas, so every shard holds exactly its share and all are used up.  Each
-source's draws, permuted by hash, are then cut in that order into the shards' disjoint ranges, and a
-shard is shuffled by a hash of (id, copy).
+source's draws, permuted by hash, fill the shards' parts in that order, which makes the parts
+disjoint, and a shard is shuffled by a hash of (id, copy).  Every copy of a document carries the shard
+that the tree gave it; documents are taken because their blocks are dealt to a shard.
 
-All steps that grow with the input are joins and windows over blocks; the driver sees one row per
-source.  A block is at most 1/65536 of its source or about 2,048 documents.
+All steps are joins, windows and aggregates; nothing of the size of the documents, blocks or sources
+comes to the driver.  The upper half of the tree is one group with a row per source, the lower half a
+group per node.  A block is at most 1/65536 of its source or about 2,048 documents.
 
 Defined cases: null texts have size 0; a null source is a source of its own; rows with equal ids are
-separate documents ordered by size; a source of size 0 and an empty table have no draws.
+separate documents ordered by size, and of those that tie in the cut block either may be the one
+taken; a source of size 0 and an empty table have no draws; a text counts whole, however long, and is
+taken whole; ``mixed`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, documents, stored
+from quire.llm.common import WORD, documents, few, stored
 
 WEIGHTS = (5, 2, 1)
-BLOCK_DOCUMENTS, MOST_BLOCKS, SEED = 2048, 65536, 11
-
-
-def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
-    """Shares of ``sum(sizes)`` by weight, none above ``most`` times its size."""
-    share, fixed, rest = [0.0] * len(sizes), set(), float(sum(sizes))
-    free = [i for i in range(len(sizes))]
-    while free:
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if rest * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in free:
-                share[i] = rest * weights[i] / total
+BLOCK_DOCUMENTS, MOST_BLOCKS, MOST_SHARDS, SEED = 2048, 65536, 4096, 11
+#: levels of the tree that one group splits
+LEVELS = 6
+
+
+def numbered(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
+    """``sizes`` (source, n, size) with source_no, ascending by code point and null last, and the weight."""
+    spark = sizes.sparkSession
+    parts = stored(sizes.repartitionByRange(F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in sorted(parts.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row per shuffle partition
+        offsets.append((r["part"], before))
+        before += r["n"]
+    at = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1
+    rows = parts.join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part").withColumn("source_no", F.col("before") + at)
+    return rows.select("source", "n", "size", "source_no", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights) + 1).cast("int")).alias("weight"))
+
+
+def with_targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
+    """``sources`` with ``target``: shares of the sum of ``size`` by ``weight``, none above ``most`` times its size.
+
+    All targets that are not stopped are ``level`` times their weight; stopping some raises the level
+    and stops more, until none follows.
+    """
+    stops = lambda level: most * F.col("size") < level * F.col("weight")
+    level = 0.0
+    while True:
+        r = sources.agg(F.sum("size").alias("all"), F.sum(F.when(stops(level), most * F.col("size"))).alias("stopped"), F.sum(F.when(~stops(level), F.col("weight"))).alias("weight")).first()
+        if not r["all"] or not r["weight"]:
             break
-        # all that are above stay above: the others' shares only grow
-        for i in over:
-            share[i] = most * sizes[i]
-        fixed |= {*over}
-        rest -= sum(share[i] for i in over)
-        free = [i for i in free if i not in fixed]
-    return share
+        above = (r["all"] - (r["stopped"] or 0.0)) / r["weight"]
+        if above <= level:
+            break
+        level = above
+    return sources.withColumn("target", F.when(stops(level), most * F.col("size")).otherwise(level * F.col("weight")))
+
 
+def splitting_tree(sources: np.ndarray, quotas: np.ndarray, lo: int, hi: int, depth: int, seed: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, sources, quotas) of the nodes ``depth`` levels below the node of shards ``lo`` to ``hi``; those without quota are left out."""
+    if hi - lo == 1 or not depth:
+        yield lo, hi, sources, quotas
+        return
+    mid = (lo + hi) // 2
+    rest = int(quotas.sum())
+    want = rest * (mid - lo) // (hi - lo)
+    rng = np.random.default_rng([seed, lo, hi])
+    part = np.zeros_like(quotas)
+    for i, n in enumerate(quotas.tolist()):  # the marginals of a multivariate hypergeometric draw, one source at a time
+        rest -= n
+        part[i] = want if not rest else rng.hypergeometric(n, rest, want) if n and want else 0
+        want -= int(part[i])
+    for a, b, q in ((lo, mid, part), (mid, hi, quotas - part)):
+        some = q > 0
+        yield from splitting_tree(sources[some], q[some], a, b, depth - 1, seed)
 
-def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """shards x sources; columns sum to ``quotas``, rows differ in sum by one at most."""
-    out = np.zeros((shards, len(quotas)), np.int64)
 
-    def split(left: np.ndarray, lo: int, hi: int) -> None:
-        if hi - lo == 1:
-            out[lo] = left
-            return
-        mid = (lo + hi) // 2
-        share = int(left.sum()) * (mid - lo) // (hi - lo)
-        rng = np.random.default_rng([seed, lo, hi])
-        part = np.zeros_like(left)
-        rest, want = int(left.sum()), share
-        for i, n in enumerate(left):  # the marginals of a multivariate hypergeometric draw, one source at a time
-            n, rest = int(n), rest - int(n)
-            part[i] = want if not rest else rng.hypergeometric(n, rest, want) if n and want else 0
-            want -= int(part[i])
-        split(part, lo, mid)
-        split(left - part, mid, hi)
+def dealt(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+    """``quotas`` (source_no, n) dealt to the shards by the tree: source_no, shard, n."""
 
-    if len(quotas):
-        split(quotas.astype(np.int64), 0, shards)
-    return out
+    def split(depth: int):
+        def run(node: pd.DataFrame) -> pd.DataFrame:
+            node = node.sort_values("source_no")
+            found = [pd.DataFrame({"lo": lo, "hi": hi, "source_no": s, "n": q}) for lo, hi, s, q in splitting_tree(node["source_no"].to_numpy(), node["n"].to_numpy(), int(node["lo"].iloc[0]), int(node["hi"].iloc[0]), depth, seed)]
+            return pd.concat(found) if found else node.iloc[:0][["lo", "hi", "source_no", "n"]]
 
+        return run
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    nodes = quotas.filter("n > 0").select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "source_no", "n")
+    for _ in range(-(-max(shards - 1, 1).bit_length() // LEVELS)):
+        nodes = nodes.groupBy("lo", "hi").applyInPandas(split(LEVELS), "lo long, hi long, source_no long, n long")  # a row per source of the node
+    return nodes.select("source_no", F.col("lo").alias("shard"), "n")
 
 
-def _block(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.col("blocks")).cast("int")
+def sized(docs: DataFrame, *columns: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *columns)
 
 
-def draws(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (with size, source_size, target, source_no, block), block draws, and sources.
+def draws(rows: DataFrame, weights=WEIGHTS, most: float = 3.0, shards: int | None = None, seed: int = SEED, block_documents: int = BLOCK_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+    """Sources and the draws of blocks for ``rows`` of ``sized``.
 
-    A draw is source_no, block, copy, shard and, for a source's cut block, the words there is room for.
+    A source has source_no, source_size, target and its number of blocks.  A draw is source_no, block,
+    copy, shard and, for a source's cut block, the words that there is room for.
     """
-    spark = docs.sparkSession
-    rows = stored(sized(docs))
-    per = sorted(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))  # one row per source
-    want = targets([r["size"] for r in per], [weights[i % len(weights)] for i in range(len(per))], most)
-    blocks = [int(min(MOST_BLOCKS, max(1, -(-r["n"] // BLOCK_DOCUMENTS)))) for r in per]
-    table = spark.createDataFrame([(i, r["source"], r["size"], float(t), b) for i, (r, t, b) in enumerate(zip(per, want, blocks, strict=True))], "source_no int, _source string, source_size long, target double, blocks int")
-    known = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["_source"])).drop("_source")  # one row per source
-    known = known.withColumn("block", _block(seed))
+    sizes = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sources = stored(with_targets(stored(numbered(sizes, weights)), most))
+    blocks = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("n") / block_documents))).cast("int")
+    sources = sources.select("source_no", "source", F.col("size").alias("source_size"), "target", blocks.alias("blocks"))
     # whole blocks of the last, partial pass, in order of a hash of the block
-    sums = known.groupBy("source_no", "block").agg(F.sum("size").alias("block_size"))
+    sums = in_blocks(rows, sources, seed).groupBy("source_no", "block", "source_size", "target").agg(F.sum("size").alias("block_size"))
     order = W.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", F.lit(seed + 1)), "block")
-    placed = sums.join(F.broadcast(table.drop("_source")), "source_no").withColumn("before", F.coalesce(F.sum("block_size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    rest = F.when(F.col("source_size") > 0, F.col("target") - passes * F.col("source_size")).otherwise(0.0)
-    room = rest - F.col("before")
+    placed = sums.withColumn("before", F.coalesce(F.sum("block_size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # MOST_BLOCKS rows of a source at most
+    passes = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
+    room = F.col("target") - passes * F.col("source_size") - F.col("before")
     whole = (F.col("block_size") <= room) & (F.col("block_size") > 0)
-    each = placed.withColumn("copies", passes + F.when(whole, 1).otherwise(0)).withColumn("room", F.when(~whole & (room > 0) & (F.col("source_size") > 0), room))
-    each = stored(each.select("source_no", "block", "block_size", "copies", "room"))
-    # the tree: how many draws of each source go to each shard
-    quotas = {r["source_no"]: r["n"] for r in each.groupBy("source_no").agg(F.sum(F.col("copies") + F.when(F.col("room").isNotNull(), 1).otherwise(0)).alias("n")).collect()}
-    quota = np.array([int(quotas.get(i) or 0) for i in range(len(per))], np.int64)
-    shards = shards or int(max(1, min(4096, quota.sum() // 4)))
-    tree = splitting_tree(quota, shards, seed)
-    ends = np.cumsum(tree, axis=0)
-    cuts = spark.createDataFrame([(i, [int(x) for x in ends[:, i]]) for i in range(len(per))], "source_no int, ends array<long>")
-    number = F.col("copies") + F.when(F.col("room").isNotNull(), 1).otherwise(0)
-    drawn = each.select("source_no", "block", "room", F.explode(F.when(number > 0, F.sequence(F.lit(1), number))).alias("copy"))
+    each = placed.filter("source_size > 0").select("source_no", "block", (passes + F.when(whole, 1).otherwise(0)).cast("int").alias("whole"), F.when(~whole & (room > 0), room).alias("room"))
+    number = F.col("whole") + F.when(F.col("room").isNotNull(), 1).otherwise(0)
+    drawn = each.filter(number > 0).select("source_no", "block", F.explode(F.sequence(F.lit(1), number)).alias("copy"), "whole", "room")
     permuted = W.partitionBy("source_no").orderBy(F.xxhash64("source_no", "block", "copy", F.lit(seed + 2)), "block", "copy")
-    at = F.row_number().over(permuted)
-    last = each.select("source_no", "block", F.col("copies").alias("whole"))
-    drawn = drawn.withColumn("at", at).join(F.broadcast(cuts), "source_no")  # shards x sources numbers
-    drawn = drawn.join(last, ["source_no", "block"])
-    drawn = drawn.select("source_no", "block", "copy", (F.size(F.filter("ends", lambda e: e < F.col("at")))).alias("shard"), F.when(F.col("copy") > F.col("whole"), F.col("room")).alias("room"))
-    return known, drawn, table
-
-
-def _in_cut_block(rows: DataFrame) -> DataFrame:
-    """Rows of cut blocks (one per source) with ``fits``: whether they come before the cut."""
+    drawn = stored(drawn.select("source_no", "block", "copy", F.when(F.col("copy") > F.col("whole"), F.col("room")).alias("room"), F.row_number().over(permuted).cast("long").alias("at")))
+    # the tree: how many draws of each source go to each shard, and so which
+    quotas = stored(drawn.groupBy("source_no").agg(F.count("*").alias("n")))
+    shards = shards or int(max(1, min(MOST_SHARDS, (quotas.agg(F.sum("n")).first()[0] or 0) // 4)))
+    upto = F.sum("n").over(W.partitionBy("source_no").orderBy("shard"))
+    parts = stored(dealt(quotas, shards, seed)).withColumn("upto", upto)
+    places = parts.select("source_no", "shard", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("at"))
+    return sources, stored(drawn.join(places, ["source_no", "at"]).select("source_no", "block", "copy", F.col("shard").cast("int").alias("shard"), "room"))
+
+
+def in_blocks(rows: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
+    """``rows`` with what is known of their sources, and their block."""
+    known = rows.join(few(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return known.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int"))
+
+
+def taken(rows: DataFrame, sources: DataFrame, drawn: DataFrame, seed: int = SEED) -> DataFrame:
+    """``rows`` with ``copies``: an array of (copy, shard) for the times that the row is taken."""
+    per_block = drawn.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", "room"))).alias("dealt"), F.max("room").alias("room"))  # some copies of one block
+    known = in_blocks(rows, sources, seed).join(few(stored(per_block)), ["source_no", "block"], "left")
     order = W.partitionBy("source_no", "block").orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("fits", (F.sum("size").over(order) <= F.col("room")))
+    cut = known.filter(F.col("room").isNotNull()).withColumn("fits", F.sum("size").over(order) <= F.col("room"))  # one block per source
+    rest = known.filter(F.col("room").isNull()).withColumn("fits", F.lit(False))
+    own = F.filter("dealt", lambda d: d["room"].isNull() | F.col("fits"))
+    copies = F.when(F.col("size") > 0, F.transform(own, lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"))))
+    return rest.unionByName(cut).withColumn("copies", F.coalesce(copies, F.array().cast("array<struct<copy:int,shard:int>>")))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """The mix itself: a row doc_id, size, source, copy, shard, place for every time a document is taken."""
-    known, drawn, _ = draws(docs, **how)
-    rows = known.join(drawn, ["source_no", "block"])
-    whole = rows.filter(F.col("room").isNull()).withColumn("fits", F.lit(True))
-    taken = whole.unionByName(_in_cut_block(rows.filter(F.col("room").isNotNull()))).filter("fits")
+    rows = stored(sized(docs))
+    plan = taken(rows, *draws(rows, seed=seed, **how), seed).select("doc_id", "size", "source", F.explode("copies").alias("own"))
+    plan = plan.select("doc_id", "size", "source", "own.copy", "own.shard")
     place = F.row_number().over(W.partitionBy("shard").orderBy(F.xxhash64("doc_id", "copy", F.lit(31)), "doc_id", "copy", "size"))
-    return taken.select("doc_id", "size", "source", "copy", "shard", place.alias("place"))
-
-
-def _per_block(drawn: DataFrame) -> DataFrame:
-    return drawn.groupBy("source_no", "block").agg(F.sum(F.when(F.col("room").isNull(), 1).otherwise(0)).alias("copies"), F.max("room").alias("room"))
-
-
-def repeated(docs: DataFrame, **how) -> DataFrame:
-    """Every row of ``docs``, unchanged, as often as the mix takes it; texts are not shuffled."""
-    known, drawn, sources = draws(docs, **how)
-    per_block = stored(_per_block(drawn))
-    cut = known.join(F.broadcast(per_block.filter(F.col("room").isNotNull())), ["source_no", "block"])  # one block per source
-    fits = stored(_in_cut_block(cut).filter("fits").select(F.col("source_no").alias("_no"), F.col("doc_id").alias("_id")).distinct())
-    few = lambda df: F.broadcast(df) if df.count() <= 500_000 else df
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    rows = rows.join(F.broadcast(sources.select("_source", "source_no", "blocks")), F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", _block(how.get("seed", SEED)))
-    rows = rows.join(few(per_block.select("source_no", "block", "copies")), ["source_no", "block"], "left")
-    rows = rows.join(few(fits.withColumn("one", F.lit(1))), (F.col("source_no") == F.col("_no")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    times = F.coalesce("copies", F.lit(0)) + F.coalesce("one", F.lit(0))
-    return rows.filter(times > 0).select("row", F.explode(F.sequence(F.lit(1), times.cast("int")))).select("row.*")
-
-
-def counted(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of ``docs``."""
-    known, drawn, _ = draws(docs, **how)
-    rows = known.join(_per_block(drawn), ["source_no", "block"], "left")
-    cut = _in_cut_block(rows.filter(F.col("room").isNotNull()))
-    plain = rows.filter(F.col("room").isNull()).withColumn("fits", F.lit(False))
-    times = F.coalesce(F.col("copies"), F.lit(0)) + F.when(F.col("fits"), 1).otherwise(0)
-    return plain.unionByName(cut).select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+    return plan.withColumn("place", place)  # a shard is about four blocks
+
+
+def mixed(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
+    """Every row of ``docs``, unchanged, as often as the mix takes it: shard by shard, each in its shuffled order."""
+    own = stored(sized(docs))
+    sources, drawn = draws(own, seed=seed, **how)
+    rows = sized(docs, F.struct(*docs.columns).alias("row"))
+    copies = taken(rows, sources, drawn, seed).select("row", "doc_id", F.explode("copies").alias("own"))
+    order = F.xxhash64("doc_id", "own.copy", F.lit(31))
+    placed = copies.select("row", F.col("own.shard").alias("shard"), order.alias("place"), "doc_id").repartitionByRange("shard")
+    return placed.sortWithinPartitions("shard", "place", "doc_id").select("row.*")
+
+
+def counted(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the shards of the copies of every row of ``docs``."""
+    rows = stored(sized(docs))
+    known = taken(rows, *draws(rows, seed=seed, **how), seed)
+    return known.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"), F.transform("copies", lambda c: c["shard"]).alias("shards"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
