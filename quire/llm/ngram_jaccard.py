@@ -4,11 +4,17 @@ A document is the set of its five-word shingles; two link when 100 * intersectio
 Equal sets are one representative (the least id) before anything else.
 
 Tokens have one global order: those not known as frequent by hash, then the frequent ones, rarer
-first.  Sets that link share at least ``l`` tokens within their first ``n - ceil(0.8 n) + l`` tokens.
-With ``l = 2``, two linked sets share a rare token there, or two frequent ones: so a set is indexed
-under each rare token of its 2-prefix and under each pair of frequent tokens.  Longer sets, whose
-pairs would be many, are indexed under the frequent tokens of the 1-prefix instead; sets of a size
-that may meet both kinds have both.
+first.  Of ``n`` tokens ``o = ceil(0.8 n)`` at least are shared with any partner, so linked sets share
+``l`` tokens within their first ``n - o + l``.
+
+* A set is indexed under each rare token of its 1-prefix.  If its rare tokens fill that prefix, its
+  partners share one of them, and nothing more is needed.
+* Otherwise a partner shares a rare token or, in the prefix extended to ``l = m + 1``, at least
+  ``m + 1`` frequent ones.  These are dealt to ``m`` classes by hash, so some class holds two of them:
+  the set is indexed under the pairs of frequent tokens of one class.  With ``m`` in proportion to
+  the size, a set has pairs in proportion to its size too, whatever that is.  ``m`` goes by powers of
+  two of the smaller partner's size; a set has the pairs of each power that its smaller partners,
+  itself included, may have.
 
 Frequent are the (at most 2**18) tokens with the greatest counts that blocks of the corpus report: a
 block (a task's next few million tokens, equal sets once) reports all it has seen twice or more.  The
@@ -37,17 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, documents, forget, most_frequent, scramble, shingle_set, stored
+from quire.llm.common import WordHashes, documents, few, forget, most_frequent, scramble, shingle_set, stored
 from quire.llm.components import components
 
 NUMBER, PERCENT = 5, 80
-#: sets of at most PAIRS_TO tokens index pairs of frequent tokens, those above SINGLES_FROM single ones
-PAIRS_TO, SINGLES_FROM = 150, 119
 BLOCK = 4_000_000
-#: sets of a bucket that meet as one row
-BLOCK_SETS = 256
-#: ids and keys are broadcast up to this number (some MB), beyond it joined by a shuffle
-FEW = 500_000
+#: sets of a bucket that meet as one row, and sets of buckets with one least id that a task takes together
+BLOCK_SETS, UNIT = 256, 1024
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,6 +99,12 @@ def frequent_tokens(docs: DataFrame, least: int = 16, most: int = 1 << 18) -> np
     return token[np.lexsort((token, n))]
 
 
+def levels(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """(power of two, classes) for the sizes that the smaller of two linked sets may have, one of which has ``n`` tokens."""
+    powers = range(max(least_overlap(n, percent), 1).bit_length() - 1, n.bit_length())
+    return [(p, max(1, min((1 << p) * (100 - percent) // 100, (1 << p) * percent // 100 - 1))) for p in powers]
+
+
 def index_keys(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Index keys of a sorted token set. ``frequent``: sorted tokens, ``order``: their ranks."""
     n = len(tokens)
@@ -109,18 +117,21 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, perc
     else:
         rare, hot = tokens, tokens[:0]
     one = n - least_overlap(n, percent) + 1
-    two = min(one + 1, n)
-    found = [rare[:two]]
-    if n <= PAIRS_TO:
-        last = hot[: max(two - len(rare), 0)]
-        i, j = np.triu_indices(len(last), 1)
-        found.append((np.minimum(last[i], last[j]) * _PAIR) ^ np.maximum(last[i], last[j]))
-    if n > SINGLES_FROM:
-        found.append(hot[: max(one - len(rare), 0)])
+    found = [rare[:one]]
+    for power, classes in levels(n, percent) if len(rare) < one else ():
+        some = hot[: min(one + classes, n) - len(rare)]
+        kind = scramble(some + np.uint64(power)) % np.uint64(classes)
+        by_kind = np.lexsort((some, kind))
+        some, kind = some[by_kind], kind[by_kind]
+        for step in range(1, len(some)):  # pairs within a class: of neighbours, of those two apart, and so on
+            same = kind[step:] == kind[:-step]
+            if not same.any():
+                break
+            found.append(scramble((some[:-step][same] * _PAIR) ^ some[step:][same]) + np.uint64(power))
     return np.unique(np.concatenate(found))
 
 
-def _signatures(frequent: np.ndarray):
+def _signatures(frequent: np.ndarray, percent: int):
     rank = np.argsort(frequent)
     table = frequent[rank]
 
@@ -131,7 +142,7 @@ def _signatures(frequent: np.ndarray):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [text_set(t, hashes) for t in part.column(1).to_pylist()]
-                keys = [index_keys(s, table, rank) for s in sets]
+                keys = [index_keys(s, table, rank, percent) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -214,11 +225,6 @@ def _meet(percent: int):
     return run
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A broadcast of ``ids`` where they are few, else a hash join's build side."""
-    return F.broadcast(ids) if ids.count() <= FEW else ids.hint("shuffle_hash")
-
-
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and token set (binary) of the documents named by ``ids``."""
 
@@ -230,7 +236,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_set(t, hashes).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "tokens"])
 
     rows = _texts(docs).filter(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id")
-    return rows.join(_few(ids), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens binary")
+    return rows.join(few(ids), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, tokens binary")
 
 
 def _verify(percent: int):
@@ -268,33 +274,41 @@ def _likely(pairs: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
 def join(docs: DataFrame, percent: int = PERCENT, **how) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, **how))  # 2 MB at most
-    rows = stored(_texts(docs).mapInArrow(lambda it: _signatures(shared.value)(it), "doc_id long, n long, same binary, sketch binary, keys array<long>"))
+    rows = stored(_texts(docs).mapInArrow(lambda it: _signatures(shared.value, percent)(it), "doc_id long, n long, same binary, sketch binary, keys array<long>"))
     good = rows.filter(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
     groups = stored(good.groupBy("same").agg(F.min("doc_id").alias("id")))
     leads = good.join(groups.select("same", F.col("id").alias("doc_id")), ["same", "doc_id"], "left_semi").withColumnRenamed("doc_id", "id")
     sketches = stored(leads.select("id", "n", "sketch").distinct())
     index = leads.select(F.explode("keys").alias("key"), "id")
     buckets = stored(index.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high"))
-    members = stored(index.join(_few(buckets.filter("size > 2").select("key", "low")), "key"))
+    members = stored(index.join(few(buckets.filter("size > 2").select("key", "low")), "key"))
     star = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
     star = stored(star.distinct())
     links = _linked(docs, _likely(star, sketches, percent), percent)
     parts = stored(components(links))
     known = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
     mixed = known.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.first("low").alias("low"), F.count("*").alias("size")).filter("p != q")
-    # buckets with one least id hold much the same sets: they are cut alike and their blocks go to the same tasks
-    cut = stored(mixed.groupBy("low").agg(F.ceil(F.max("size") / BLOCK_SETS).alias("blocks")).join(mixed.select("low", "key"), "low"))
+    # buckets with one least id hold much the same sets: some of them are cut alike, and blocks of one number go to a task, which tells repeated pairs apart
+    each = F.greatest(F.lit(1), F.floor(UNIT / F.least(F.lit(BLOCK_SETS), F.max("size"))))
+    shape = mixed.groupBy("low").agg(F.ceil(F.max("size") / BLOCK_SETS).alias("blocks"), F.ceil(F.count("*") / each).alias("salts"))
+    cut = stored(mixed.join(shape, "low").select("low", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt")))
     rest = known.drop("low").join(cut, "key").join(sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    blocks = stored(rest.repartition("low", "block").groupBy("low", "key", "block", "blocks").agg(F.collect_list(F.struct("id", "part", "n", "sketch")).alias("sets")))  # about BLOCK_SETS sets
+    unit = ["low", "salt", "block"]
+    blocks = stored(rest.repartition(*unit).groupBy(*unit, "key", "blocks").agg(F.collect_list(F.struct("id", "part", "n", "sketch")).alias("sets")))  # about BLOCK_SETS sets
     within = blocks.select(F.col("sets").alias("mine"), F.col("sets").alias("others"))
-    one, two = (blocks.filter("blocks > 1").select("low", "key", F.col("block").alias(b), F.col("sets").alias(name)) for b, name in (("b1", "mine"), ("b2", "others")))
-    across = one.join(two, ["low", "key"]).filter("b1 < b2").repartition("low", "b1", "b2").select("mine", "others")
+    one, two = (blocks.filter("blocks > 1").select("low", "salt", "key", F.col("block").alias(b), F.col("sets").alias(name)) for b, name in (("b1", "mine"), ("b2", "others")))
+    across = one.join(two, ["low", "salt", "key"]).filter("b1 < b2").repartition("low", "salt", "b1", "b2").select("mine", "others")
     more = within.mapInArrow(_meet(percent), "a long, b long").unionByName(across.mapInArrow(_meet(percent), "a long, b long")).distinct()
     more = stored(more.join(star, ["a", "b"], "left_anti"))
     links = links.unionByName(_linked(docs, more, percent))
-    # equal sets under other ids and the least id of each group
-    whole = components(links.unionByName(good.join(groups, "same").filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()))
-    return rows.join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # an id with several texts joins their sets' representatives; a row has the component of its set
+    several = good.groupBy("doc_id").agg(F.min("same").alias("p"), F.max("same").alias("q")).filter("p != q").select("doc_id")
+    joined = good.join(several, "doc_id").select("doc_id", "same").join(groups, "same").filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    whole = stored(components(links.unionByName(joined)))
+    of_set = groups.join(whole.withColumnRenamed("node", "id"), "id", "left").select(F.col("same").alias("_same"), F.coalesce("component", "id").alias("of_set"))
+    of_id = whole.join(several, whole["node"] == several["doc_id"], "left_semi").select(F.col("node").alias("doc_id"), F.col("component").alias("of_id"))
+    found = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("_same")).join(of_set, "_same", "left").join(few(of_id), "doc_id", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("of_set", "of_id", "doc_id").alias("component_id"))
 
 
 def _one_of_equal(rows: DataFrame) -> DataFrame:
@@ -304,7 +318,7 @@ def _one_of_equal(rows: DataFrame) -> DataFrame:
     """
     named = rows.withColumn("_same", F.coalesce(F.unhex(F.md5("text")), F.lit(b"")))
     again = stored(named.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "_same").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
-    once, more = (named.join(_few(again), ["doc_id", "_same"], how) for how in ("left_anti", "left_semi"))
+    once, more = (named.join(few(again), ["doc_id", "_same"], how) for how in ("left_anti", "left_semi"))
     return once.unionByName(more.dropDuplicates(["doc_id", "_same"])).select(*rows.columns)
 
 
