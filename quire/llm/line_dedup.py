@@ -1,10 +1,11 @@
 """Line dedup: a segment-partition edit join in DataFrame operations only.
 
-Lines of at least ``LEAST`` characters are compared; shorter ones that hold a word go where an earlier
-line is equal (``short``, as ``keep`` and so the pipeline have it), else they stay.  A line goes if an
-earlier line of the corpus - by document id, then place in the text - is equal or within ``EDITS``
-edits of it; that the earlier line may go itself does not matter.  With ``share``, as ``keep`` and so the
-pipeline have it, the edits grow with the length: one for ``share`` characters of the shorter line.
+A line goes if an earlier line of the corpus - by document id, then place in the text - is equal or
+near; that the earlier line may go itself does not matter.  Near lines have at least ``LEAST``
+characters and are within ``EDITS`` edits; with ``share``, as ``keep`` and so the pipeline have it, the
+edits grow with the length: one for ``share`` characters of the shorter line.  Lines under ``LEAST``
+characters that hold a word go where an earlier line is equal (``short``, as both queries and ``keep``
+have it): two edits turn a short line into another one too easily.  Lines without a word stay.
 
 Equal lines are grouped first; a group stands for its first occurrence.  A group's text is split into
 ``EDITS + 1`` segments; of two texts within ``EDITS`` edits, the longer has one segment of the shorter
@@ -20,23 +21,26 @@ then meet all earlier texts of their buckets; blocks of texts meet as rows, so n
 Defined cases: a null text has no lines and stays null; an empty text stays empty; ``keep`` leaves out
 a document all of whose words went, while one that never had any stays; rows with equal ids count as
 one document: its lines drop no lines of the same number, and lose the same lines; a null id comes
-first.
+first; of equal lines the first place is the one that stays; lines are compared whole, however long;
+``keep`` returns all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, documents, release, stored
+from quire.llm.common import WORD, documents, few, release, stored
 
 EDITS, LEAST = 2, 40
 #: with ``share``, one edit for so many characters: ``EDITS`` below 60, 3 from 60, 16 from 320
 SHARE = 20
-#: allowances up to this have keys by place, greater ones by windows; keys of a pass for each text, which bounds what is shuffled at once
-PLACED, PASS_KEYS, LEAST_KEYS = 40, 25, 5_000_000
-#: ids are broadcast up to this number (a few MB), beyond it joined by a shuffle
-FEW = 500_000
+#: allowances of a class have segments of one size; the last class, from here on without end, has keys by windows instead of places
+CLASSES, FAR = ((2, 2), (3, 3), (4, 8), (9, 18), (19, 40)), 41
+#: keys of a pass for each text, which bounds what is shuffled at once
+PASS_KEYS, LEAST_KEYS = 8, 5_000_000
 #: characters that a comparison reads first
 EARLY = 24
 #: texts of a bucket that are compared as one row
@@ -75,44 +79,67 @@ def allowed(n: Column, share: int) -> Column:
     return F.greatest(F.lit(EDITS), F.floor(n / share)).cast("int")
 
 
-def _banded(texts: DataFrame, share: int) -> DataFrame:
-    """id, n, text, own, k: each text with its allowance, and with the lesser one if a text that has that is near in length."""
-    own = F.col("own")
-    rows = texts.select("id", "n", "text", allowed(F.col("n"), share).alias("own"))
-    return rows.withColumn("k", F.explode(F.when((own > EDITS) & (F.col("n") - own + 1 < own * share), F.array(own, own - 1)).otherwise(F.array(own))))
+def _width(least: int, share: int) -> int:
+    """Size of the segments of a class that begins with ``least`` edits: one more than the edits fit in any of its texts."""
+    return least * share // (least + 1)
 
 
-def banded_posts(texts: DataFrame, share: int) -> DataFrame:
-    """id, key, indexed as in ``posts``, for the pairs within what the shorter text allows; ``texts`` are of ``_banded``.
+def classed(texts: DataFrame, share: int) -> DataFrame:
+    """id, n, wide, own, class, k, w: each text once for its own class and for those of the shorter texts that it may be near to.
 
-    An allowance ``k`` has k + 1 segments of one size, the first half placed from the start of a text
-    and the others from its end.  Some segment has no edit in it, ``i`` edits to its left and at most
-    ``k - i`` to its right, so it stands in the longer text within ``i`` places from the start and
-    ``k - i`` from the end, whatever the lengths.  Of long texts all windows of that size are probed.
+    ``k`` is the greatest allowance of such texts, ``own`` whether the class is the text's.
+    """
+    kinds = [*CLASSES, (FAR, 1 << 30)]
+    each = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(_width(lo, share)).alias("w")) for c, (lo, hi) in enumerate(kinds)))
+    # of two near texts, the shorter has at least share / (share + 1) of the length of the longer
+    least = allowed(F.floor(F.col("n") * share / (share + 1)) - 1, share)
+    rows = texts.select("id", "n", "text", allowed(F.col("n"), share).alias("most"), least.alias("least"))
+    some = F.filter(each, lambda c: (c["lo"] <= F.col("most")) & (c["hi"] >= F.col("least")))
+    rows = rows.withColumn("c", F.explode(some)).select("id", "n", "text", F.col("c.class").alias("class"), F.col("c.w").alias("w"), F.least("most", F.col("c.hi")).alias("k"), (F.col("most") <= F.col("c.hi")).alias("own"))
+    # four bytes a character, so that places are found without counting; exploded, it is made once a text and not once a key
+    return rows.select("id", "n", "class", "w", "k", "own", F.explode(F.array(F.encode("text", "UTF-32"))).alias("wide"))
+
+
+def _units(of: DataFrame) -> list[tuple[int, int, int]]:
+    """(class, side, number) of the segments, as many from the start (side 0) as from the end, or one more; keys of two units never meet."""
+    most = {r["class"]: r["k"] for r in of.groupBy("class").agg(F.max("k").alias("k")).collect()}  # a row for each class
+    near = [(c, side, i) for c, k in sorted(most.items()) if c < len(CLASSES) for side in (0, 1) for i in range(k // 2 + 1 if side == 0 else k - k // 2)]
+    return near + [(c, 0, 0) for c in most if c == len(CLASSES)]
+
+
+def classed_posts(of: DataFrame, units: list[tuple[int, int, int]]) -> DataFrame:
+    """id, key, indexed as in ``posts``, for the pairs within what the shorter text allows; ``of`` are rows of ``classed``.
+
+    An allowance ``k`` has k + 1 segments, the first k div 2 + 1 placed from the start of a text and the
+    others from its end.  Some segment has no edit in it, at most ``i`` edits to its left and at most
+    ``k - i`` to its right: so one that has ``i`` others between it and its end of the text stands in
+    the longer text within ``i`` places from there, whatever ``k`` and the lengths.  Of texts with a
+    great allowance all windows of that size are probed.
     """
-    places = texts.sparkSession.range(EDITS, PLACED + 1).select(F.col("id").cast("int").alias("k")).select("k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    places = places.select("k", "i", F.explode(F.expr("sequence(-least(i, k - i), least(i, k - i))")).alias("o"))
-    wide = texts.select("id", "n", "own", "k", F.expr(f"cast(k * {share} div (k + 1) as int)").alias("w"), F.explode(F.array(F.encode("text", "UTF-32"))).alias("wide"))  # exploded, it is made once a text and not once a key
-    near = wide.filter(F.col("k") <= PLACED).join(F.broadcast(places), "k").withColumn("at", F.expr("if(i <= k div 2, i * w, n - (k + 1 - i) * w) + o"))  # some thousand places
-    near = near.filter("at >= 0 and at <= n - w").withColumn("indexed", F.expr("k = own and o = 0"))
-    far = wide.filter(F.col("k") > PLACED).withColumn("at", F.explode(F.expr("sequence(0, n - w)"))).withColumn("i", F.lit(-1))
-    far = far.withColumn("indexed", F.expr("k = own and at % w = 0 and at div w <= k"))
-    key = F.expr("xxhash64(k, i, substring(wide, 4 * at + 1, 4 * w))").alias("key")
-    return near.select("id", key, "indexed").unionByName(far.select("id", key, "indexed"))
-
-
-def _passes(banded: DataFrame) -> list[tuple[int, int]]:
-    """Ranges of allowances, each with about ``PASS_KEYS`` keys a text of all or with one allowance alone."""
-    k = F.col("k").cast("long")
-    keys = F.when(k <= PLACED, k * k / 2 + k + 1).otherwise(F.col("n"))
-    sums = banded.groupBy("k").agg(F.sum(keys).alias("keys"), F.count("*").alias("rows")).orderBy("k").collect()  # a row for each allowance
-    most, out, held = max(LEAST_KEYS, PASS_KEYS * sum(r["rows"] for r in sums)), [], 0
-    for r in sums:
-        if not out or held + r["keys"] > most:
-            out.append([r["k"], r["k"]])
+    spark, far = of.sparkSession, len(CLASSES)
+    places = [(c, side, i, o) for c, side, i in units if c < far for o in range(-i, i + 1)]
+    table = F.broadcast(spark.createDataFrame(places, "class int, side int, i int, o int"))  # some hundred places
+    near = of.filter(F.col("class") < far).join(table, "class").filter(F.expr("if(side = 0, i <= k div 2, i < k - k div 2)"))
+    near = near.withColumn("at", F.expr("if(side = 0, i * w, n - (i + 1) * w) + o")).filter("at >= 0 and at <= n - w")
+    posts_ = near.select("id", F.expr("xxhash64(class, side, i, substring(wide, 4 * at + 1, 4 * w))").alias("key"), F.expr("own and o = 0").alias("indexed"))
+    if any(c == far for c, *_ in units):
+        windows = of.filter(F.col("class") == far).withColumn("at", F.explode(F.expr("sequence(0, n - w)")))
+        posts_ = posts_.unionByName(windows.select("id", F.expr("xxhash64(class, substring(wide, 4 * at + 1, 4 * w))").alias("key"), F.expr("own and at % w = 0 and at div w <= k").alias("indexed")))
+    return posts_
+
+
+def _passes(of: DataFrame) -> list[list[tuple[int, int, int]]]:
+    """The units in groups, each with about ``PASS_KEYS`` keys a text or with one unit alone."""
+    counts = of.groupBy("class", "k").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()  # a row for each allowance
+    most, out, held = max(LEAST_KEYS, PASS_KEYS * sum(r["rows"] for r in counts if r["k"])), [], 0
+    for c, side, i in _units(of):
+        keys = sum(r["n"] if c == len(CLASSES) else (2 * i + 1) * r["rows"] for r in counts if r["class"] == c and (c == len(CLASSES) or i < (r["k"] // 2 + 1 if side == 0 else r["k"] - r["k"] // 2)))
+        if not out or held + keys > most:
+            out.append([])
             held = 0
-        out[-1][1], held = r["k"], held + r["keys"]
-    return [(lo, hi) for lo, hi in out]
+        out[-1].append((c, side, i))
+        held += keys
+    return out
 
 
 def within(x: Column, y: Column, k: int) -> Column:
@@ -180,7 +207,7 @@ def lines(docs: DataFrame, least: int = LEAST, short: bool = False) -> DataFrame
 
 def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` whose id is in ``ids`` (distinct)."""
-    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids.hint("shuffle_hash"), "id", "left_semi")
+    return rows.join(few(ids), "id", "left_semi")
 
 
 def _close(x: Column, y: Column, nx: Column, ny: Column, k: int, share: int | None) -> Column:
@@ -204,19 +231,17 @@ def near_lines(texts: DataFrame, k: int = EDITS, share: int | None = None) -> Da
     """Ids of ``texts`` (id, text, n; all different) that have an earlier text within ``k`` edits, or with ``share`` within what the shorter of both allows."""
     kinds = [F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or("indexed").alias("any_indexed"), F.count("*").alias("size")]
     if share is None:
-        own = posts(texts, k)
-        parts = [own]
+        parts = [posts(texts, k)]
     else:
-        banded = _banded(texts, share)
-        own = banded_posts(banded, share)
-        parts = [banded_posts(banded.filter(F.col("k").between(lo, hi)), share) for lo, hi in _passes(banded)] or [own]
-    buckets = None
+        of = classed(texts, share)
+        parts = [classed_posts(of, units) for units in _passes(of) or [[]]]
+    buckets, members = [], []
     for part in parts:
-        some = stored(part.groupBy("key").agg(*kinds).filter("any_indexed and low != high"))
-        buckets = some if buckets is None else buckets.unionByName(some)
+        met = stored(part.groupBy("key").agg(*kinds).filter("any_indexed and low != high"))
         release(texts.sparkSession)
-    large = buckets.filter("size > 2").select("key", "low", "size")
-    members = stored(own.join(F.broadcast(large) if large.count() <= FEW else large, "key"))
+        buckets.append(met)
+        members.append(stored(part.join(few(met.filter("size > 2").select("key", "low", "size")), "key")))
+    buckets, members = (functools.reduce(DataFrame.unionByName, x) for x in (buckets, members))
     star = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
     gone = _within(stored(star.distinct()), texts, k, share)
     # what is left meets all earlier texts of its buckets, block by block
@@ -261,28 +286,27 @@ def counted(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_lines, n_equal, n_near of every row: its lines, and those that go as equal or near."""
     gone = dropped(docs, **how).groupBy("doc_id").agg(F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"))
-    gone = gone.withColumnRenamed("doc_id", "_id")
+    gone = gone.withColumnRenamed("doc_id", "_id")  # ``own`` has two columns
     return own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "n_lines", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_equal", "n_near")))
 
 
 def keep(docs: DataFrame, short: bool = True, share: int | None = SHARE, **how) -> DataFrame:
     """``docs`` without the lines that go; ``n_chars``, if there, is counted anew."""
-    gone = dropped(docs, short=short, share=share, **how).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("_gone")).withColumnRenamed("doc_id", "_id")  # lines of one document
-    rows = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-    parts = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get(parts, i)), "\n"))
-    rows = rows.withColumn("text", text).filter(F.col("_gone").isNull() | F.col("text").rlike(WORD))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
-
-
-ORACLE_SQL = f"""
+    gone = dropped(docs, short=short, share=share, **how).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("gone"))  # lines of one document
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")), "left").select("row", "gone")
+    parts, whole = F.split("row.text", "\n"), F.col("gone").isNull()
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    text = F.when(whole, F.col("row.text")).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get(parts, i)), "\n"))
+    rows = rows.withColumn("left", text).filter(whole | F.col("left").rlike(WORD))
+    new = {"text": F.col("left"), "n_chars": F.when(whole, F.col("row")["n_chars"]).otherwise(F.char_length("left").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None}
+    return rows.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+ORACLE_SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-k AS (SELECT *, length(t) AS n FROM l WHERE length(t) >= {LEAST}),
+k AS (SELECT *, length(t) AS n FROM l WHERE length(t) >= {LEAST} OR regexp_matches(t, '[^\x20\x09-\x0D]')),
 g AS (SELECT t, n, min((doc_id, i)) AS first FROM k GROUP BY t, n),
-near AS (SELECT DISTINCT a.t FROM g a JOIN g b ON b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS} AND b.first < a.first WHERE levenshtein(a.t, b.t) <= {EDITS}),
+near AS (SELECT DISTINCT a.t FROM g a JOIN g b ON b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS} AND b.first < a.first WHERE a.n >= {LEAST} AND b.n >= {LEAST} AND levenshtein(a.t, b.t) <= {EDITS}),
 f AS (SELECT k.doc_id, count(*) FILTER (WHERE (k.doc_id, k.i) <> g.first) AS n_equal, count(*) FILTER (WHERE (k.doc_id, k.i) = g.first AND near.t IS NOT NULL) AS n_near
   FROM k JOIN g ON g.t = k.t LEFT JOIN near ON near.t = k.t GROUP BY k.doc_id)
 SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
@@ -290,4 +314,4 @@ FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(documents(spark, sf_dir))
+    return counted(documents(spark, sf_dir), short=True)

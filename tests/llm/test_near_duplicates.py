@@ -81,8 +81,37 @@ def test_jaccard_of_varied_texts(spark):
     assert jaccard(spark, data) == brute(data)
 
 
-def test_jaccard_of_odd_rows(spark, odd, none):
+@pytest.mark.parametrize("percent", [50, 90])
+def test_jaccard_of_other_thresholds(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(200):
+        n = int(rng.integers(2, 300))
+        x = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        y = x.copy()
+        change = rng.permutation(len(y))[: int(len(y) * rng.uniform(0, (100 - percent) / (100 + percent)))]
+        y[change] = rng.integers(0, 1 << 60, len(change)).astype(np.uint64)
+        y = np.unique(y)[int(rng.integers(0, 2)) :]
+        both = len(np.intersect1d(x, y))
+        if both and 100 * both >= percent * (len(x) + len(y) - both) and not np.array_equal(x, y):
+            frequent = np.sort(x)
+            order = rng.permutation(len(frequent))
+            assert len(np.intersect1d(*(ngram_jaccard.index_keys(s, frequent, order, percent) for s in (x, y))))
+
 
+def test_jaccard_of_a_large_group_of_near_copies(spark):
+    """Near copies of one text in many variants, whose shingles are all frequent."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    data = []
+    for i in range(300):
+        text = list(base)
+        for _ in range(i % 3):
+            text[rng.randrange(60)] = f"x{i}"
+        data.append((i, " ".join(text), "en", "s"))
+    assert jaccard(spark, data) == brute(data)
+
+
+def test_jaccard_of_odd_rows(spark, odd, none):
 
     assert jaccard(spark, ODD) == brute(ODD)
     assert ngram_jaccard.join(none).count() == 0
@@ -103,7 +132,7 @@ def test_index_meets_all_links():
     """Any two sets that link share a key, whatever is called frequent."""
     rng = np.random.default_rng(3)
     for _ in range(300):
-        n = int(rng.integers(2, 220))
+        n = int(rng.choice([rng.integers(2, 40), rng.integers(40, 400), rng.integers(400, 3000)]))
         x = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
         y = x.copy()
         change = rng.permutation(len(y))[: int(len(y) * rng.uniform(0, 0.12))]
@@ -112,9 +141,15 @@ def test_index_meets_all_links():
         both = len(np.intersect1d(x, y))
         if 100 * both < 80 * (len(x) + len(y) - both):
             continue
+        if rng.random() < 0.3:  # all tokens of both frequent
+            frequent = np.union1d(x, y)
+            order = rng.permutation(len(frequent))
+            a, b = (ngram_jaccard.index_keys(s, frequent, order) for s in (x, y))
+            assert len(np.intersect1d(a, b)) or np.array_equal(x, y)
         frequent = np.sort(rng.permutation(x)[: int(len(x) * rng.choice([0, 0.5, 1]))])
         order = rng.permutation(len(frequent))
         a, b = (ngram_jaccard.index_keys(s, frequent, order) for s in (x, y))
+        assert len(a) <= 2.5 * len(x) + 20  # in proportion to the size, combinations or not
         assert (x == y).all() if len(x) == len(y) == 1 else len(np.intersect1d(a, b)) or np.array_equal(x, y)
         assert ngram_jaccard.sketch_distance(ngram_jaccard.parity_sketch(x), ngram_jaccard.parity_sketch(y)) <= len(x) + len(y) - 2 * both
 
@@ -129,11 +164,11 @@ def distance_at_most(a, b, k):
 
 
 def line_counts(data, least_length):
-    lines = sorted(((i, at, t) for i, text, *_ in data if text is not None for at, t in enumerate(text.split("\n")) if len(t) >= least_length), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    lines = sorted(((i, at, t) for i, text, *_ in data if text is not None for at, t in enumerate(text.split("\n")) if len(t) >= least_length or t.strip(" \t\r\x0b\x0c")), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     first, near, out = {}, {}, {}
     for i, at, t in lines:
         if t not in first:
-            near[t] = any(abs(len(t) - len(u)) <= 2 and distance_at_most(t, u, 2) for u in first)
+            near[t] = len(t) >= least_length and any(len(u) >= least_length and abs(len(t) - len(u)) <= 2 and distance_at_most(t, u, 2) for u in first)
             first[t] = (i, at)
         equal = first[t] != (i, at)
         if equal or near[t]:
@@ -156,7 +191,7 @@ def test_lines(spark):
             text.append("".join(line))
         data.append((i, "\n".join(text), "en", "s"))
     want = line_counts(data, 40)
-    got = line_dedup.counted(rows(spark, data)).collect()
+    got = line_dedup.counted(rows(spark, data), short=True).collect()
     assert {r.doc_id: (r.n_equal, r.n_near) for r in got if r.n_equal or r.n_near} == want and any(n for _, n in want.values())
 
 
@@ -167,7 +202,8 @@ def test_lines_of_odd_rows(spark, odd, none):
     kept = {r.doc_id: r.text for r in line_dedup.keep(odd).collect()}
     assert kept[None] and 3 not in kept and 10 not in kept  # the row without id comes first
     assert kept[0] is None and kept[1] == "" and kept[2] == " \n\t "
-    assert line_dedup.keep(odd).columns == odd.columns
+    clash = odd.selectExpr("*", "1 as _id", "2 as _gone", "3 as gone", "4 as row", "5 as left", "6 as at")
+    assert line_dedup.keep(clash).columns == clash.columns and line_dedup.keep(clash).count() == len(kept)
 
 
 def test_short_equal_lines_go(spark):
@@ -191,7 +227,7 @@ def test_edits_grow_with_the_line(spark):
     """Against brute force over lines of all bands, edits spread or in one place; a changed word of a long line is near."""
     rng = random.Random(5)
     texts = []
-    for n in (40, 61, 79, 161, 321, 337, 830):
+    for n in (40, 61, 79, 161, 179, 321, 379, 381, 779, 818, 830):
         for _ in range(2):
             base = "".join(rng.choice("abcdefgh é") for _ in range(n + rng.randint(-1, 1)))
             texts.append(base)
