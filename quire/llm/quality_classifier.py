@@ -9,9 +9,12 @@ fitted to the training margins turns the margin into a score.
 Fitting reads at most ``max_per_class`` labelled documents of each class, those with the smallest
 hash of the id, so its cost on the driver is bounded; scoring is one pass without a shuffle.
 
-Defined cases: null and empty texts have only the rate indicators of an empty text; a null label, a
-label without document and a document without label are no training rows; repeated labels count as
-often as they occur; with one class or none in training every score is that class or 0.5.
+Defined cases: null and empty texts have only the rate indicators of an empty text; texts are read
+whole, however long, and counted as sets, so a row costs memory by its distinct windows; a null label,
+a label without document and a document without label are no training rows; an id counts once for
+each label it has, repeated labels or documents add nothing; with one class or none in training every
+score is that class or 0.5; every row is scored, null and repeated ids too; other columns of the
+documents are passed over, whatever their names, by ``classify`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -52,11 +55,22 @@ class Shapes(dict):
     of = WordHashes.of
 
 
+class Kinds(dict):
+    """word -> 1 if it holds no letter or digit, plus 2 if it ends in a sign that closes no word or clause."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        text = word.decode("utf-8", "replace")
+        got = self[word] = (not any(map(str.isalnum, text))) + 2 * (not (text[-1].isalnum() or text[-1] in ".,;:!?)]}\"'»”’…"))
+        return got
+
+
 class Features:
     """text -> sorted distinct indicator numbers below 2**BITS."""
 
     def __init__(self):
-        self.words, self.shapes = WordHashes(), Shapes()
+        self.words, self.shapes, self.kinds = WordHashes(), Shapes(), Kinds()
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").lower().split()
@@ -78,12 +92,8 @@ class Features:
             add("s3", s[:-2], s[1:-1], s[2:])
             add("eq", same[:-2] + same[1:-1] * np.uint64(2) + same[2:] * np.uint64(4))
         n = max(len(h), 1)
-        rates = [
-            1 - len(np.unique(h)) / n,
-            sum(w == b"|" for w in words) / n,
-            sum(not (w[-1:].isalnum() or w[-1] > 127 or w[-1:] in b".,;:!?") for w in words) / n,
-            float((h[1:] == h[:-1]).sum()) / n,
-        ]
+        kinds = np.fromiter(map(self.kinds.__getitem__, words), np.uint8, len(words))
+        rates = [1 - len(np.unique(h)) / n, float((kinds & 1).sum()) / n, float((kinds >> 1).sum()) / n, float((h[1:] == h[:-1]).sum()) / n]
         bins = [int(r * 10) for r in rates] + [min(len(h).bit_length(), 20)]
         add("rate", np.array([i * 64 + b for i, b in enumerate(bins)], np.uint64))
         return np.unique((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32))
@@ -175,14 +185,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, k: int, held: int, max_per_class: int) -> DataFrame:
-    """doc_id, text, label of at most ``max_per_class`` rows of each class outside the held-out fold.
+    """doc_id, text, label of at most ``max_per_class`` ids of each class outside the held-out fold.
 
-    The label rows are cut first, by the smallest hash of the id, so only their texts are read on.
+    The ids are cut first, by the smallest hash, so only their texts are read on; of rows that share
+    an id the one with the least text hash stands for it, so repeated rows do not widen the sample.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("label")).filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("_id"), k) != held))
+    id_ = F.col("doc_id").cast("long")
+    known = labels.select(id_.alias("_id"), F.col(target).cast("int").alias("label")).filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("_id"), k) != held)).distinct()
     parts = [least_hashed(known.filter(F.col("label") == c), "_id", max_per_class) for c in (0, 1)]
-    few = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * max_per_class rows of two integers at most
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(few, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * max_per_class rows of two integers at most
+    rows = docs.select(id_.alias("doc_id"), F.col("text").cast("binary").alias("text")).join(chosen, F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", k: int = 3, held: int = 1, max_per_class: int = 3000) -> Model:
@@ -193,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", k: int =
         features = Features()
         return lambda row: (row[0], row[2], features(row[1]).tobytes())
 
-    got = sorted(sample.mapInArrow(by_rows(make, schema), "doc_id long, label int, ids binary").collect())
+    got = sorted(sample.mapInArrow(by_rows(make, schema), "doc_id long, label int, ids binary").collect())  # 2 * max_per_class rows at most
     return fit([np.frombuffer(r["ids"], np.int32) for r in got], np.array([r["label"] for r in got], dtype=np.int64))
 
 
@@ -206,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         features, m = Features(), shared.value
         return lambda row: (row[0], m.score(features(row[1])))
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(by_rows(make, schema), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(by_rows(make, schema), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -1,24 +1,26 @@
 """Token-ID output: byte-level BPE ids in Re-Pair grammar segments.
 
 Documents are range-partitioned and sorted by id; each task tokenises its part and closes a segment
-once it holds ``SEGMENT`` ids (a document is never split).  A segment is compressed by Re-Pair: in
-each round the most frequent pairs of neighbouring symbols become new symbols, replaced wherever they
-occur without overlap, the better ranked pair first.  Stored are the rules of each round, the length
-of every rule's expansion, and the remaining sequence of 16-bit symbols, so a slice is decoded by
-searching the running expansion lengths and expanding only the symbols that cover it.
+once it holds ``SEGMENT`` ids (a document is never split).  A segment is compressed by Re-Pair: the
+most frequent pairs of neighbouring symbols become new symbols again and again, until no pair occurs
+twice.  Stored are the rules, the length of every rule's expansion and the remaining sequence of
+32-bit symbols, so a slice is decoded by searching the running expansion lengths and expanding only
+the symbols that cover it.  New symbols are numbered from the size of the tokenizer's vocabulary.
 
 The files are Parquet, one row per segment, written through Spark's committer: a lost task leaves
 nothing behind, and any store that Spark writes to will do.
 
-Row: shard, segment int (ascending as the ids), doc_ids, sizes array<long> (in order; a size counts
-the end id), rounds array<int> (rules made in each round), rules, lengths, symbols binary
-(little-endian: uint16 pairs, uint32, uint16).
+Row: shard, segment int (ascending as the ids), first int (the number of the first rule), doc_ids,
+sizes array<long> (in order; a size counts the end id), rounds array<int> (rules made in each round),
+rules, lengths, symbols binary (little-endian: uint32 pairs, uint32, uint32).
 
 The text is cut before every run of white space that follows other characters, where the
 pre-tokeniser always ends a word; distinct parts are encoded once while a bounded memo holds them.
 
-Defined cases: a null text is the empty text and yields the end id alone; null ids come first;
-repeated ids keep one row each, in any order.
+Defined cases: a null text is the empty text and yields the end id alone; null ids come first; rows
+with equal ids keep one row each, in order of the texts' hashes, so reruns agree; texts are
+encoded whole and never split, so a very long one makes a segment of its own length; columns but
+doc_id and text are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,15 +41,18 @@ from pyspark.sql import functions as F
 from quire.llm.common import documents, shared_dir
 
 SEGMENT = 1 << 21
-ROUNDS, PER_ROUND, LEAST, SLOTS = 3, 5000, 12, 19
-FIRST_RULE = 50257
+#: occurrences that make a pair a rule, and bits of the slots that pairs are counted in
+LEAST, SLOTS = 2, 21
+NEVER = np.int32(2**31 - 1)
+#: odd multipliers, one after the other, so that pairs that share a slot once rarely do again
+_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Unicode White_Space, which the pre-tokeniser's \s means
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PARTS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 #: white space other than blank and newline, or the sign used for cutting
 _ODD = re.compile("[\\0" + _BLANK.replace("\t-\r ", "\t\x0b-\r") + "]").search
-FORMAT = "shard int, segment int, doc_ids array<long>, sizes array<long>, rounds array<int>, rules binary, lengths binary, symbols binary"
-_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("rounds", pa.list_(pa.int32())), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())])
+FORMAT = "shard int, segment int, first int, doc_ids array<long>, sizes array<long>, rounds array<int>, rules binary, lengths binary, symbols binary"
+_ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("rounds", pa.list_(pa.int32())), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())])
 
 
 def default_tokenizer() -> str:
@@ -57,13 +62,14 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """text -> ids as little-endian 16-bit bytes, equal to the library's ids of the whole text."""
+    """text -> ids as little-endian 32-bit bytes, equal to the library's ids of the whole text."""
 
     def __init__(self, tokenizer_file: str | None = None, bound: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(tokenizer_file or default_tokenizer())
+        self.size = self.tokenizer.get_vocab_size()
         self.memo, self.bound, self.passed = {}, bound, 0
 
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
@@ -71,7 +77,7 @@ class Encoder:
         new, found = list(parts), {}
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            found |= {p: array("H", e.ids).tobytes() for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
+            found |= {p: array("I", e.ids).tobytes() for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True)}
         if len(self.memo) + len(found) <= self.bound:
             self.memo |= found
         else:
@@ -107,73 +113,121 @@ def encoder(tokenizer_file: str | None) -> Encoder:
     return _ENCODERS[tokenizer_file]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """(rules of each round, rules as pairs, expansion lengths, symbols) of 16-bit ``ids``.
+def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair of ``ids`` below ``first``: (rules of each round, rules as pairs, expansion lengths, symbols).
 
-    Pairs are counted in hashed slots; a slot counts the pair that it met last and that pair alone.
+    A round takes the pairs at least half as frequent as the most frequent one, or, where the round
+    before replaced few, half as frequent again, and replaces them, the more frequent first where they
+    overlap and every other one in a run of equal symbols; rounds go on until no pair occurs ``least``
+    times.  Only places whose pair may still repeat are looked at: a
+    pair that stands once stays so, as new pairs hold a new symbol.  Pairs are counted in hashed slots;
+    of pairs that share a slot one is counted and the others wait for the next round's hash.
     """
-    seq, rules, made, lengths = ids.astype(np.uint16), [], [], np.ones(1 << 16, np.uint32)
-    first = FIRST_RULE
-    for _ in range(rounds):
-        room = min(per_round, (1 << 16) - first)
-        if len(seq) < 2 or room <= 0:
-            break
-        key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        slot = ((key * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)).astype(np.int32)
-        pair = np.zeros(1 << SLOTS, np.uint32)
+    n = len(ids)
+    seq = np.append(ids.astype(np.uint32), np.uint32(0))
+    nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    alive = np.ones(n + 1, bool)
+    rank = np.full(n + 2, NEVER, np.int32)  # also read at -1, the place before the first
+    open_ = np.zeros(n + 1, bool)
+    open_[: max(n - 1, 0)] = True
+    rules, made, lengths, new, turn, level, few = [], [], [np.ones(0, np.uint32)], first, 0, np.inf, False
+    size_of = lambda s: np.where(s < first, 1, np.concatenate(lengths)[np.maximum(s.astype(np.int64) - first, 0)] if new > first else 1)
+    while len(at := np.flatnonzero(open_)):
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[nxt[at]]
+        bits = min(SLOTS, max(8, int(2 * len(at)).bit_length()))
+        slot = ((key * _TURNS[turn % len(_TURNS)]) >> np.uint64(64 - bits)).astype(np.int32)
+        turn += 1
+        pair = np.zeros(1 << bits, np.uint64)
         pair[slot] = key
         own = pair[slot] == key
-        count = np.bincount(slot[own], minlength=1 << SLOTS)
-        some = np.flatnonzero(count >= least)
-        if not len(some):
-            break
-        if len(some) > room:
-            some = some[np.argpartition(count[some], -room)[-room:]]
+        count = np.bincount(slot[own], minlength=1 << bits)
+        once = count < least
+        open_[at[own & once[slot]]] = False
+        count[once] = 0
+        top = int(count.max())
+        if not top:
+            continue
+        level = max(least, min(level, top) / 2 if few else min(level, top / 2))
+        some = np.flatnonzero(count >= level)
         some = some[np.lexsort((pair[some], -count[some]))]
-        chosen, none = pair[some], len(some)
-        rank_of = np.full(1 << SLOTS, none, np.uint16)
-        rank_of[some] = np.arange(none)
-        rank = np.where(own, rank_of[slot], np.uint16(none))
-        use = rank < none
-        use[1:] &= rank[1:] < rank[:-1]
-        use[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(use)
-        out = seq.copy()
-        out[at] = (first + rank[at]).astype(np.uint16)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = out[keep]
-        left, right = (chosen >> np.uint32(16)).astype(np.uint16), chosen.astype(np.uint16)
-        lengths[first : first + none] = lengths[left] + lengths[right]
+        rank_of = np.full(1 << bits, NEVER, np.int32)
+        rank_of[some] = np.arange(len(some), dtype=np.int32)
+        here = rank_of[slot]
+        here[~own] = NEVER
+        picked = here < NEVER
+        at, here = at[picked], here[picked]
+        # runs of equal pairs overlap themselves: every other one stays
+        start = np.ones(len(at), bool)
+        start[1:] = (nxt[at[:-1]] != at[1:]) | (here[1:] != here[:-1])
+        place = np.arange(len(at), dtype=np.int32)
+        even = ((place - np.maximum.accumulate(np.where(start, place, 0))) & 1) == 0
+        at, here = at[even], here[even]
+        rank[at] = here
+        best = (here < rank[prv[at]]) & (here < rank[nxt[at]])
+        rank[at] = NEVER
+        at, here = at[best], here[best]
+        few = 16 * len(at) < len(key)
+        used = np.unique(here)
+        chosen = pair[some[used]]
+        left, right = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
+        lengths.append((size_of(left) + size_of(right)).astype(np.uint32))
+        gone = nxt[at]
+        after = nxt[gone]
+        seq[at] = (new + np.searchsorted(used, here)).astype(np.uint32)
+        nxt[at], prv[after] = after, at
+        alive[gone] = open_[gone] = False
+        open_[at] = after < n
+        before = prv[at]
+        open_[before[before >= 0]] = True
         rules.append(np.stack([left, right], 1))
-        made.append(none)
-        first += none
-    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
-    return made, pairs, lengths[FIRST_RULE:first], seq
-
-
-def expand(made: list[int], pairs: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The ids of ``symbols``: rounds are undone from the last."""
-    seq, end = symbols, FIRST_RULE + len(pairs)
-    for n in reversed(made):
-        start = end - n
-        is_rule = (seq >= start) & (seq < end)
-        out = np.repeat(seq, is_rule + np.uint8(1))
-        where = np.flatnonzero(is_rule) + np.arange(int(is_rule.sum()))
-        rule = pairs[seq[is_rule] - FIRST_RULE]
-        out[where], out[where + 1] = rule[:, 0], rule[:, 1]
-        seq, end = out, start
-    return seq
-
-
-def read_slice(made: list[int], pairs: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, start: int, size: int) -> np.ndarray:
-    """Ids ``start`` to ``start + size`` of a segment, expanding only the symbols that cover them."""
-    each = np.ones(1 << 16, np.int64)
-    each[FIRST_RULE : FIRST_RULE + len(lengths)] = lengths
-    ends = np.cumsum(each[symbols])
-    lo, hi = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + size, "left")
-    skip = start - (int(ends[lo - 1]) if lo else 0)
-    return expand(made, pairs, symbols[lo : hi + 1])[skip : skip + size]
+        made.append(len(used))
+        new += len(used)
+    alive[n] = False
+    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    return made, pairs, np.concatenate(lengths), seq[alive]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``start`` to ``start + size`` of each, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Segment:
+    """A compressed segment, decoded from any place: expansion lengths find the symbols, rules give their ids."""
+
+    def __init__(self, first: int, made: list[int], pairs: np.ndarray, lengths: np.ndarray, symbols: np.ndarray):
+        self.first, self.symbols = first, symbols.astype(np.int64)
+        sizes = lengths.astype(np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.flat, self.sizes = np.zeros(int(sizes.sum()), np.uint32), sizes
+        at = 0
+        for n in made:  # rules of a round are made of ids and of earlier rounds' rules
+            rules = pairs[at : at + n].astype(np.int64)
+            if n:
+                self.flat[self.starts[at] : self.starts[at] + int(sizes[at : at + n].sum())] = self.ids(rules.ravel())
+            at += n
+        self.ends = np.cumsum(self.size_of(self.symbols))
+
+    def size_of(self, symbols: np.ndarray) -> np.ndarray:
+        rule = symbols >= self.first
+        out = np.ones(len(symbols), np.int64)
+        out[rule] = self.sizes[symbols[rule] - self.first]
+        return out
+
+    def ids(self, symbols: np.ndarray) -> np.ndarray:
+        rule = symbols >= self.first
+        sizes = self.size_of(symbols)
+        out = np.repeat(symbols, sizes).astype(np.uint32)
+        of = symbols[rule] - self.first
+        out[np.repeat(rule, sizes)] = self.flat[_spread(self.starts[of], self.sizes[of])]
+        return out
+
+    def slice(self, start: int, size: int) -> np.ndarray:
+        """Ids ``start`` to ``start + size``, from the symbols that cover them alone."""
+        lo, hi = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, start + size, "left")
+        skip = start - (int(self.ends[lo - 1]) if lo else 0)
+        return self.ids(self.symbols[lo : hi + 1])[skip : skip + size]
 
 
 def _encode(tokenizer_file: str | None, segment: int):
@@ -182,17 +236,17 @@ def _encode(tokenizer_file: str | None, segment: int):
         ids, docs, sizes, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            made, pairs, lengths, symbols = compress(np.frombuffer(b"".join(ids), np.uint16))
-            row = [shard, number, docs, sizes, made, pairs.tobytes(), lengths.astype(np.uint32).tobytes(), symbols.tobytes()]
+            made, pairs, lengths, symbols = compress(np.frombuffer(b"".join(ids), np.uint32), encode.size)
+            row = [shard, number, encode.size, docs, sizes, made, pairs.tobytes(), lengths.tobytes(), symbols.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW.types, strict=True)], schema=_ARROW)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 for doc, got in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    ids += (got, b"\0\0")
+                    ids += (got, b"\0\0\0\0")
                     docs.append(doc)
-                    sizes.append(len(got) // 2 + 1)
+                    sizes.append(len(got) // 4 + 1)
                     total += sizes[-1]
                     if total >= segment:
                         yield close()
@@ -205,20 +259,23 @@ def _encode(tokenizer_file: str | None, segment: int):
 
 def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, segment: int = SEGMENT) -> None:
     """Write the ids of every text, each with the end id 0, to ``path`` in ascending order of doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), F.octet_length("text"))
     rows.mapInArrow(_encode(tokenizer_file, segment), FORMAT).write.parquet(path)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = lambda b, kind: np.frombuffer(b, kind)
     for batch in batches:
-        for r in batch.to_pylist():
-            ids = expand(r["rounds"], np.frombuffer(r["rules"], np.uint16).reshape(-1, 2), np.frombuffer(r["symbols"], np.uint16)).astype("<u4")
-            ends = np.cumsum(r["sizes"])
-            starts = ends - r["sizes"]
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for at in range(batch.num_rows):  # a segment at a time
+            r = {name: batch.column(name)[at] for name in batch.schema.names}
+            raw = lambda name: number(r[name].as_buffer(), np.uint32)  # noqa: E731, B023
+            segment = Segment(r["first"].as_py(), r["rounds"].as_py(), raw("rules").reshape(-1, 2), raw("lengths"), raw("symbols"))
+            sizes = r["sizes"].values.to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            crc = [zlib.crc32(segment.slice(a, n).astype("<u4")) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
             n = len(crc)
-            yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * n, pa.int32()), pa.array([r["segment"]] * n, pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(r["sizes"], pa.int64()), pa.array(crc, pa.int64())], names=["shard", "segment", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array([r["shard"].as_py()] * n, pa.int32()), pa.array([r["segment"].as_py()] * n, pa.int32()), r["doc_ids"].values, pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=["shard", "segment", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
