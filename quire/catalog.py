@@ -516,10 +516,10 @@ def message_flattening(spark, d):
     f"""WITH {PAGES_SQL}, t AS (SELECT doc_id, page_num, coalesce(right(lag(md) OVER (PARTITION BY doc_id ORDER BY page_num), 1200), '') AS tail, count(*) OVER (PARTITION BY doc_id) AS total FROM pages_fx),
 b AS (SELECT *, {sql.rstrip('tail')} AS body FROM t),
 h AS (SELECT *, list_extract(list_filter(list_transform(string_split(body, chr(10)), lambda x: {sql.strip('x')}), lambda x: x <> ''), -1) AS last, body <> '' AND NOT {sql.like('body', '(?:[。？！…」』”.?!:;]|' + chr(92) + '*' + chr(92) + '*|```)' + chr(92) + 'z')} AS is_open FROM b),
-k AS (SELECT *, list_filter([CASE WHEN coalesce({sql.is_row('last')}, false) THEN '  <!-- the page before ends inside a table: go on with rows of as many columns, without header and separator -->' END, CASE WHEN is_open THEN '  <!-- the page before breaks off inside a sentence: begin with its rest -->' END], lambda x: x IS NOT NULL) AS hints FROM h)
-SELECT doc_id, page_num, '<task>' || chr(10) || '  <page number="' || (page_num + 1) || '" total="' || total || '"/>' || chr(10) || '  <document_context>ctx</document_context>' || chr(10) || '  ' ||
- CASE WHEN tail = '' THEN '<previous_page_tail>(first page)</previous_page_tail>' WHEN len(hints) > 0 THEN '<previous_page_tail truncated="true">' || chr(10) || tail || chr(10) || array_to_string(hints, chr(10)) || chr(10) || '  </previous_page_tail>' ELSE '<previous_page_tail>' || chr(10) || tail || chr(10) || '  </previous_page_tail>' END || chr(10) ||
- '  <images count="0"/>' || chr(10) || '  <instructions>Transcribe this page as the system prompt says.</instructions>' || chr(10) || '</task>' AS prompt FROM k"""
+k AS (SELECT *, list_filter([CASE WHEN coalesce({sql.is_row('last')}, false) THEN '{prompts.IN_TABLE}' END, CASE WHEN is_open THEN '{prompts.IN_SENTENCE}' END], lambda x: x IS NOT NULL) AS hints FROM h)
+SELECT doc_id, page_num, 'This is page ' || (page_num + 1) || ' of ' || total || '.' || repeat(chr(10), 2) || 'About the document: ctx' || repeat(chr(10), 2) ||
+ CASE WHEN tail = '' THEN '{prompts.FIRST_PAGE}' ELSE 'The page before ends with:' || chr(10) || '>>>' || chr(10) || tail || chr(10) || '<<<' || array_to_string(list_transform(hints, lambda x: chr(10) || x), '') END || repeat(chr(10), 2) ||
+ 'There are no pictures to place.' || repeat(chr(10), 2) || 'Transcribe the page as you were told.' AS prompt FROM k"""
 )
 def page_prompts(spark, d):
     from pyspark.sql import Window as W
@@ -553,7 +553,17 @@ def postprocessed(spark, d):
     return tables.postprocessed(_tables_fx(spark, d), files)
 
 
-@query()
+_AFTER_ITEM = r"^(?:#{1,6} |!\[|```|[-*] |\d+[.)] |> |\||---)"
+
+
+@query(
+    f"""WITH {PAGES_SQL}, p AS (SELECT doc_id, page_num, replace(md, chr(10), chr(10) || chr(10)) AS md FROM pages_fx),
+l AS (SELECT doc_id, page_num, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, page_num, {sql.lines('md')} AS ls FROM p)),
+n AS (SELECT *, lag(line) OVER w AS item, lead(line) OVER w AS next FROM l WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY i)),
+t AS (SELECT *, {sql.strip("CASE WHEN " + sql.like('item', sql.ITEM) + " THEN regexp_extract(item, '" + sql.ITEM + "', 1) ELSE '' END")} AS own FROM n),
+d AS (SELECT *, line = '' AND item IS NOT NULL AND next IS NOT NULL AND {sql.like('item', sql.ITEM)} AND {sql.strip('next')} <> '' AND {sql.incomplete('own')} AND NOT {sql.like(sql.lstrip('next'), _AFTER_ITEM)} AND {sql.continues('next')} AS goes FROM t)
+SELECT doc_id, page_num, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE goes IS NOT TRUE), '') AS md FROM d GROUP BY doc_id, page_num"""
+)
 def list_item_join(spark, d):
     rows = pages_fx(spark, d).select("doc_id", "page_num", F.replace(_md(), F.lit("\n"), F.lit("\n\n")).alias("md"))
     return rows.select("doc_id", "page_num", text.join_split_list_items(_md()).alias("md"))
@@ -567,5 +577,5 @@ def _stub():
 
 @query()
 def convert_stub(spark, d):
-    pages = pages_fx(spark, d).select("doc_id", F.col("page_num").cast("int").alias("page_num"), F.lit(1200).alias("width"), F.lit(1600).alias("height"), F.encode("md", "UTF-8").alias("api_image"), F.lit("image/png").alias("api_mime"), F.lit(text.DEFAULT_MODEL).alias("model"))
+    pages = pages_fx(spark, d).select("doc_id", F.col("page_num").cast("int").alias("page_num"), F.lit(1200).alias("width"), F.lit(1600).alias("height"), F.encode("md", "UTF-8").alias("png"), F.lit(text.DEFAULT_MODEL).alias("model"))
     return conversion.documents(pages, _stub)

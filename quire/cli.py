@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import stitching, tables
 from quire.plans import conversion, models
-from quire.sources import storage
+from quire.sources import images, storage
 
 
 def parser() -> argparse.ArgumentParser:
@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     convert.add_argument("pdf")
     convert.add_argument("-m", "--model", choices=text.MODELS, default=text.DEFAULT_MODEL)
     convert.add_argument("-o", "--output", required=True)
+    convert.add_argument("-r", "--remember", help="folder where the model's replies are kept for later runs")
     return p
 
 
@@ -36,9 +37,8 @@ def main(args: list[str] | None = None) -> None:
         storage.write_markdown(tables.postprocessed(stitching.joined(pages), files), a.output)
         return
     pages = storage.stored(storage.pdf_pages(storage.pdf_files(spark, a.pdf), storage.pymupdf_renderer))
-    pages = pages.withColumns({"model": F.lit(a.model), "api_image": F.col("png"), "api_mime": F.lit("image/png")})
     model = a.model
-    storage.write_markdown(conversion.documents(pages, lambda: models.client_for(model)), a.output)
+    conversion.write(pages.withColumn("model", F.lit(model)), lambda: models.client_for(model), a.output, images.PillowCodec, memory=a.remember)
 
 
 if __name__ == "__main__":

@@ -103,7 +103,13 @@ def _near(a: Column, b: Column, gap: float) -> Column:
 def clustered(figures: Column, gap: float = 40.0) -> Column:
     """Groups of figures that lie near each other as one enclosing figure, by the first member."""
     n = F.size(figures)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j > i) & _near(F.get(figures, i), F.get(figures, j), gap)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+    def later(a: Column, i: Column) -> Column:
+        """The figures after ``a`` that are near it, as pairs of places."""
+        near = F.transform(F.slice(figures, i + 2, n), lambda b, k: F.when(_near(a, b, gap), i + k + 1))
+        return F.transform(F.filter(near, lambda j: j.isNotNull()), lambda j: F.struct(i.alias("i"), j.alias("j")))
+
+    pairs = F.flatten(F.transform(figures, later))
 
     def join(labels: Column, p: Column) -> Column:
         a, b = F.get(labels, p["i"]), F.get(labels, p["j"])
@@ -118,7 +124,7 @@ def clustered(figures: Column, gap: float = 40.0) -> Column:
         return F.when(F.size(members) == 1, F.get(members, F.lit(0))).otherwise(whole)
 
     members = lambda ls, label: F.filter(figures, lambda f, i: F.get(ls, i) == label)
-    found = F.transform(F.array_sort(F.array_distinct(labels)), lambda label: group(members(labels, label)))
+    found = let(labels, lambda ls: F.transform(F.array_sort(F.array_distinct(ls)), lambda label: let(members(ls, label), group)))
     return F.when(n <= 1, figures).otherwise(found)
 
 

@@ -129,17 +129,13 @@ def dedup_page_boundary(prev: Column, curr: Column) -> Column:
 def join_split_list_items(text: Column) -> Column:
     """Drop the blank line between a list item and the continuation of its sentence."""
 
-    def step(state: Column, line: Column) -> Column:
-        done, held = state["done"], state["held"]
-        size = F.size(done)
-        item, gap = F.get(done, size - 2), F.get(done, size - 1)
+    def splits(item: Column, line: Column) -> Column:
         own = strip(F.regexp_extract(item, LIST_ITEM, 1))
-        joins = (size >= 2) & (gap == "") & ~held & item.rlike(LIST_ITEM) & ~is_blank(line) & is_incomplete_sentence(own) & ~lstrip(line).rlike(AFTER_LIST_ITEM) & is_continuation_start(line)
-        new = F.when(joins, F.concat(F.slice(done, F.lit(1), size - 1), F.array(line))).otherwise(F.concat(done, F.array(line)))
-        return F.struct(new.alias("done"), F.lit(False).alias("held"))
+        return F.coalesce(item.rlike(LIST_ITEM) & ~is_blank(line) & is_incomplete_sentence(own) & ~lstrip(line).rlike(AFTER_LIST_ITEM) & is_continuation_start(line), F.lit(False))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(False).alias("held"))
-    return F.aggregate(lines(text), start, step, lambda s: F.array_join(s["done"], "\n"))
+    # a gap is judged by the lines beside it alone: no line is item and continuation of one join
+    own = F.transform(F.array(lines(text)), lambda ls: F.filter(ls, lambda x, i: (x != "") | ~splits(F.get(ls, i - 1), F.get(ls, i + 1))))
+    return F.array_join(F.get(own, F.lit(0)), "\n")
 
 
 def stitch_verdict(tail: Column, head: Column, reply: Column) -> Column:

@@ -15,15 +15,24 @@ def _crop(filename: Column, desc: Column, b: Column) -> Column:
     return F.struct(filename.alias("filename"), desc.alias("desc"), *(b[s].alias(s) for s in SIDES))
 
 
+def _corrected(numbers: Column, width: Column, height: Column) -> Column:
+    """The padded pixel box, or null if it is none or too small."""
+    b = boxes.padded(boxes.to_pixels(boxes.box(*(F.get(numbers, F.lit(i)) for i in range(4))), width, height), width, height)
+    return F.when(numbers.isNotNull(), boxes.let(b, lambda b: F.when((b["x2"] - b["x1"] >= LEAST_NEW_SIDE) & (b["y2"] - b["y1"] >= LEAST_NEW_SIDE), b)))
+
+
+def corrections(actions: Column, width: Column, height: Column) -> Column:
+    """All boxes that adjustments and splits ask for."""
+    asked = F.flatten(F.transform(actions, lambda a: F.when(a["action"] == "adjust", F.array(a["bbox"])).when(a["action"] == "split", F.transform(a["regions"], lambda r: r["bbox"])).otherwise(F.array().cast("array<array<double>>"))))
+    return F.array_distinct(F.filter(F.transform(asked, lambda n: _corrected(n, width, height)), lambda b: b.isNotNull()))
+
+
 def executed(crops: Column, actions: Column, page_num: Column, width: Column, height: Column, is_blank: Callable[[Column], Column] | None = None) -> Column:
     """The crops after a round of actions; of several for one crop the last counts, without one it stays."""
     blank = is_blank or (lambda b: F.lit(False))
 
     def corrected(numbers: Column) -> Column:
-        """The padded box, or null if it is no box, too small or blank."""
-        b = boxes.padded(boxes.to_pixels(boxes.box(*(F.get(numbers, F.lit(i)) for i in range(4))), width, height), width, height)
-        large = lambda b: (b["x2"] - b["x1"] >= LEAST_NEW_SIDE) & (b["y2"] - b["y1"] >= LEAST_NEW_SIDE)
-        return F.when(numbers.isNotNull(), boxes.let(b, lambda b: F.when(large(b) & ~blank(b), b)))
+        return boxes.let(_corrected(numbers, width, height), lambda b: F.when(b.isNotNull() & ~blank(b), b))
 
     none = F.array().cast(f"array<{CROP}>")
 
@@ -54,16 +63,6 @@ def moves_boxes(actions: Column) -> Column:
     return F.exists(actions, lambda a: a["action"].isin("adjust", "split"))
 
 
-def verified(crops: Column, rounds: list[Column], page_num: Column, width: Column, height: Column, is_blank=None) -> Column:
-    """Crops after at most ``len(rounds)`` rounds; a round is done unless an earlier one ended it."""
-    open_ = F.size(crops) > 0
-    for actions in rounds:
-        act = open_ & ~all_accept(actions)
-        crops = F.when(act, executed(crops, actions, page_num, width, height, is_blank)).otherwise(crops)
-        open_ = act & moves_boxes(actions) & (F.size(crops) > 0)
-    return crops
-
-
 def decorative(crops: DataFrame, pages: DataFrame, share: float = 0.5, most_area: float = 0.08) -> DataFrame:
     """doc_id, signature of the sizes that repeat as small images on over half of a document's pages.
 

@@ -30,18 +30,17 @@ def _is_separator(line: str) -> bool:
     return _SEPARATOR.fullmatch(line.strip()) is not None
 
 
-def _closed(row: str) -> str:
-    """A row with its last cell closed; text after the last pipe joins the cell before it."""
-    row = row.strip()
-    if row.endswith("|") or not _is_row(row):
-        return row
-    head, _, rest = row.rpartition("|")
-    rest = rest.strip()
-    return f"{head.rstrip()}{f'<br>{rest}' if rest else ''} |"
+#: a row whose last cell is still open: what ends at the last pipe, and what follows it
+_OPEN = re.compile(r"(\|.*)\|([^|]*)", re.S)
 
 
-def _with_in_last_cell(row: str, more: str) -> str:
-    return f"{_closed(row).rstrip().rpartition('|')[0].rstrip()}<br>{more} |"
+def _closed(row: str, more: str = "") -> str:
+    """A row that ends in a pipe; what followed the last pipe, and ``more``, go into the last cell."""
+    row = row.strip()
+    m = _OPEN.fullmatch(row)
+    if not m or not (more or m[2]):
+        return row
+    return "<br>".join(x for x in (m[1].rstrip(), m[2].strip(), more) if x) + " |"
 
 
 def unwrapped(lines: list[str]) -> list[str]:
@@ -80,23 +79,22 @@ def _blocks(lines: list[str]) -> list[tuple[bool, list[str]]]:
     return blocks
 
 
-def _columns(table: list[str]) -> int | None:
-    return next((r.count("|") - 1 for r in table if not _is_separator(r)), None)
-
-
-def _header(table: list[str]) -> str | None:
-    return table[0] if len(table) > 1 and _is_separator(table[1]) else None
+def _shape(table: list[str]) -> tuple[int | None, str | None]:
+    """Cells of the first row that is no separator, and the header if a separator stands below it."""
+    kinds = [_is_separator(r) for r in table]
+    cells = table[kinds.index(False)].count("|") - 1 if False in kinds else None
+    return cells, table[0] if kinds[1:2] == [True] else None
 
 
 def _bridged(one: list[str], gap: list[str], two: list[str]) -> list[str] | None:
     """Both tables as one, what stood between in the last cell; none where they do not belong together."""
     between = [line.strip() for line in gap if line.strip()]
-    same_header = bool(_header(one)) and _header(two) == _header(one)
-    may_hold = len(between) <= _GAP_LINES and not any(line.startswith(_NOT_IN_GAP) for line in between)
-    if _columns(one) is None or _columns(one) != _columns(two) or between and not (may_hold and (_header(two) is not None or same_header)):
+    (cells, header), (cells2, header2) = _shape(one), _shape(two)
+    may_hold = len(between) <= _GAP_LINES and header2 is not None and not any(line.startswith(_NOT_IN_GAP) for line in between)
+    if cells is None or cells != cells2 or between and not may_hold:
         return None
-    first = [*one[:-1], _with_in_last_cell(one[-1], "<br>".join(between))] if between else one
-    return first + [r for r in two[2 if same_header else 0 :] if not _is_separator(r)]
+    first = [*one[:-1], _closed(one[-1], "<br>".join(between))] if between else one
+    return first + [r for r in two[2 if header and header == header2 else 0 :] if not _is_separator(r)]
 
 
 def bridged(lines: list[str]) -> list[str]:
@@ -123,7 +121,7 @@ def cleaned(lines: list[str]) -> list[str]:
         if not is_table:
             out += block
             continue
-        header = _header(block)
+        header = _shape(block)[1]
         if header is not None:
             out += block[:2]
             block = block[2:]

@@ -1,15 +1,17 @@
 """Conversion of page images to documents: detection, verification, transcription, stitching, repair.
 
 Every model call is a row of a requests table, its reply a row of a stored table; all between is
-expressions and joins on (doc_id, page_num).  Pages carry ``api_image`` and ``api_mime`` only into the
-requests.  Transcription is sequential within a document (a page sees the end of the one before), so
-it runs as one group per document; everything else is parallel over pages.
+expressions and joins on (doc_id, page_num).  Images stay in tables of their own (one for each size a
+model is shown) and are joined to requests last, just before a call.  Transcription is sequential
+within a document (a page sees the end of the one before): pages stream through a task in order, one
+in memory at a time; everything else is parallel over pages.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,57 +20,79 @@ from pyspark.sql import functions as F
 from quire.functions import boxes, replies, text
 from quire.operators import figures, stitching, tables
 from quire.plans import models, prompts
+from quire.sources import images, storage
 from quire.sources.storage import stored
 
 KEY = ["doc_id", "page_num"]
 NO_FIGURES = f"array<{boxes.FIGURE}>"
 
 
-def _ask(rows: DataFrame, factory, stage: str, prompt: Column, temperature: float, max_tokens: int, system: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Key columns, ``keep`` and the reply (null where the call failed)."""
-    images = F.array(F.struct(F.col("api_mime").alias("mime"), F.col("api_image").alias("data")))
-    requests = rows.select(*KEY, *keep, F.lit(stage).alias("stage"), "model", F.lit(system).alias("system"), prompt.alias("prompt"), images.alias("images"), F.lit(temperature).alias("temperature"), F.lit(max_tokens).alias("max_tokens"))
-    return stored(models.replies(requests, factory).select(*KEY, *keep, "reply", "error"))
+class Caller:
+    """Asks a model about rows: its client's factory, and where replies are remembered, if they are."""
 
+    def __init__(self, factory: Callable[[], models.ModelClient], memory: str | None = None):
+        self.factory, self.memory = factory, memory
 
-def with_context(pages: DataFrame, factory) -> DataFrame:
+    def __call__(self, rows: DataFrame, shown: DataFrame | None, stage: str, prompt: Column, temperature: float, max_tokens: int, system: str = "") -> DataFrame:
+        """Key columns, reply (null where the call failed) and error. ``shown``: key columns and images."""
+        asked = rows.select(*KEY, F.lit(stage).alias("stage"), "model", F.lit(system).alias("system"), prompt.alias("prompt"), F.lit(temperature).alias("temperature"), F.lit(max_tokens).alias("max_tokens"))
+        nothing = F.array().cast(images.IMAGES)
+        asked = asked.withColumn("images", nothing) if shown is None else asked.join(shown.select(*KEY, "images"), KEY, "left").withColumn("images", F.coalesce("images", nothing))
+        told = models.remembered(asked, self.factory, self.memory) if self.memory else models.replies(asked, self.factory)
+        return stored(told.select(*KEY, "reply", "error"))
+
+
+def with_context(pages: DataFrame, shown: DataFrame, ask: Caller) -> DataFrame:
     """``pages`` with ``doc_context``, asked for on the first page; empty where the call failed."""
-    told = _ask(pages.filter("page_num = 0"), factory, "context", F.lit(prompts.CONTEXT), 0.0, 200)
+    told = ask(pages.filter("page_num = 0"), shown, "context", F.lit(prompts.CONTEXT), 0.0, 200)
     return pages.join(told.select("doc_id", F.coalesce(text.strip(F.col("reply")), F.lit("")).alias("doc_context")), "doc_id", "left").withColumn("doc_context", F.coalesce("doc_context", F.lit("")))
 
 
-def detected(pages: DataFrame, factory) -> DataFrame:
-    """doc_id, page_num, figures: two detectors, the first tried twice, and a looser prompt if both find nothing."""
+def detected(pages: DataFrame, shown: DataFrame, ask: Caller) -> DataFrame:
+    """doc_id, page_num, figures: two detectors, the first tried twice, and a looser prompt if both find nothing.
+
+    Boxes in pixels are those of the image that was ``shown``.
+    """
     none = F.array().cast(NO_FIGURES)
-    size = pages.select(*KEY, "width", "height")
+    size = shown.select(*KEY, F.col("sent_width").alias("width"), F.col("sent_height").alias("height"))
     read = lambda told, parse: told.join(size, KEY).select(*KEY, F.coalesce(parse(F.col("reply"), F.col("width"), F.col("height")), none).alias("figures"))
-    ask = lambda rows, t, p: read(_ask(rows, factory, "detect", p(F.col("doc_context")), t, 2048, prompts.DETECT_SYSTEM), replies.detected)
+    json_ = lambda rows, t: read(ask(rows, shown, "detect", prompts.detect(F.col("doc_context")), t, 2048, prompts.DETECT_SYSTEM), replies.detected)
     some = lambda df: df.filter(F.size("figures") > 0)
-    first = some(ask(pages, 0.15, prompts.detect))
-    second = some(ask(pages.join(first, KEY, "left_anti"), 0.30, prompts.detect))
-    json = first.unionByName(second)
+    first = some(json_(pages, 0.15))
+    second = some(json_(pages.join(first, KEY, "left_anti"), 0.30))
+    found = first.unionByName(second)
     own = pages.filter(text.provider_of(F.col("model")) != "gemini")
-    boxed = some(read(_ask(own, factory, "boxes", F.lit("qwenvl markdown"), 0.1, 4096), replies.commented))
-    left = pages.join(json, KEY, "left_anti").join(boxed, KEY, "left_anti")
-    again = some(read(_ask(left, factory, "detect-again", prompts.detect_again(F.col("doc_context")), 0.3, 2048), replies.detected))
-    all_json = json.unionByName(again).withColumnRenamed("figures", "one")
-    both = size.join(all_json, KEY, "left").join(boxed.withColumnRenamed("figures", "two"), KEY, "left")
+    boxed = some(read(ask(own, shown, "boxes", F.lit("qwenvl markdown"), 0.1, 4096), replies.commented))
+    left = pages.join(found, KEY, "left_anti").join(boxed, KEY, "left_anti")
+    again = some(read(ask(left, shown, "detect-again", prompts.detect_again(F.col("doc_context")), 0.3, 2048), replies.detected))
+    all_json = found.unionByName(again).withColumnRenamed("figures", "one")
+    both = pages.select(*KEY).join(all_json, KEY, "left").join(boxed.withColumnRenamed("figures", "two"), KEY, "left")
     return both.select(*KEY, boxes.clustered(boxes.merged(F.coalesce("one", none), F.coalesce("two", none))).alias("figures"))
 
 
-def verified(pages: DataFrame, found: DataFrame, factory, rounds: int = 2, is_blank: Callable[[Column], Column] | None = None) -> DataFrame:
-    """doc_id, page_num, crops after at most ``rounds`` of verification."""
-    rows = pages.join(found, KEY).withColumn("crops", boxes.crops(F.col("figures"), F.col("page_num"), F.col("width"), F.col("height"))).withColumn("open", F.size("crops") > 0)
-    rows = stored(rows.select(*KEY, "crops", "open"))
+def verified(pages: DataFrame, found: DataFrame, pngs: DataFrame, whole: DataFrame, ask: Caller, codec: Callable[[], images.Codec] | None = None, rounds: int = 2) -> DataFrame:
+    """doc_id, page_num, crops after at most ``rounds`` of verification.
+
+    With a codec the model sees the page with numbered outlines and every crop, and corrections that
+    cut out blank paper are refused; without one it sees the page as in ``whole``.
+    """
+    rows = pages.join(found, KEY).withColumn("crops", boxes.crops(F.col("figures"), F.col("page_num"), F.col("width"), F.col("height")))
+    rows = stored(rows.select(*KEY, "width", "height", "model", "doc_context", "crops", (F.size("crops") > 0).alias("open")))
     for k in range(rounds):
-        looked = pages.join(rows.filter("open"), KEY)
-        told = _ask(looked, factory, "verify", prompts.verify(F.col("crops"), F.col("page_num"), F.col("doc_context")), 0.1 + 0.1 * k, 2048, prompts.VERIFY_SYSTEM)
-        known = rows.join(told.select(*KEY, "reply"), KEY, "left").join(pages.select(*KEY, "width", "height"), KEY)
-        actions = replies.actions(F.col("reply"), F.size("crops"))
-        known = known.withColumn("actions", actions).withColumn("acts", F.col("open") & ~figures.all_accept(F.col("actions")))
-        new = F.when(F.col("acts"), figures.executed(F.col("crops"), F.col("actions"), F.col("page_num"), F.col("width"), F.col("height"), is_blank)).otherwise(F.col("crops"))
-        known = known.withColumn("new", new)
-        rows = stored(known.select(*KEY, F.col("new").alias("crops"), (F.col("acts") & figures.moves_boxes(F.col("actions")) & (F.size("new") > 0)).alias("open")))
+        looked = rows.filter("open")
+        shown = images.for_verification(looked.select(*KEY, "crops").join(pngs, KEY), codec) if codec else whole
+        told = ask(looked, shown, "verify", prompts.verify(F.col("crops"), F.col("page_num"), F.col("doc_context")), 0.1 + 0.1 * k, 2048, prompts.VERIFY_SYSTEM)
+        known = rows.join(told.select(*KEY, "reply"), KEY, "left").withColumn("actions", replies.actions(F.col("reply"), F.size("crops")))
+        known = known.withColumn("acts", F.col("open") & ~figures.all_accept(F.col("actions")))
+        is_blank = None
+        if codec:
+            candidates = known.filter("acts").select(*KEY, figures.corrections(F.col("actions"), F.col("width"), F.col("height")).alias("candidates")).filter(F.size("candidates") > 0)
+            known = known.join(stored(images.blank_boxes(candidates.join(pngs, KEY), codec)), KEY, "left")
+            is_blank = lambda b: F.coalesce(F.exists("blanks", lambda x: F.array(*(x[s] for s in boxes.SIDES)) == F.array(*(b[s] for s in boxes.SIDES))), F.lit(False))
+        new = figures.executed(F.col("crops"), F.col("actions"), F.col("page_num"), F.col("width"), F.col("height"), is_blank)
+        known = known.withColumn("new", F.when(F.col("acts"), new).otherwise(F.col("crops")))
+        open_ = F.col("acts") & figures.moves_boxes(F.col("actions")) & (F.size("new") > 0)
+        rows = stored(known.select(*KEY, "width", "height", "model", "doc_context", F.col("new").alias("crops"), open_.alias("open")))
     return rows.select(*KEY, "crops")
 
 
@@ -79,81 +103,94 @@ def crop_rows(crops: DataFrame) -> DataFrame:
 _OUTLINE, _TAIL = "\x00outline\x00", "\x00tail\x00"
 
 
-def _tail_section(tail: str) -> str:
-    """``prompts.page``'s section on the page before, for a tail that is only known inside the group."""
+def _before(tail: str) -> str:
+    """``prompts.page``'s paragraph on the page before, for a tail that is only known when its turn comes."""
     if not tail:
-        return "<previous_page_tail>(first page)</previous_page_tail>"
+        return prompts.FIRST_PAGE
     body = tail.rstrip()
     last = next((x.strip() for x in reversed(body.split("\n")) if x.strip()), "")
-    hints = []
-    if last.startswith("|") and "|" in last[1:]:
-        hints.append("  <!-- the page before ends inside a table: go on with rows of as many columns, without header and separator -->")
-    if body and not re.search(text.ENDS_TAIL.replace(r"\z", r"\Z"), body):
-        hints.append("  <!-- the page before breaks off inside a sentence: begin with its rest -->")
-    opening = '<previous_page_tail truncated="true">' if hints else "<previous_page_tail>"
-    return "\n".join([opening, tail, *hints, "  </previous_page_tail>"])
+    hints = [prompts.IN_TABLE] * (last.startswith("|") and "|" in last[1:]) + [prompts.IN_SENTENCE] * bool(body and not re.search(text.ENDS_TAIL.replace(r"\z", r"\Z"), body))
+    return "\n".join(["The page before ends with:\n>>>", tail, "<<<", *hints])
+
+
+def _prompt(template: str, headings: list[str], tail: str) -> str:
+    """The page's prompt with the outline and the tail of what was transcribed before."""
+    paragraphs = []
+    for p in template.split("\n\n"):
+        if _OUTLINE in p:
+            p = p.replace(_OUTLINE, "\n".join(headings)) if headings else None
+        elif _TAIL in p:
+            p = _before(tail)
+        paragraphs += [p] if p is not None else []
+    return "\n\n".join(paragraphs)
+
 
+class _Document:
+    """One document's transcription, page after page."""
 
-def transcribed(pages: DataFrame, images: DataFrame, factory) -> DataFrame:
+    def __init__(self, client: models.ModelClient):
+        self.client, self.tail, self.headings = client, "", []
+
+    def _reviewed(self, row, shown: list, md: str) -> tuple[int, list]:
+        ask = {"stage": "review", "model": row.model, "system": "", "prompt": row.review.replace(_TAIL, md[: prompts.PREVIEW]), "images": shown, "temperature": 0.1, "max_tokens": 256}
+        try:
+            return _review(md, self.client.complete(ask) if md.strip() else None)
+        except Exception:  # noqa: BLE001  an unread review counts as a good one
+            return _review(md, None)
+
+    def page(self, row) -> tuple[str, int]:
+        """The Markdown of a page and the number of tries; a poor page is tried once more and the better one stays."""
+        shown = [{"mime": i["mime"], "data": bytes(i["data"])} for i in row.images]
+        ask = {"stage": "convert", "model": row.model, "system": prompts.SYSTEM, "prompt": _prompt(row.prompt, self.headings[-stitching.OUTLINE_HEADINGS :], self.tail), "images": shown, "temperature": 0.1, "max_tokens": 8192}
+        failed, tries = f"<!-- 第{row.page_num + 1}页转换失败", 0
+        try:
+            md = self.client.complete(ask)
+            tries = 1
+            score, issues = self._reviewed(row, shown, md)
+            if issues and score < 60:
+                tries = 2
+                try:
+                    second = self.client.complete(ask)
+                    if second.strip() and self._reviewed(row, shown, second)[0] > score:
+                        md = second
+                except Exception:  # noqa: BLE001, S110  the first try stays
+                    pass
+            md = md if md.strip() else f"{failed} -->"
+        except Exception as e:  # noqa: BLE001
+            md = f"{failed}: {e} -->"
+        self.tail = md[-stitching.CONVERT_TAIL :]
+        self.headings += [x for x in md.split("\n") if re.match("#{1,4} ", x)]
+        return md, tries
+
+
+def transcribed(pages: DataFrame, placed: DataFrame, shown: DataFrame, factory) -> DataFrame:
     """doc_id, page_num, md, attempts: every page transcribed, reviewed, and tried again on a low score.
 
-    ``images``: doc_id, page_num, filenames, places, coverage of pages that have some.
+    ``placed``: doc_id, page_num, filenames, places, coverage of pages that have some.
     """
     no_names = F.array().cast("array<string>")
-    rows = pages.join(images, KEY, "left").withColumns({"filenames": F.coalesce("filenames", no_names), "places": F.coalesce("places", no_names), "coverage": F.coalesce("coverage", F.lit(0))})
-    total = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages"))
-    rows = rows.join(total, "doc_id")
-    prompt = prompts.page(F.col("page_num"), F.col("total_pages"), F.col("doc_context"), F.lit(_OUTLINE), F.lit(_TAIL), F.col("filenames"), F.col("places"), F.col("coverage"))
-    rows = rows.select(*KEY, "model", "api_image", "api_mime", prompt.alias("prompt"), prompts.review(F.lit(_TAIL), F.col("page_num"), F.col("filenames")).alias("review"))
-
-    def convert(frame: pd.DataFrame) -> pd.DataFrame:
-        client, parts, headings, out = factory(), [], [], []
-        tail_at = re.compile(rf"<previous_page_tail.*{_TAIL}.*?</previous_page_tail>", re.S)
-        for row in frame.sort_values("page_num").itertuples():
-            images = [{"mime": row.api_mime, "data": row.api_image}]
-            outline = "\n".join(headings[-stitching.OUTLINE_HEADINGS :])
-            ask = row.prompt.replace(f"  <document_outline>\n{_OUTLINE}\n  </document_outline>\n", f"  <document_outline>\n{outline}\n  </document_outline>\n" if outline else "")
-            section = _tail_section(parts[-1][-stitching.CONVERT_TAIL :] if parts else "")
-            ask = tail_at.sub(lambda _: section, ask)
-            page = {"stage": "convert", "model": row.model, "system": prompts.SYSTEM, "prompt": ask, "images": images, "temperature": 0.1, "max_tokens": 8192}
-
-            def scored(md: str) -> str | None:
-                if not md.strip():
-                    return None
-                try:
-                    return client.complete({"stage": "review", "model": row.model, "system": "", "prompt": row.review.replace(_TAIL, md[: prompts.PREVIEW]), "images": images, "temperature": 0.1, "max_tokens": 256})  # noqa: B023
-                except Exception:  # noqa: BLE001  an unread review counts as a good one
-                    return None
-
-            tries = []
-            try:
-                md = client.complete(page)
-                tries.append((md, None, scored(md)))
-                score, issues = _review(md, tries[0][2])
-                if issues and score < 60:
-                    try:
-                        md2 = client.complete(page)
-                        tries.append((md2, None, scored(md2)))
-                        if md2.strip() and _review(md2, tries[1][2])[0] > score:
-                            md = md2
-                    except Exception as e:  # noqa: BLE001
-                        tries.append((None, str(e), None))
-                md = md if md.strip() else f"<!-- 第{row.page_num + 1}页转换失败 -->"
-            except Exception as e:  # noqa: BLE001
-                md = f"<!-- 第{row.page_num + 1}页转换失败: {e} -->"
-            parts.append(md)
-            headings += [x for x in md.split("\n") if re.match("#{1,4} ", x)]
-            out.append((row.doc_id, row.page_num, md, len(tries)))
-        return pd.DataFrame(out, columns=[*KEY, "md", "attempts"])
+    rows = pages.join(placed, KEY, "left").withColumns({"filenames": F.coalesce("filenames", no_names), "places": F.coalesce("places", no_names), "coverage": F.coalesce("coverage", F.lit(0))})
+    rows = rows.join(pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages")), "doc_id")
+    prompt = prompts.page(F.col("page_num"), F.col("total_pages"), F.replace("doc_context", F.lit("\n\n"), F.lit("\n")), F.lit(_OUTLINE), F.lit(_TAIL), F.col("filenames"), F.col("places"), F.col("coverage"))
+    rows = rows.select(*KEY, "model", prompt.alias("prompt"), prompts.review(F.lit(_TAIL), F.col("page_num"), F.col("filenames")).alias("review"))
+    rows = rows.join(shown.select(*KEY, "images"), KEY).repartition("doc_id").sortWithinPartitions(*KEY)
+
+    def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, now, document = factory(), None, None
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                if document is None or row.doc_id != now:
+                    now, document = row.doc_id, _Document(client)
+                out.append((row.doc_id, row.page_num, *document.page(row)))
+            yield pd.DataFrame(out, columns=[*KEY, "md", "attempts"])
 
     kinds = f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page_num int, md string, attempts int"
-    return stored(rows.groupBy("doc_id").applyInPandas(convert, kinds))
+    return stored(rows.mapInPandas(convert, kinds))
 
 
 def _review(md: str, reply: str | None) -> tuple[int, list]:
     """Score and issues, as ``replies.reviewed`` reads them."""
-    import json
-
     if not md.strip():
         return 0, ["empty"]
     body = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", (reply or "").strip()))
@@ -167,22 +204,45 @@ def _review(md: str, reply: str | None) -> tuple[int, list]:
     return 80, []
 
 
-def documents(pages: DataFrame, factory, stitch: bool = True) -> DataFrame:
-    """doc_id, md of each document of ``pages`` (doc_id, page_num, width, height, api_image, api_mime, model)."""
-    known = stored(with_context(pages, factory))
-    crops = crop_rows(verified(known, detected(known, factory), factory))
+def converted(pages: DataFrame, factory, stitch: bool = True, codec: Callable[[], images.Codec] | None = None, memory: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, md) of each document of ``pages`` (doc_id, page_num, width, height, png, model), and its crops (doc_id, page_num, filename, data).
+
+    ``codec`` sizes images for the model, draws outlines and cuts crops; without one there are no crop
+    files, and references to crops stay as they are.  ``memory``: a folder where replies are remembered.
+    """
+    ask = Caller(factory, memory)
+    pngs, plain = pages.select(*KEY, "png"), pages.drop("png")
+    whole, searched = (stored(images.sent(pages, codec, side)) for side in (images.PAGE_SIDE, images.SEARCH_SIDE))
+    known = stored(with_context(plain, whole, ask))
+    crops = crop_rows(verified(known, detected(known, searched, ask), pngs, whole, ask, codec))
     crops = stored(figures.without_decorative(crops, known))
     placed = figures.positions(crops, known)
-    parts = transcribed(known, placed, factory)
+    parts = transcribed(known, placed, whole, factory)
     named = placed.select(*KEY, F.col("filenames").alias("image_files"))
     parts = parts.join(named, KEY, "left").withColumn("image_files", F.coalesce("image_files", F.array().cast("array<string>")))
     parts = stored(parts.withColumn("md", stitching.with_unreferenced_images(F.col("md"), F.col("image_files"))))
     fixes = None
     if stitch:
-        bounds = stitching.boundaries(parts).filter(F.col("needs_stitch") & ~text.is_blank(F.col("curr")))
-        model = known.select(*KEY, "model").withColumns({"api_image": F.lit(None).cast("binary"), "api_mime": F.lit(None).cast("string")})
-        ask = prompts.stitch(F.right("prev", F.lit(stitching.STITCH_TAIL)), F.left("curr", F.lit(stitching.STITCH_TAIL)))
-        requests = bounds.join(model, KEY).select(*KEY, F.lit("stitch").alias("stage"), "model", F.lit(prompts.STITCH_SYSTEM).alias("system"), ask.alias("prompt"), F.array().cast("array<struct<mime:string,data:binary>>").alias("images"), F.lit(0.0).alias("temperature"), F.lit(4096).alias("max_tokens"))
-        fixes = stored(models.replies(requests, factory).select(*KEY, "reply"))
-    whole = stitching.image_loss_fallback(stitching.joined(parts, fixes), parts)
-    return tables.postprocessed(whole, crops.select("doc_id", "filename"))
+        bounds = stitching.boundaries(parts).filter(F.col("needs_stitch") & ~text.is_blank(F.col("curr"))).join(known.select(*KEY, "model"), KEY)
+        mend = prompts.stitch(F.right("prev", F.lit(stitching.STITCH_TAIL)), F.left("curr", F.lit(stitching.STITCH_TAIL)))
+        fixes = ask(bounds, None, "stitch", mend, 0.0, 4096, prompts.STITCH_SYSTEM).drop("error")
+    md = stitching.image_loss_fallback(stitching.joined(parts, fixes), parts)
+    if codec:
+        cut = crops.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("filename", *boxes.SIDES))).alias("crops"))  # the crops of a page
+        files = stored(images.crop_files(cut.join(pngs, KEY), codec))
+    else:
+        files = crops.select(*KEY, "filename", F.lit(None).cast("binary").alias("data"))
+    return tables.postprocessed(md, files.select("doc_id", "filename")), files
+
+
+def documents(pages: DataFrame, factory, stitch: bool = True, **how) -> DataFrame:
+    """doc_id, md of each document of ``pages``."""
+    return converted(pages, factory, stitch, **how)[0]
+
+
+def write(pages: DataFrame, factory, folder: str, codec: Callable[[], images.Codec], **how) -> None:
+    """Markdown and crops of all documents to ``folder``; crops that earlier runs left are removed."""
+    docs, files = converted(pages, factory, codec=codec, **how)
+    storage.write_images(files, folder)
+    storage.remove_other_images(pages, files, folder)
+    storage.write_markdown(docs, folder)

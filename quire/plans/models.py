@@ -33,6 +33,16 @@ class StubClient:
         return of(request) if of else ""
 
 
+def env_file(path: str = ".env") -> None:
+    """Set what ``KEY=value`` lines of a file name and the environment lacks."""
+    if os.path.isfile(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                name, eq, value = line.strip().removeprefix("export ").partition("=")
+                if eq and not name.startswith("#"):
+                    os.environ.setdefault(name.strip(), value.strip().strip("\"'"))
+
+
 class OpenAIClient:
     """Any service with the OpenAI chat interface; needs the ``openai`` package and a key in the environment."""
 
@@ -58,22 +68,32 @@ class GeminiClient:
     """The other provider; needs ``google-generativeai`` and a key in the environment."""
 
     def __init__(self):
-        key = os.environ.get("GEMINI_API_KEY")
+        key = os.environ.get("GEMINI_PROXY_API_KEY")
         if not key:
-            raise ValueError("GEMINI_API_KEY is not set")
+            raise ValueError("GEMINI_PROXY_API_KEY is not set")
         import google.generativeai as genai
 
-        genai.configure(api_key=key, transport="rest", client_options={"api_endpoint": os.environ.get("GEMINI_BASE_URL", "http://127.0.0.1:8045")})
+        genai.configure(api_key=key, transport="rest", client_options={"api_endpoint": os.environ.get("GEMINI_PROXY_BASE_URL", "http://127.0.0.1:8045")})
         self.genai = genai
 
     def complete(self, request: dict) -> str:
         model = self.genai.GenerativeModel(request["model"].removeprefix("gemini/"), **({"system_instruction": request["system"]} if request["system"] else {}))
         parts = [*({"mime_type": i["mime"], "data": i["data"]} for i in request["images"] or []), request["prompt"]]
         got = model.generate_content([{"role": "user", "parts": parts}], generation_config={"temperature": request["temperature"], "max_output_tokens": request["max_tokens"]})
-        return (got.text or "").strip()
+        return reply_text(got).strip()
+
+
+def reply_text(reply) -> str:
+    """The text of a reply; where it is refused as a whole, the parts of its first candidate."""
+    try:
+        return reply.text or ""
+    except Exception:  # noqa: BLE001  the package raises for replies without a plain text
+        first = next(iter(getattr(reply, "candidates", None) or []), None)
+        return "".join(getattr(p, "text", None) or "" for p in getattr(getattr(first, "content", None), "parts", None) or [])
 
 
 def client_for(model: str) -> ModelClient:
+    env_file()
     return GeminiClient() if model.startswith("gemini/") else OpenAIClient()
 
 
@@ -107,3 +127,26 @@ def replies(requests: DataFrame, factory: Callable[[], ModelClient], at_most: in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "reply", "error"])
 
     return rows.mapInArrow(run, schema)
+
+
+def remembered(requests: DataFrame, factory: Callable[[], ModelClient], path: str) -> DataFrame:
+    """``replies`` that asks for nothing that an earlier run was told: good replies are kept in a table at ``path``.
+
+    The result is stored there with the requests' keys before it is used, so a stage that fails later
+    pays for none of its calls again.
+    """
+    spark = requests.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    kinds = "request_key string, reply string, error string"
+
+    def known(what: str) -> DataFrame:
+        got = spark.read.schema(kinds).parquet(path) if exists else spark.createDataFrame([], kinds)
+        return got.filter("error is null").groupBy("request_key").agg(F.min("reply").alias(what))
+
+    keyed = requests.withColumn("request_key", request_key())
+    fresh = keyed.join(known("told").select("request_key"), "request_key", "left_anti").dropDuplicates(["request_key"])
+    replies(fresh, factory).select("request_key", "reply", "error").write.mode("append").parquet(path)
+    exists = True
+    told = spark.read.schema(kinds).parquet(path).groupBy("request_key").agg(F.min("reply").alias("reply"), F.max("error").alias("error"))
+    return keyed.join(told, "request_key").withColumn("error", F.when(F.col("reply").isNull(), F.col("error"))).drop("request_key")

@@ -20,9 +20,9 @@ You turn one page image of a document into Markdown.
 9. If it breaks off inside a table, go on with rows, without repeating the header.
 Answer with the Markdown alone, without a fence and without coordinates."""
 STITCH_SYSTEM = """\
-You mend the start of a page. Given the end of the page before (<page_end>, correct) and the start of
-the next (<page_start>), drop from the start what repeats the end, and let it continue an unfinished
-sentence or table row directly. Keep headings, images, comments and table rows as they are; never
+You mend the start of a page. Given the end of the page before, which is correct, and the start of the
+next, drop from the start what repeats the end, and let it continue an unfinished sentence or table
+row directly. Keep headings, images, comments and table rows as they are; never
 rewrite or add. Answer with the mended start alone."""
 CONTEXT = "Describe this document from its first page in two or three sentences: its kind, its subject, how headings are numbered. Answer with the description alone."
 DETECT_SYSTEM = "You locate figures on page images. Each box covers a whole figure, sub-figures together; plain text, logos, headers and footers are none. Answer with JSON alone."
@@ -63,43 +63,43 @@ def verify(crops: Column, page_num: Column, doc_context: Column) -> Column:
     )
 
 
-def _tail_section(tail: Column) -> Column:
-    """The end of the page before, with hints on an open sentence and an open table."""
+#: what the end of the page before asks for
+IN_TABLE = "That page ends inside a table: go on with its rows, with as many columns, without header and separator."
+IN_SENTENCE = "That page breaks off inside a sentence: begin with its rest."
+FIRST_PAGE = "Nothing stands before this page."
+
+
+def _before(tail: Column) -> Column:
+    """The end of the page before, with what follows from an open sentence or table."""
     body = text.rstrip(tail)
     in_table = F.coalesce(text.is_table_row(F.try_element_at(F.filter(F.transform(text.lines(body), text.strip), lambda x: x != ""), F.lit(-1))), F.lit(False))
     open_ = (body != "") & ~body.rlike(text.ENDS_TAIL)
-    hints = F.filter(
-        F.array(
-            F.when(in_table, "  <!-- the page before ends inside a table: go on with rows of as many columns, without header and separator -->"),
-            F.when(open_, "  <!-- the page before breaks off inside a sentence: begin with its rest -->"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    some = F.concat(F.lit('<previous_page_tail truncated="true">\n'), tail, F.lit("\n"), F.array_join(hints, "\n"), F.lit("\n  </previous_page_tail>"))
-    none = F.concat(F.lit("<previous_page_tail>\n"), tail, F.lit("\n  </previous_page_tail>"))
-    return F.when(tail == "", "<previous_page_tail>(first page)</previous_page_tail>").when(F.size(hints) > 0, some).otherwise(none)
+    hints = F.filter(F.array(F.when(in_table, IN_TABLE), F.when(open_, IN_SENTENCE)), lambda x: x.isNotNull())
+    return F.when(tail == "", FIRST_PAGE).otherwise(F.array_join(F.concat(F.array(F.lit("The page before ends with:\n>>>"), tail, F.lit("<<<")), hints), "\n"))
+
 
+def _pictures(filenames: Column, places: Column, coverage: Column) -> Column:
+    def item(f: Column, i: Column) -> Column:
+        place = F.coalesce(F.get(places, i), F.lit(""))
+        return F.concat(F.lit("- "), f, F.when(place != "", F.concat(F.lit(" at "), place)).otherwise(""))
 
-def _image_section(filenames: Column, places: Column, coverage: Column) -> Column:
-    item = lambda f, i: F.concat(F.lit("    <img"), F.when(F.coalesce(F.get(places, i), F.lit("")) != "", F.concat(F.lit(' pos="'), F.get(places, i), F.lit('"'))).otherwise(""), F.lit(">"), f, F.lit("</img>"))
     percent = coverage.cast("string")
-    warning = F.when(coverage >= 30, F.concat(F.lit("\n    About "), percent, F.lit("% of this page are images; do not retell what they show."))).otherwise("")
-    share = F.when(coverage > 0, F.concat(F.lit(' coverage="'), percent, F.lit('%"'))).otherwise("")
-    some = F.concat(F.lit('<images count="'), F.size(filenames).cast("string"), F.lit('"'), share, F.lit(' order="top to bottom">'), warning, F.lit("\n"), F.array_join(F.transform(filenames, item), "\n"), F.lit("\n  </images>"))
-    return F.when(F.size(filenames) > 0, some).otherwise('<images count="0"/>')
+    share = F.when(coverage >= 30, F.concat(F.lit(", about "), percent, F.lit("% of the page; do not retell what they show"))).when(coverage > 0, F.concat(F.lit(", about "), percent, F.lit("% of the page"))).otherwise("")
+    some = F.concat(F.lit("Pictures to place, from top to bottom ("), F.size(filenames).cast("string"), share, F.lit("):\n"), F.array_join(F.transform(filenames, item), "\n"))
+    return F.when(F.size(filenames) > 0, some).otherwise("There are no pictures to place.")
 
 
 def page(page_num: Column, total_pages: Column, doc_context: Column, outline: Column, tail: Column, filenames: Column, places: Column, coverage: Column) -> Column:
-    """The task of converting one page."""
-    sections = F.array(
-        F.concat(F.lit('  <page number="'), (page_num + 1).cast("string"), F.lit('" total="'), total_pages.cast("string"), F.lit('"/>')),
-        F.when(F.coalesce(doc_context, F.lit("")) != "", F.concat(F.lit("  <document_context>"), doc_context, F.lit("</document_context>"))),
-        F.when(outline != "", F.concat(F.lit("  <document_outline>\n"), outline, F.lit("\n  </document_outline>"))),
-        F.concat(F.lit("  "), _tail_section(tail)),
-        F.concat(F.lit("  "), _image_section(filenames, places, coverage)),
-        F.lit("  <instructions>Transcribe this page as the system prompt says.</instructions>"),
+    """The task of converting one page; ``outline`` and ``tail`` are put between paragraphs of their own."""
+    paragraphs = F.array(
+        F.concat(F.lit("This is page "), (page_num + 1).cast("string"), F.lit(" of "), total_pages.cast("string"), F.lit(".")),
+        F.when(F.coalesce(doc_context, F.lit("")) != "", F.concat(F.lit("About the document: "), doc_context)),
+        F.when(outline != "", F.concat(F.lit("Headings so far:\n"), outline)),
+        _before(tail),
+        _pictures(filenames, places, coverage),
+        F.lit("Transcribe the page as you were told."),
     )
-    return F.concat(F.lit("<task>\n"), F.array_join(F.filter(sections, lambda s: s.isNotNull()), "\n"), F.lit("\n</task>"))
+    return F.array_join(F.filter(paragraphs, lambda s: s.isNotNull()), "\n\n")
 
 
 # Fixed value: characters of a page that a review sees
@@ -108,8 +108,8 @@ PREVIEW = 3000
 
 def review(md: Column, page_num: Column, filenames: Column) -> Column:
     images = F.when(F.size(filenames) > 0, F.concat(F.size(filenames).cast("string"), F.lit(" crops were supplied: "), F.array_join(filenames, ", "))).otherwise("")
-    return F.concat(F.lit("Compare page "), (page_num + 1).cast("string"), F.lit(" with its conversion.\n"), images, F.lit("\n\n<markdown_output>\n"), F.left(md, F.lit(PREVIEW)), F.lit('\n</markdown_output>\n\nIs the text complete, are images referenced, are formulas closed, are there no coordinates?\nAnswer: {"score": 0-100, "issues": ["..."]}'))
+    return F.concat(F.lit("Compare page "), (page_num + 1).cast("string"), F.lit(" with its conversion.\n"), images, F.lit("\n\nCONVERSION:\n"), F.left(md, F.lit(PREVIEW)), F.lit('\n\nIs the text complete, are images referenced, are formulas closed, are there no coordinates?\nAnswer: {"score": 0-100, "issues": ["..."]}'))
 
 
 def stitch(tail: Column, head: Column) -> Column:
-    return F.concat(F.lit("<page_end>\n"), tail, F.lit("\n</page_end>\n\n<page_start>\n"), head, F.lit("\n</page_start>"))
+    return F.concat(F.lit("END OF THE PAGE BEFORE:\n"), tail, F.lit("\n\nSTART OF THE NEXT PAGE:\n"), head)

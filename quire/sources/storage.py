@@ -25,7 +25,11 @@ def _own_dir() -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that nothing upstream runs twice."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own_dir()
     path = f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -74,30 +78,63 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and filename of ``<doc>/images/<file>.png`` under ``path``; contents are not read."""
+    """doc_id and filename of ``<doc>/images/<file>.png`` under ``path``, in order; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]*)/images/[^/]*$", 1).alias("doc_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("filename")).filter("doc_id != ''")
+    return files.select(F.regexp_extract("path", r"([^/]*)/images/[^/]*$", 1).alias("doc_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("filename")).filter("doc_id != ''").orderBy("doc_id", "filename")
 
 
-def write_markdown(documents: DataFrame, folder: str) -> None:
-    """One ``<doc_id>/<doc_id>.md`` per row of doc_id, md, under a folder that all executors share.
+def _put(path: str, data: bytes) -> None:
+    """A file appears whole under its name or not at all, so a task that runs twice does no harm."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = os.path.join(os.path.dirname(path), f".{uuid.uuid4().hex}")
+    with open(part, "wb") as f:
+        f.write(data)
+    os.replace(part, path)
+
+
+def _home(folder: str, doc_id) -> str:
+    return os.path.join(folder, os.path.basename(str(doc_id)))
+
 
-    A file appears whole under its name or not at all, so a task that runs twice does no harm.
-    """
+def write_markdown(documents: DataFrame, folder: str) -> None:
+    """One ``<doc_id>/<doc_id>.md`` per row of doc_id, md, under a folder that all executors share."""
 
     def write(rows) -> None:
         for row in rows:
-            name = os.path.basename(str(row["doc_id"]))
-            home = os.path.join(folder, name)
+            home = _home(folder, row["doc_id"])
             os.makedirs(os.path.join(home, "images"), exist_ok=True)
-            part = os.path.join(home, f".{uuid.uuid4().hex}")
-            with open(part, "w", encoding="utf-8", newline="") as f:
-                f.write(row["md"] or "")
-            os.replace(part, os.path.join(home, f"{name}.md"))
+            _put(os.path.join(home, f"{os.path.basename(home)}.md"), (row["md"] or "").encode())
 
     documents.select("doc_id", "md").foreachPartition(write)
 
 
+def write_images(files: DataFrame, folder: str) -> None:
+    """``<doc_id>/images/<filename>`` per row of doc_id, filename, data, under a folder that all executors share."""
+
+    def write(rows) -> None:
+        for row in rows:
+            _put(os.path.join(_home(folder, row["doc_id"]), "images", os.path.basename(row["filename"])), bytes(row["data"]))
+
+    files.select("doc_id", "filename", "data").foreachPartition(write)
+
+
+def remove_other_images(documents: DataFrame, files: DataFrame, folder: str) -> None:
+    """Remove PNG files that earlier runs left: those of ``documents`` (doc_id) that are not among ``files`` (doc_id, filename)."""
+    own = files.groupBy("doc_id").agg(F.collect_set("filename").alias("own"))  # the images of one document
+
+    def clean(rows) -> None:
+        for row in rows:
+            images = os.path.join(_home(folder, row["doc_id"]), "images")
+            for name in os.listdir(images) if os.path.isdir(images) else []:
+                if name.endswith(".png") and name not in (row["own"] or ()):
+                    try:
+                        os.unlink(os.path.join(images, name))
+                    except FileNotFoundError:
+                        pass  # another attempt of this task was first
+
+    documents.select("doc_id").distinct().join(own, "doc_id", "left").foreachPartition(clean)
+
+
 def archive(md: str, name: str, images: dict[str, bytes]) -> bytes:
     """A zip of one document: its Markdown and its images."""
     out = io.BytesIO()

@@ -1,18 +1,21 @@
 import ast
 import os
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from compare import ROOT
 from pyspark.sql import functions as F
 
 from quire.plans import conversion, models
+from quire.sources import images as pictures
 from quire.sources import storage
 from quire.streaming import carry
 
 
 def page_rows(spark, texts):
-    rows = [(1, i, 1000, 1000, t.encode(), "image/png", "qwen3.5-plus") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id int, page_num int, width int, height int, api_image binary, api_mime string, model string")
+    rows = [(1, i, 1000, 1000, t.encode(), "qwen3.5-plus") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id int, page_num int, width int, height int, png binary, model string")
 
 
 def client():
@@ -38,7 +41,7 @@ def test_retry_keeps_the_better(spark):
 
     known = page_rows(spark, ["x"]).withColumn("doc_context", F.lit(""))
     images = spark.createDataFrame([], "doc_id int, page_num int, filenames array<string>, places array<string>, coverage int")
-    row = conversion.transcribed(known, images, factory).first()
+    row = conversion.transcribed(known.drop("png"), images, pictures.sent(known, None, 0), factory).first()
     assert (row.md, row.attempts) == ("better", 2)
 
 
@@ -66,13 +69,99 @@ def test_files(spark, tmp_path):
 
 
 def test_keys_are_checked():
-    for name in ("DASHSCOPE_API_KEY", "GEMINI_API_KEY"):
+    for name in ("DASHSCOPE_API_KEY", "GEMINI_PROXY_API_KEY"):
         os.environ.pop(name, None)
     for model in ("qwen3.5-plus", "gemini/x"):
         with pytest.raises(ValueError, match="is not set"):
             models.client_for(model)
 
 
+def picture(width, height, *dark):
+    """A white page with dark boxes."""
+    pixels = np.full((height, width, 3), 255, np.uint8)
+    for x1, y1, x2, y2 in dark:
+        pixels[y1:y2, x1:x2] = 40
+    return pictures.NetpbmCodec().encode(pixels, "png")
+
+
+def test_crops_end_to_end(spark, tmp_path):
+    """Detected, verified on outlines and crops, corrected unless blank, written, and referred to; old files go."""
+    codec = pictures.NetpbmCodec()
+    page = picture(1000, 2000, (100, 100, 400, 500), (600, 1000, 900, 1400))
+    pages = spark.createDataFrame([("d", 0, 1000, 2000, page, "gemini/m"), ("e", 0, 1000, 2000, picture(1000, 2000), "gemini/m")], "doc_id string, page_num int, width int, height int, png binary, model string")
+
+    def factory():
+        def verify(r):
+            shown = [codec.decode(i["data"]) for i in r["images"]]
+            assert len(shown) == 3 and shown[0].shape == (2000, 1000, 3) and max(max(s.shape) for s in shown[1:]) <= 800
+            assert shown[0][94, 200].tolist() == [255, 0, 0] and shown[1].min() == 40
+            return '[{"index": 1, "action": "adjust", "bbox": [450, 50, 550, 100]}, {"index": 2, "action": "split", "regions": [{"bbox": [600, 500, 750, 700], "desc": "l"}, {"bbox": [450, 50, 550, 100]}]}]'
+
+        def detect(r):
+            shown = codec.decode(r["images"][0]["data"])
+            assert shown.shape == (1600, 800, 3)
+            return '[{"bbox": [100, 50, 400, 250], "desc": "a"}, {"bbox": [480, 800, 720, 1120], "desc": "b, in pixels of what is shown"}]' if shown.min() < 255 else "[]"
+
+        return models.StubClient({"detect": detect, "detect-again": detect, "verify": verify, "convert": lambda r: "Text ![](images/gone.png)"})
+
+    old = tmp_path / "d" / "images" / "old.png"
+    os.makedirs(old.parent)
+    old.write_bytes(b"1")
+    conversion.write(pages, factory, str(tmp_path), pictures.NetpbmCodec)
+    files = [(r.doc_id, r.filename) for r in storage.image_files(spark, str(tmp_path)).collect()]
+    assert files == [("d", "page1_fig1.png"), ("d", "page1_fig2_a.png")] and not old.exists()
+    assert codec.decode((tmp_path / "d" / "images" / "page1_fig1.png").read_bytes()).min() == 40
+    md = {r.doc_id: r.md for r in storage.markdown_files(spark, str(tmp_path)).collect()}
+    assert md["d"] == "Text \n\n![](images/page1_fig1.png)\n\n![](images/page1_fig2_a.png)" and md["e"].strip() == "Text"
+
+
+def test_sizes_for_the_model():
+    class Lossy(pictures.NetpbmCodec):
+        def encode(self, pixels, kind, quality=90):
+            return b"x" * (pixels.size // (1 if kind == "png" else 100 // (quality // 10)))
+
+    pixels = np.zeros((1000, 2000, 3), np.uint8)
+    assert pictures.prepared(Lossy(), pixels, [2000], 6_000_000)[::3] == ("image/png", 1000)
+    mime, data, width, height = pictures.prepared(Lossy(), pixels, [2000, 1700], 520_000)
+    assert (mime, width, height) == ("image/jpeg", 2000, 1000) and len(data) <= 520_000
+    assert pictures.prepared(Lossy(), pixels, [2000, 1700], 1)[2] == 1700
+
+
+def test_remembered_replies(spark, tmp_path):
+    """A second run asks only for what failed."""
+    rows = [(i, "s", "m", "", f"p{i % 2}", [], 0.0, 1) for i in range(4)]
+    requests = spark.createDataFrame(rows, "k int, " + models.REQUEST)
+
+    def factory(broken):
+        def said(r):
+            if broken and r["prompt"] == "p1" or not broken and r["prompt"] == "p0":
+                raise RuntimeError("asked")
+            return r["prompt"]
+
+        return lambda: models.StubClient({"s": said})
+
+    first = {r.k: (r.reply, r.error) for r in models.remembered(requests, factory(True), str(tmp_path / "m")).collect()}
+    assert first == {0: ("p0", None), 2: ("p0", None), 1: (None, "asked"), 3: (None, "asked")}
+    again = {r.k: r.reply for r in models.remembered(requests, factory(False), str(tmp_path / "m")).collect()}
+    assert again == {0: "p0", 1: "p1", 2: "p0", 3: "p1"}
+
+
+def test_reply_text_and_env(tmp_path, monkeypatch):
+    class Refused:
+        candidates = [SimpleNamespace(content=SimpleNamespace(parts=[SimpleNamespace(text="a"), SimpleNamespace(text=None), SimpleNamespace(text="b")]))]
+
+        @property
+        def text(self):
+            raise ValueError
+
+    assert models.reply_text(Refused()) == "ab" and models.reply_text(SimpleNamespace(text="x")) == "x"
+    monkeypatch.delenv("QUIRE_T1", raising=False)
+    monkeypatch.setenv("QUIRE_T2", "kept")
+    (tmp_path / "e").write_text("# c\nexport QUIRE_T1='v=1'\nQUIRE_T2=new\n")
+    models.env_file(str(tmp_path / "e"))
+    assert os.environ.pop("QUIRE_T1") == "v=1" and os.environ["QUIRE_T2"] == "kept"
+
+
 def test_nothing_outside_imports_the_optional_part():
     for home, _, names in os.walk(os.path.join(ROOT, "quire")):
         for name in names:
