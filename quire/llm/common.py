@@ -140,14 +140,19 @@ class WordHashes(dict):
 
 
 class Recall(dict):
-    """key -> ``of(key)``; takes results in while there is room, and starts anew once far more have passed it by."""
+    """key -> ``of(key)``; takes results in while there is room, and starts anew once far more have passed it by.
+
+    ``known``: results that are given, and stay.
+    """
 
     def __init__(self, of: Callable, bound: int = 400_000):
         super().__init__()
-        self.of, self.bound, self.passed = of, bound, 0
+        self.of, self.bound, self.passed, self.known = of, bound, 0, {}
 
     def __missing__(self, key):
-        got = self.of(key)
+        got = self.known.get(key)
+        if got is None:
+            got = self.of(key)
         if len(self) < self.bound:
             if len(key) <= 64:
                 self[key] = got

@@ -3,7 +3,7 @@
 A rotation to principal axes is fitted on a bounded sample of vectors; being orthonormal it changes no
 cosine, it only puts the dimensions that tell vectors apart first.  Rows of a label fall into cells of
 the two leading coordinates of their unit vectors, as wide as two linked vectors can differ, and cells
-into tiles of about ``TILE`` rows by a hash of the id.  Tiles meet within a cell and with the next
+into tiles of about ``TILE`` rows by a hash of their number.  Tiles meet within a cell and with the next
 cells.  Inside a pair of tiles, products over the leading dimensions are accumulated block by block;
 the product over the rest is bounded by the suffix norms, and pairs whose bound cannot reach the
 threshold are dropped.  What is left is decided by the cosine of the original vectors in double
@@ -15,7 +15,8 @@ components then join those.  Equal vectors of a label are one row with a multipl
 
 Defined cases: a vector that is null, zero or holds a null or non-finite component, or whose label is
 null, links with nothing; vectors of different lengths never link; rows with equal ids count as
-separate vectors, and so link when equal; a null id has no component.
+separate vectors, each with its own links, and so link when equal; a row with a null id counts among
+the links of others, has the least id of its component if there is one, and is never kept.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ LEAD = 16
 def principal_axes(rows: DataFrame, sample: int = 2048) -> dict[int, np.ndarray]:
     """Rotation by dimension from at most ``sample`` vectors, those with the smallest hash of the id."""
     by_dim: dict[int, list[np.ndarray]] = {}
-    for r in least_hashed(rows.filter(F.col("embedding").isNotNull()), "vec_id", sample).select("embedding").collect():
+    for r in least_hashed(rows.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding"), ["vec_id", "embedding"], sample).select("embedding").collect():
         if None in r[0] or not r[0]:
             continue
         v = np.array(r[0], np.float64)
@@ -133,7 +134,7 @@ def _compare(axes: dict[int, np.ndarray], threshold: float):
                 for name in ("a", "b"):
                     t = tile(name)
                     x = np.frombuffer(b"".join(t.field("raw").to_pylist()), np.float64).reshape(-1, dim)
-                    data.append((t.field("vec_id").to_numpy(zero_copy_only=False), t.field("n").to_numpy(zero_copy_only=False), x))
+                    data.append((t.field("uid").to_numpy(zero_copy_only=False), t.field("n").to_numpy(zero_copy_only=False), x))
                 (ids, n, x), (ids2, n2, y) = data
                 i, j = linked(x, y, axes.get(dim), threshold, same)
                 if same:
@@ -147,7 +148,7 @@ def _compare(axes: dict[int, np.ndarray], threshold: float):
                 place[order] = np.arange(len(order))
                 low = all_ids[order][least_connected(len(order), place[i], place[j2])][place]
                 some = count > 0
-                yield pa.RecordBatch.from_arrays([pa.array(all_ids[some], pa.int64()), pa.array(count[some].astype(np.int64)), pa.array(low[some], pa.int64())], names=["vec_id", "n", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(all_ids[some], pa.int64()), pa.array(count[some].astype(np.int64)), pa.array(low[some], pa.int64())], names=["uid", "n", "low"])
 
     return run
 
@@ -161,11 +162,12 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, sample: int = 2048) -> Da
     kinds = "vec_id long, label string, raw binary, dim int, c0 int, c1 int"
     rows = stored(rows.mapInArrow(lambda it: _prepare(shared.value, width)(it), kinds))
     cell = ["label", "dim", "c0", "c1"]
-    own = rows.filter(F.col("raw").isNotNull() & F.col("vec_id").isNotNull()).groupBy(*cell, "raw").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
-    own = stored(own)
+    # unlike vectors have numbers of their own, whatever their ids
+    own = rows.filter(F.col("raw").isNotNull()).groupBy(*cell, "raw").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    own = stored(own.withColumn("uid", F.monotonically_increasing_id()))
     sizes = own.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiles = own.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
-    tiles = stored(tiles.repartition(*cell, "tile").groupBy(*cell, "tile").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n", "raw"))).alias("rows")))  # about TILE rows
+    tiles = own.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    tiles = stored(tiles.groupBy(*cell, "tile").agg(F.sort_array(F.collect_list(F.struct("uid", "n", "raw"))).alias("rows")))  # about TILE rows
     names = tiles.select(*cell, "tile")
     steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
     near = names.withColumn("step", F.explode(steps)).select("label", "dim", (F.col("c0") + F.col("step.x")).alias("d0"), (F.col("c1") + F.col("step.y")).alias("d1"), "c0", "c1", "tile")
@@ -175,14 +177,15 @@ def dedup(vectors: DataFrame, threshold: float = 0.98, sample: int = 2048) -> Da
     left = tiles.withColumnRenamed("rows", "a")
     right = tiles.select("label", "dim", F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("tile").alias("tile2"), F.col("rows").alias("b"))
     met = pairs.hint("shuffle_hash").join(left, [*cell, "tile"]).join(right, ["label", "dim", "d0", "d1", "tile2"])
-    found = stored(met.select("dim", "same", "a", "b").mapInArrow(lambda it: _compare(shared.value, threshold)(it), "vec_id long, n long, low long"))
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    parts = components(found.select("vec_id", "low"))
-    classes = own.select("label", "dim", "raw", F.col("vec_id").alias("first"), F.col("n").alias("copies"))
-    classes = classes.join(links.withColumnRenamed("vec_id", "first"), "first", "left").withColumnRenamed("n", "others").join(parts.withColumnRenamed("node", "first"), "first", "left")
-    known = rows.join(classes, ["label", "dim", "raw"], "left")
-    component = F.coalesce("component", "first", "vec_id")
-    return known.select("vec_id", (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    found = stored(met.select("dim", "same", "a", "b").mapInArrow(lambda it: _compare(shared.value, threshold)(it), "uid long, n long, low long"))
+    links = found.groupBy("uid").agg(F.sum("n").alias("others"))
+    parts = components(found.select("uid", "low")).withColumnRenamed("node", "uid")
+    classes = own.select("label", "dim", "raw", "uid", "first", F.col("n").alias("copies")).join(links, "uid", "left").join(parts, "uid", "left").withColumn("part", F.coalesce("component", "uid"))
+    classes = stored(classes.select("label", "dim", "raw", "part", "first", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    least = classes.groupBy("part").agg(F.min("first").alias("component"))
+    known = rows.join(classes.join(least, "part"), ["label", "dim", "raw"], "left")
+    component = F.coalesce("component", "vec_id")
+    return known.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 ORACLE_SQL = """

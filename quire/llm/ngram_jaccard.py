@@ -30,7 +30,8 @@ never becomes all its pairs.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer than five
 words are one shingle; rows with equal ids are one node with the links of each of their texts; a row
-with a null id links with nothing and has a null component.
+with a null id links with nothing and has a null component; sets are of whole texts, however long; of
+equal sets the least id comes first; ``keep`` returns all columns, whatever their names.
 """
 
 from __future__ import annotations

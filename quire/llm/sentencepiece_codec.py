@@ -11,12 +11,14 @@ and grouped by word.  Higher-order ``aggregate`` folds the group to piece ids:
   give the model's segmentation, so the fold takes the edge of the best rank that joins two present
   neighbours, the leftmost of equals, until none does.  Places still present are a bit mask.
 
-``encode`` resolves the ``known_words`` most frequent words of the corpus this way (a bounded
-dictionary, broadcast); rarer words run the same merge or Viterbi fold inside the task that meets
-them.  Both paths are exact, so the split changes no id.  Words longer than 60 characters always
-take the second path.
-
-Defined cases: null and empty texts have no ids; bytes that are no UTF-8 count as U+FFFD; characters
+``encode`` resolves the ``known_words`` most frequent words of the corpus this way (a dictionary that
+is broadcast, some MB, and stays in every worker); rarer words run the same merge or Viterbi fold
+inside the task that meets them.  Both paths are exact, so the split changes no id.  It is there
+because a join of all words back to their texts would shuffle every text and word once more.  Words
+longer than 60 characters, whose places do not fit the fold's mask, always take the second path.
+
+Defined cases: null and empty texts have no ids; texts are encoded whole, however long; repeated rows
+and ids have a row each, null ids too; columns but doc_id and text are passed over, whatever their names; bytes that are no UTF-8 count as U+FFFD; characters
 without a piece become their UTF-8 byte pieces, or the unknown id where the model has none.  Decoding
 restores every text except that a word mark of the text itself comes back as a blank.
 """
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import Recall, by_rows, documents, kept, marked_parts, most_frequent, stored, with_marks
 
 MARK = "▁"
+KNOWN_WORDS = 1 << 18
 LONGEST = 60  # characters of a word whose places fit a 64-bit mask
 
 
@@ -233,7 +236,7 @@ def dictionary(docs: DataFrame, pieces: Pieces, known_words: int) -> dict[str, b
     """Ids (32-bit, little-endian) of the most frequent words by the relational lattice."""
     counts = words(docs, pieces).filter(F.char_length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
     top = stored(most_frequent(stored(counts), known_words).select("word"))
-    spread = top.repartition("word")
+    spread = top.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")  # a number, so that the folds are not put in one task
     got = segmented(spread, pieces).toArrow()
     found = {}
     for word, mask in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
@@ -252,7 +255,7 @@ class Encoder:
     def __init__(self, pieces: Pieces, known: dict[str, bytes], bound: int = 300_000):
         self.pieces = pieces
         self.words = Recall(lambda part: array("i", pieces.ids(with_marks(part, MARK))).tobytes(), bound)
-        self.words.update((word.replace(MARK, " ").encode(), ids) for word, ids in known.items())
+        self.words.known = {word.replace(MARK, " ").encode(): ids for word, ids in known.items()}
         self.cut = re.compile(pieces.pattern).findall
 
     def of(self, text: bytes | None) -> bytes:
@@ -276,7 +279,7 @@ def _with_ids(docs: DataFrame, model_file: str | None, known_words: int, schema:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(by_rows(make, schema, keeps=True), kinds)
 
 
-def encode(docs: DataFrame, model_file: str | None = None, known_words: int = 50_000) -> DataFrame:
+def encode(docs: DataFrame, model_file: str | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id and ids (array<int>) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     return _with_ids(docs, model_file, known_words, schema, "doc_id long, ids array<int>", lambda doc, text, ids, own: (doc, ids))
@@ -293,7 +296,7 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(by_rows(make, schema), "doc_id long, text string")
 
 
-def digest(docs: DataFrame, model_file: str | None = None, known_words: int = 50_000) -> DataFrame:
+def digest(docs: DataFrame, model_file: str | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian 32-bit ids), round_trip (decoding gives the text back)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
     result = lambda doc, text, ids, own: (doc, len(ids), zlib.crc32(ids.tobytes()), own.decode(ids.tolist()) == (text or b""))

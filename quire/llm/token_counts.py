@@ -12,7 +12,9 @@ after another character, so every best path passes through the places before mar
 characters that are in no longer piece; a text is cut there and each distinct part is counted once
 per task as long as the bounded memo holds it.  Other vocabularies are counted as one part.
 
-Defined cases: null and empty texts have 0 tokens; bytes that are no UTF-8 count as U+FFFD.
+Defined cases: null and empty texts have 0 tokens; bytes that are no UTF-8 count as U+FFFD; texts are
+counted whole, however long; repeated rows and ids have a row each, null ids too; columns but doc_id
+and text are passed over, whatever their names.
 """
 
 from __future__ import annotations

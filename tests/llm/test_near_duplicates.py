@@ -49,7 +49,12 @@ def test_vectors(spark):
     low = least(links, {d[0] for d in data})
     assert {(i, c) for i, _, c, _ in got} == {(i, low[i]) for i, _, _ in data}
     assert all(n == count.get(i, 0) for i, n, _, _ in got if i < 408)
+    # one id for unlike vectors, and null ids: every vector has its own links
+    same = spark.createDataFrame([(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [0.0, 2.0], 1), (None, [0.0, 3.0], 1), (None, [1.0, 1.0], 1), (7, [1.0, 1.01], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(str, (tuple(r) for r in embedding_dedup.dedup(same).collect()))) == sorted(map(str, [(5, 0, 5, True), (5, 2, 5, True), (6, 2, 5, False), (None, 2, 5, False), (None, 1, 7, False), (7, 1, 7, True)]))
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
+    many = spark.range(3000).selectExpr("1L as vec_id", "array(cast(id as double), 1D, 5D) as embedding", "0 as label")
+    assert embedding_dedup.dedup(many).count() == 3000  # 3,000 vectors of one id
 
 
 def jaccard(spark, data):

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 import tokenizers
 from llm_rows import ODD
@@ -20,20 +21,49 @@ def test_byte_ids_equal_the_library():
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for bound in (800_000, 5):  # with and without room in the memo
         got = token_output.Encoder(bound=bound)([t.encode() for t in TEXTS])
-        assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
-
-
-def test_grammar_round_trip_and_slices():
-    rng = np.random.default_rng(2)
-    for ids in (np.zeros(0), np.zeros(1), np.zeros(1000), rng.integers(0, 4, 5000), rng.integers(0, 50257, 3000), np.tile(rng.integers(0, 50257, 40), 200)):
-        ids = ids.astype(np.uint16)
-        made, pairs, lengths, symbols = token_output.compress(ids)
-        assert (token_output.expand(made, pairs, symbols) == ids).all()
+        assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
+def pairs_without_overlap(symbols):
+    """Times that each pair stands, as replacing it would meet it."""
+    count, last = {}, {}
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if last.get(pair) != i - 1 or pair[0] != pair[1]:
+            count[pair] = count.get(pair, 0) + 1
+            last[pair] = i
+        else:
+            last.pop(pair)
+    return count
+
+
+@pytest.mark.parametrize("slots", [4, 21])
+def test_grammar_round_trip_and_slices(monkeypatch, slots):
+    """Decoding gives all back, from any place, and no pair stands twice; also where most pairs share their slots."""
+    monkeypatch.setattr(token_output, "SLOTS", slots)
+    rng, first = np.random.default_rng(2), 60_000
+    for ids in (np.zeros(0), np.zeros(1), np.zeros(3), np.zeros(1000), rng.integers(0, 4, 3000), rng.integers(0, first, 3000), np.tile(rng.integers(0, first, 40), 200), np.repeat(rng.integers(0, 9, 300), rng.integers(1, 9, 300))):
+        ids = ids.astype(np.uint32)
+        made, pairs, lengths, symbols = token_output.compress(ids, first)
+        assert sum(made) == len(pairs) == len(lengths) and (pairs < first + np.arange(len(pairs))[:, None]).all()
+        assert max(pairs_without_overlap(symbols.tolist()).values(), default=1) == 1
+        segment = token_output.Segment(first, made, pairs, lengths, symbols)
+        assert (segment.slice(0, len(ids)) == ids).all()
         for _ in range(20 if len(ids) else 0):
             a = int(rng.integers(0, len(ids)))
             n = int(rng.integers(0, len(ids) - a + 1))
-            assert (token_output.read_slice(made, pairs, lengths, symbols, a, n) == ids[a : a + n]).all()
-    assert len(symbols) < len(ids) / 3
+            assert (segment.slice(a, n) == ids[a : a + n]).all()
+
+
+def test_grammar_of_repetitions_is_small():
+    for ids, most in ((np.zeros(100_000), 60), (np.tile(np.random.default_rng(1).integers(0, 50_257, 40), 2000), 150)):
+        _, pairs, _, symbols = token_output.compress(ids.astype(np.uint32), 50_257)
+        assert len(symbols) + 2 * len(pairs) < most
+
+
+def test_most_frequent_pair_goes_first():
+    ids = np.array([1, 2, 1, 2, 1, 2, 3, 2, 3, 1, 2], np.uint32)
+    _, pairs, _, _ = token_output.compress(ids, 10)
+    assert pairs[0].tolist() == [1, 2]
 
 
 def test_token_files(spark, odd, none, tmp_path):
@@ -46,6 +76,12 @@ def test_token_files(spark, odd, none, tmp_path):
         want[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert [r.doc_id for r in got] == sorted((i for i, *_ in ODD), key=lambda i: (i is not None, i or 0))
     assert all((r.n_tokens, r.ids_crc32) == want[r.doc_id] for r in got)
+    same = spark.createDataFrame([(1, "a"), (1, "b c d"), (1, None), (1, "e f")], "doc_id long, text string")
+    runs = []
+    for name, parts in (("x", 1), ("y", 3)):
+        token_output.write(same.repartition(parts), str(tmp_path / name))
+        runs.append(sorted(tuple(r) for r in token_output.read_digest(spark, str(tmp_path / name)).collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == 4
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
     token_output.write(none, str(tmp_path / "n"))
     assert token_output.read_digest(spark, str(tmp_path / "n")).count() == 0
