@@ -12,6 +12,7 @@ from quire.functions import boxes, replies, text
 from quire.inputs import FIGURES_SQL, LINES_SQL, PAGES_SQL, figure_rows, figures_fx, lines_fx, pages_fx, table
 from quire.operators import figures, stitching, tables
 from quire.plans import conversion, models, prompts
+from quire.sources import images
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -497,19 +498,63 @@ def service_fields(spark, d):
 
 
 @query(
-    """WITH m AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE turn % 3 = 0 AND text <> '') AS instruction, string_agg(CASE WHEN role = 'assistant' THEN 'model:' ELSE 'user:' END || text, chr(10) ORDER BY turn) FILTER (WHERE turn % 3 <> 0 AND text <> '') AS contents FROM conversations GROUP BY conv_id)
+    """WITH p AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, turn % 5 = 1 AS shown FROM conversations),
+m AS (SELECT conv_id, string_agg(t, chr(10) ORDER BY turn) FILTER (WHERE turn % 3 = 0 AND t <> '') AS instruction,
+  string_agg(CASE WHEN role = 'assistant' THEN 'model:' ELSE 'user:' END || array_to_string(list_filter([CASE WHEN t <> '' THEN t END, CASE WHEN shown THEN '<image/gif ' || t || '>' END], lambda x: x IS NOT NULL), '+'), chr(10) ORDER BY turn)
+    FILTER (WHERE turn % 3 <> 0 AND (t <> '' OR shown)) AS contents FROM p GROUP BY conv_id)
 SELECT conv_id, coalesce(instruction, '') AS instruction, coalesce(contents, '') AS contents FROM m"""
 )
 def message_flattening(spark, d):
-    """Every third turn as a system message; the others with an undecodable picture beside the text."""
-    part = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("url"))
-    remote = F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("https://host/picture.png").alias("url"))
-    role = F.when(F.col("turn") % 3 == 0, "system").otherwise(F.col("role"))
-    message = F.struct("turn", role.alias("role"), F.when(F.col("turn") % 3 == 0, F.array(part)).otherwise(F.array(part, remote)).alias("parts"))
+    """Every third turn as a system message; the others with a remote picture, broken data and, every fifth turn, a data URL beside the text."""
+    url = lambda c: F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), c.alias("url"))
+    said = F.coalesce("text", F.lit(""))
+    part = F.struct(F.lit("text").alias("type"), said.alias("text"), F.lit(None).cast("string").alias("url"))
+    odd = [url(F.lit("https://host/picture.png")), url(F.lit("data:image/png;base64,%%%"))]
+    shown = url(F.concat(F.lit("data:image/gif;base64,"), F.base64(F.encode(said, "UTF-8"))))
+    parts = F.when(F.col("turn") % 3 == 0, F.array(part)).when(F.col("turn") % 5 == 1, F.array(part, *odd, shown)).otherwise(F.array(part, *odd))
+    message = F.struct("turn", F.when(F.col("turn") % 3 == 0, "system").otherwise(F.col("role")).alias("role"), parts.alias("parts"))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
     flat = replies.flattened(F.col("messages"))
-    said = F.array_join(F.transform(flat["contents"], lambda m: F.concat(F.when(m["role"] == "model", "model:").otherwise("user:"), F.array_join(F.transform(m["parts"], lambda p: F.coalesce(p["text"], F.lit("<data>"))), "+"))), "\n")
-    return rows.select("conv_id", flat["system_instruction"].alias("instruction"), said.alias("contents"))
+    told = lambda p: F.when(p["data"].isNotNull(), F.concat(F.lit("<"), p["mime_type"], F.lit(" "), F.decode(p["data"], "UTF-8"), F.lit(">"))).otherwise(p["text"])
+    contents = F.array_join(F.transform(flat["contents"], lambda m: F.concat(F.when(m["role"] == "model", "model:").otherwise("user:"), F.array_join(F.transform(m["parts"], told), "+"))), "\n")
+    return rows.select("conv_id", flat["system_instruction"].alias("instruction"), contents.alias("contents"))
+
+
+@query(
+    f"""WITH {PAGES_SQL}, t AS (SELECT *, coalesce(lag(md) OVER (PARTITION BY doc_id ORDER BY page_num), '') AS prev, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'ctx' END AS ctx FROM pages_fx)
+SELECT doc_id, page_num, CASE WHEN ctx <> '' THEN '<document_context>ctx</document_context>' || repeat(chr(10), 2) ELSE '' END AS context,
+ 'END OF THE PAGE BEFORE:' || chr(10) || right(prev, 600) || repeat(chr(10), 2) || 'START OF THE NEXT PAGE:' || chr(10) || left(md, 600) AS stitch,
+ 'Compare page ' || (page_num + 1) || ' with its conversion.' || chr(10) || CASE WHEN page_num % 2 = 0 THEN '2 crops were supplied: a.png, b.png' ELSE '' END || repeat(chr(10), 2) || 'CONVERSION:' || chr(10) || left(md, 3000) || repeat(chr(10), 2) ||
+ 'Is the text complete, are images referenced, are formulas closed, are there no coordinates?' || chr(10) || 'Answer: {{"score": 0-100, "issues": ["..."]}}' AS review FROM t"""
+)
+def model_prompts(spark, d):
+    """The context that goes before detection prompts, and the prompts of stitching and review."""
+    from pyspark.sql import Window as W
+
+    rows = pages_fx(spark, d).withColumns({"prev": F.coalesce(F.lag("md").over(W.partitionBy("doc_id").orderBy("page_num")), F.lit("")), "ctx": F.when(F.col("doc_id") % 2 == 0, "").otherwise("ctx")})
+    names = F.when(F.col("page_num") % 2 == 0, F.array(F.lit("a.png"), F.lit("b.png"))).otherwise(F.array().cast("array<string>"))
+    context = F.regexp_replace(prompts.detect(F.col("ctx")), r"(?s)Find all.*", "")
+    return rows.select("doc_id", "page_num", context.alias("context"), prompts.stitch(F.right("prev", F.lit(600)), F.left("md", F.lit(600))).alias("stitch"), prompts.review(_md(), F.col("page_num"), names).alias("review"))
+
+
+@query(
+    f"""WITH {_CROPS_SQL}
+SELECT doc AS doc_id, page_num, 'Page ' || (page_num + 1) || ' with numbered outlines, followed by ' || count(*) || ' crops:' || chr(10) ||
+ string_agg('  #' || rank || ': ' || filename || ' | ' || (x2 - x1) || '×' || (y2 - y1) || 'px | ' || CASE WHEN rank % 2 = 0 THEN 'no description' ELSE 'd' || rank END, chr(10) ORDER BY rank) AS listed
+FROM (SELECT *, row_number() OVER (PARTITION BY doc, page_num ORDER BY fig_idx) AS rank FROM crops_fx) GROUP BY doc, page_num"""
+)
+def verify_prompts(spark, d):
+    rows, _ = _crops_fx(spark, d)
+    crops = F.transform(F.array_sort(F.collect_list(F.struct("fig_idx", "filename", *boxes.SIDES))), lambda c, i: F.struct(c["filename"].alias("filename"), F.when(i % 2 == 1, "").otherwise(F.concat(F.lit("d"), (i + 1).cast("string"))).alias("desc"), *(c[x].alias(x) for x in boxes.SIDES)))
+    pages = rows.groupBy("doc_id", "page_num").agg(crops.alias("crops"))
+    return pages.select("doc_id", "page_num", F.regexp_replace(prompts.verify(F.col("crops"), F.col("page_num"), F.lit("")), r"(?s)\nFor each crop choose.*", "").alias("listed"))
+
+
+@query("SELECT l_orderkey AS doc_id, CAST(count(*) FILTER (WHERE 200 + CAST(l_quantity AS INTEGER) > 240) AS DOUBLE) / count(*) > 0.95 AS blank FROM lineitem GROUP BY l_orderkey")
+def blank_crops(spark, d):
+    """Grey values from the quantities of an order."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(F.lit(200) + F.col("l_quantity").cast("int")).alias("pixels"))
+    return rows.select("doc_id", boxes.is_blank_crop(F.col("pixels")).alias("blank"))
 
 
 @query(
@@ -549,7 +594,8 @@ def table_repair(spark, d):
 
 @query()
 def postprocessed(spark, d):
-    files = spark.createDataFrame([], "doc_id long, filename string")
+    """Of each document's images those on odd lines exist."""
+    files = lines_fx(spark, d).filter("(doc_id + i) % 11 = 9 and i % 2 = 1").select("doc_id", F.concat(F.lit("page"), F.col("i").cast("string"), F.lit("_fig1.png")).alias("filename"))
     return tables.postprocessed(_tables_fx(spark, d), files)
 
 
@@ -579,3 +625,23 @@ def _stub():
 def convert_stub(spark, d):
     pages = pages_fx(spark, d).select("doc_id", F.col("page_num").cast("int").alias("page_num"), F.lit(1200).alias("width"), F.lit(1600).alias("height"), F.encode("md", "UTF-8").alias("png"), F.lit(text.DEFAULT_MODEL).alias("model"))
     return conversion.documents(pages, _stub)
+
+
+def _drawn():
+    """A model that finds two figures, moves the first and would move the second onto blank paper."""
+    found = '[{"bbox": [0, 0, 1000, 400], "desc": "top"}, {"bbox": [100, 600, 900, 900], "desc": "low"}]'
+    moved = '[{"index": 1, "action": "adjust", "bbox": [0, 0, 1000, 450]}, {"index": 2, "action": "adjust", "bbox": [0, 550, 1000, 1000]}]'
+    return models.StubClient({"detect": lambda r: found, "verify": lambda r: moved, "convert": lambda r: "Text", "review": lambda r: "{}"})
+
+
+@query(
+    """WITH p AS (SELECT s_suppkey AS doc_id, CAST(unnest(range(s_suppkey % 2 + 1)) AS INTEGER) AS page_num FROM supplier), c AS (SELECT unnest([{'fig': 1, 'w': 200, 'h': 95}, {'fig': 2, 'w': 170, 'h': 70}], recursive := true))
+SELECT doc_id, page_num, 'page' || (page_num + 1) || '_fig' || fig || '.png' AS filename, CAST(w * h * 3 + length('P6.' || w || ' ' || h || '.255.') AS INTEGER) AS bytes FROM p, c"""
+)
+def written_crops(spark, d):
+    """The crop files of pages that are dark above and white below, as they come back from storage."""
+    pages = table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("s_suppkey").cast("int") % 2)).alias("page_num"), F.lit(200).alias("width"), F.lit(200).alias("height"), F.lit("gemini/m").alias("model"))
+    half = lambda colour: F.repeat(F.lit(colour), F.lit(200 * 100))
+    pages = pages.withColumn("png", F.unhex(F.concat(F.hex(F.lit("P6\n200 200\n255\n")), half("282828"), half("FFFFFF"))))
+    files = conversion.converted(pages, _drawn, codec=images.NetpbmCodec)[1]
+    return files.select("doc_id", "page_num", "filename", F.octet_length("data").alias("bytes"))
