@@ -253,6 +253,57 @@ def test_edits_grow_with_the_line(spark):
     assert [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_stages_equal_brute_force(spark):
+    """Line dedup, n-gram join, mixing and encoding in sequence, each step of it written out plainly."""
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+
+    from quire.llm import mixing
+    from quire.llm.common import stored
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 9)))
+    base = [" ".join(word() for _ in range(rng.randint(2, 16))) for _ in range(25)]
+    data = []
+    for i in range(40):
+        text = []
+        for _ in range(rng.randint(0, 5)):
+            line = rng.choice(base).split(" ") if rng.random() < 0.7 else [word() for _ in range(12)]
+            if rng.random() < 0.5:
+                line[rng.randrange(len(line))] = word()
+            text.append(" ".join(line))
+        data.append((i, "\n".join(text), "en", rng.choice("abc")))
+    data += [(100 + i, data[i][1].replace("a", "aa", 1), "en", "d") for i in range(10)] + [(200, None, "en", "a"), (201, "", "en", "a")]
+    docs = rows(spark, data)
+    # lines
+    earlier, left = [], []
+    for i, text, *_ in data:
+        kept = []
+        for t in (text or "").split("\n"):
+            near = len(t) >= 40 and any(len(u) >= 40 and abs(len(t) - len(u)) <= (k := max(2, min(len(t), len(u)) // 20)) and banded_at_most(t, u, k) for u in earlier)
+            if not (t.strip() and (t in earlier or near)):
+                kept.append(t)
+            earlier.append(t)
+        new = None if text is None else "\n".join(kept)
+        if text == new or (new or "").strip():
+            left.append((i, new))
+    for _, stage in corpus_pipeline.STAGES[1:2]:
+        docs = stored(stage(spark, docs, ""))
+    assert sorted((r.doc_id, r.text or "") for r in docs.collect()) == sorted((i, t or "") for i, t in left)
+    # near-duplicates
+    low = {i: c for i, _, c in brute(left)}
+    left = {i: t for i, t in left if low[i] == i}
+    docs = stored(corpus_pipeline.STAGES[2][1](spark, docs, ""))
+    assert {r.doc_id for r in docs.collect()} == {*left}
+    # mix and ids
+    times = {r.doc_id: len(r.shards) for r in mixing.counted(docs).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted((i, len(library.encode(t or ""))) for i, t in left.items() for _ in range(times[i]))
+    docs = stored(corpus_pipeline.STAGES[3][1](spark, docs, ""))
+    assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.STAGES[4][1](spark, docs, "").collect()) == want and want
+
+
 @pytest.mark.parametrize("k", [1, 2])
 def test_segments_cover_the_text(spark, k):
     from pyspark.sql import functions as F
