@@ -116,23 +116,30 @@ def encoder(tokenizer_file: str | None) -> Encoder:
 def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of ``ids`` below ``first``: (rules of each round, rules as pairs, expansion lengths, symbols).
 
-    A round takes the pairs at least half as frequent as the most frequent one, or, where the round
-    before replaced few, half as frequent again, and replaces them, the more frequent first where they
-    overlap and every other one in a run of equal symbols; rounds go on until no pair occurs ``least``
-    times.  Only places whose pair may still repeat are looked at: a
-    pair that stands once stays so, as new pairs hold a new symbol.  Pairs are counted in hashed slots;
-    of pairs that share a slot one is counted and the others wait for the next round's hash.
+    A round takes the pairs that occur ``level`` times and replaces them, the more frequent first where
+    they overlap and every other one in a run of equal symbols.  The level is first half of the most
+    frequent pair's count and is halved when a round replaces little, down to ``least``; rounds go on
+    until no pair occurs that often.  New pairs hold a new symbol, so a pair's count only falls: places
+    are looked at when their pair is new or its last count reaches the level.  Pairs are counted in
+    hashed slots; of pairs that share a slot one is counted and the others wait for the next round's hash.
     """
     n = len(ids)
     seq = np.append(ids.astype(np.uint32), np.uint32(0))
     nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     alive = np.ones(n + 1, bool)
     rank = np.full(n + 2, NEVER, np.int32)  # also read at -1, the place before the first
-    open_ = np.zeros(n + 1, bool)
-    open_[: max(n - 1, 0)] = True
-    rules, made, lengths, new, turn, level, few = [], [], [np.ones(0, np.uint32)], first, 0, np.inf, False
+    # at most so often occurs the pair that begins here; 0 where none begins
+    bound = np.zeros(n + 1, np.int32)
+    bound[: max(n - 1, 0)] = NEVER
+    rules, made, lengths, new, turn, level = [], [], [np.ones(0, np.uint32)], first, 0, NEVER
     size_of = lambda s: np.where(s < first, 1, np.concatenate(lengths)[np.maximum(s.astype(np.int64) - first, 0)] if new > first else 1)
-    while len(at := np.flatnonzero(open_)):
+    while True:
+        at = np.flatnonzero(bound >= level)
+        if not len(at):
+            if level <= least:
+                break
+            level = max(least, min(int(bound.max()), level // 2))
+            continue
         key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[nxt[at]]
         bits = min(SLOTS, max(8, int(2 * len(at)).bit_length()))
         slot = ((key * _TURNS[turn % len(_TURNS)]) >> np.uint64(64 - bits)).astype(np.int32)
@@ -141,14 +148,12 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[list[int]
         pair[slot] = key
         own = pair[slot] == key
         count = np.bincount(slot[own], minlength=1 << bits)
-        once = count < least
-        open_[at[own & once[slot]]] = False
-        count[once] = 0
-        top = int(count.max())
-        if not top:
-            continue
-        level = max(least, min(level, top) / 2 if few else min(level, top / 2))
+        bound[at[own]] = count[slot[own]]
+        if level == NEVER:
+            level = max(least, int(count.max()) // 2)
         some = np.flatnonzero(count >= level)
+        if not len(some):
+            continue
         some = some[np.lexsort((pair[some], -count[some]))]
         rank_of = np.full(1 << bits, NEVER, np.int32)
         rank_of[some] = np.arange(len(some), dtype=np.int32)
@@ -166,7 +171,8 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[list[int]
         best = (here < rank[prv[at]]) & (here < rank[nxt[at]])
         rank[at] = NEVER
         at, here = at[best], here[best]
-        few = 16 * len(at) < len(key)
+        if 16 * len(at) < len(key):
+            level = max(least, level // 2)
         used = np.unique(here)
         chosen = pair[some[used]]
         left, right = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
@@ -175,10 +181,10 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[list[int]
         after = nxt[gone]
         seq[at] = (new + np.searchsorted(used, here)).astype(np.uint32)
         nxt[at], prv[after] = after, at
-        alive[gone] = open_[gone] = False
-        open_[at] = after < n
+        alive[gone], bound[gone] = False, 0
+        bound[at] = np.where(after < n, NEVER, 0)
         before = prv[at]
-        open_[before[before >= 0]] = True
+        bound[before[before >= 0]] = NEVER
         rules.append(np.stack([left, right], 1))
         made.append(len(used))
         new += len(used)
