@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import functools
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,11 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _MADE[-1]
 
 
+#: Spark's own setting: an execution's shuffle files go when it has ended
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to shared storage and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write go when it has ended; nothing reads them afterwards.
+    """
+    spark = df.sparkSession
+    path, before = shared_dir(spark), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def few(df: DataFrame, most: int = 500_000) -> DataFrame:
@@ -67,14 +77,6 @@ def swept(make: Callable[[], DataFrame]) -> DataFrame:
     return df
 
 
-def release(spark: SparkSession) -> None:
-    """Have the driver forget finished plans, so that Spark's cleaner removes their shuffle files now and not some time later."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k

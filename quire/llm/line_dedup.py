@@ -32,7 +32,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, documents, few, release, stored
+from quire.llm.common import WORD, documents, few, stored
 
 EDITS, LEAST = 2, 40
 #: with ``share``, one edit for so many characters: ``EDITS`` below 60, 3 from 60, 16 from 320
@@ -40,7 +40,7 @@ SHARE = 20
 #: allowances of a class have segments of one size; the last class, from here on without end, has keys by windows instead of places
 CLASSES, FAR = ((2, 2), (3, 3), (4, 8), (9, 18), (19, 40)), 41
 #: keys of a pass for each text, which bounds what is shuffled at once
-PASS_KEYS, LEAST_KEYS = 8, 5_000_000
+PASS_KEYS, LEAST_KEYS = 12, 5_000_000
 #: characters that a comparison reads first
 EARLY = 24
 #: texts of a bucket that are compared as one row
@@ -238,9 +238,10 @@ def near_lines(texts: DataFrame, k: int = EDITS, share: int | None = None) -> Da
     buckets, members = [], []
     for part in parts:
         met = stored(part.groupBy("key").agg(*kinds).filter("any_indexed and low != high"))
-        release(texts.sparkSession)
         buckets.append(met)
-        members.append(stored(part.join(few(met.filter("size > 2").select("key", "low", "size")), "key")))
+        # a long text may repeat itself: it is once in a bucket
+        several = part.join(few(met.filter("size > 2").select("key", "low", "size")), "key")
+        members.append(stored(several.groupBy("key", "low", "size", "id").agg(F.bool_or("indexed").alias("indexed"))))
     buckets, members = (functools.reduce(DataFrame.unionByName, x) for x in (buckets, members))
     star = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
     gone = _within(stored(star.distinct()), texts, k, share)
@@ -274,7 +275,6 @@ def dropped(docs: DataFrame, k: int = EDITS, least: int = LEAST, short: bool = F
         raise ValueError(f"lines under {EDITS * share} characters do not have the segments of {EDITS} edits at one for {share}")
     rows = lines(docs, least, short)
     texts = stored(rows.groupBy("text").agg(F.min("id").alias("id"), F.first("n").alias("n")), "zstd")
-    release(docs.sparkSession)  # all texts were shuffled
     near = near_lines(texts.filter(F.col("n") >= least) if short else texts, k, share).withColumn("near", F.lit(True))
     same = F.unhex(F.md5("text"))
     fate = texts.select("id", same.alias("same")).join(near, "id", "left").select("same", F.col("id").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
