@@ -37,8 +37,9 @@ from quire.llm.common import WORD, documents, few, stored
 EDITS, LEAST = 2, 40
 #: with ``share``, one edit for so many characters: ``EDITS`` below 60, 3 from 60, 16 from 320
 SHARE = 20
-#: allowances of a class have segments of one size; the last class, from here on without end, has keys by windows instead of places
-CLASSES, FAR = ((2, 2), (3, 3), (4, 8), (9, 18), (19, 40)), 41
+#: allowances of a class have segments of one size; the far classes, the last without end, have keys by windows instead of places
+CLASSES = ((2, 2), (3, 3), (4, 8), (9, 18), (19, 40))
+FAR = tuple((round(41 * 1.15**i), round(41 * 1.15 ** (i + 1)) - 1 if i < 30 else 1 << 30) for i in range(31))
 #: keys of a pass for each text, which bounds what is shuffled at once
 PASS_KEYS, LEAST_KEYS = 12, 5_000_000
 #: characters that a comparison reads first
@@ -89,7 +90,7 @@ def classed(texts: DataFrame, share: int) -> DataFrame:
 
     ``k`` is the greatest allowance of such texts, ``own`` whether the class is the text's.
     """
-    kinds = [*CLASSES, (FAR, 1 << 30)]
+    kinds = [*CLASSES, *FAR]
     each = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(_width(lo, share)).alias("w")) for c, (lo, hi) in enumerate(kinds)))
     # of two near texts, the shorter has at least share / (share + 1) of the length of the longer
     least = allowed(F.floor(F.col("n") * share / (share + 1)) - 1, share)
@@ -104,7 +105,7 @@ def _units(of: DataFrame) -> list[tuple[int, int, int]]:
     """(class, side, number) of the segments, as many from the start (side 0) as from the end, or one more; keys of two units never meet."""
     most = {r["class"]: r["k"] for r in of.groupBy("class").agg(F.max("k").alias("k")).collect()}  # a row for each class
     near = [(c, side, i) for c, k in sorted(most.items()) if c < len(CLASSES) for side in (0, 1) for i in range(k // 2 + 1 if side == 0 else k - k // 2)]
-    return near + [(c, 0, 0) for c in most if c == len(CLASSES)]
+    return near + [(c, 0, 0) for c in sorted(most) if c >= len(CLASSES)]
 
 
 def classed_posts(of: DataFrame, units: list[tuple[int, int, int]]) -> DataFrame:
@@ -122,8 +123,8 @@ def classed_posts(of: DataFrame, units: list[tuple[int, int, int]]) -> DataFrame
     near = of.filter(F.col("class") < far).join(table, "class").filter(F.expr("if(side = 0, i <= k div 2, i < k - k div 2)"))
     near = near.withColumn("at", F.expr("if(side = 0, i * w, n - (i + 1) * w) + o")).filter("at >= 0 and at <= n - w")
     posts_ = near.select("id", F.expr("xxhash64(class, side, i, substring(wide, 4 * at + 1, 4 * w))").alias("key"), F.expr("own and o = 0").alias("indexed"))
-    if any(c == far for c, *_ in units):
-        windows = of.filter(F.col("class") == far).withColumn("at", F.explode(F.expr("sequence(0, n - w)")))
+    if long := [c for c, *_ in units if c >= far]:
+        windows = of.filter(F.col("class").isin(long)).withColumn("at", F.explode(F.expr("sequence(0, n - w)")))
         posts_ = posts_.unionByName(windows.select("id", F.expr("xxhash64(class, substring(wide, 4 * at + 1, 4 * w))").alias("key"), F.expr("own and at % w = 0 and at div w <= k").alias("indexed")))
     return posts_
 
@@ -133,7 +134,7 @@ def _passes(of: DataFrame) -> list[list[tuple[int, int, int]]]:
     counts = of.groupBy("class", "k").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()  # a row for each allowance
     most, out, held = max(LEAST_KEYS, PASS_KEYS * sum(r["rows"] for r in counts if r["k"])), [], 0
     for c, side, i in _units(of):
-        keys = sum(r["n"] if c == len(CLASSES) else (2 * i + 1) * r["rows"] for r in counts if r["class"] == c and (c == len(CLASSES) or i < (r["k"] // 2 + 1 if side == 0 else r["k"] - r["k"] // 2)))
+        keys = sum(r["n"] if c >= len(CLASSES) else (2 * i + 1) * r["rows"] for r in counts if r["class"] == c and (c >= len(CLASSES) or i < (r["k"] // 2 + 1 if side == 0 else r["k"] - r["k"] // 2)))
         if not out or held + keys > most:
             out.append([])
             held = 0
