@@ -21,6 +21,7 @@ MODULES = {
     "op9_quality_classifier": "quality_classifier",
     "op10_line_dedup": "line_dedup",
     "op10_line_dedup_scaled": "line_dedup_scaled",
+    "op11_bpe_words": "bpe_words",
 }
 
 
