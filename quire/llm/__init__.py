@@ -22,6 +22,7 @@ MODULES = {
     "op10_line_dedup": "line_dedup",
     "op10_line_dedup_scaled": "line_dedup_scaled",
     "op11_bpe_words": "bpe_words",
+    "op12_token_alignment": "token_alignment",
 }
 
 
