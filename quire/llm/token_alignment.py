@@ -38,7 +38,7 @@ from quire.llm.common import documents, kept, stored
 
 MARK = "▁"
 #: stretches of a block
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 DOCUMENT, STRETCH, PAIR = range(3)
 CODED = "block long, kind int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, items array<int>, code int, a int, b int, n long"
 _CODED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups", pa.string()), ("items", pa.list_(pa.int32())), ("code", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
