@@ -23,6 +23,7 @@ MODULES = {
     "op10_line_dedup_scaled": "line_dedup_scaled",
     "op11_bpe_words": "bpe_words",
     "op12_token_alignment": "token_alignment",
+    "op13_periodic_runs": "periodic_runs",
 }
 
 
