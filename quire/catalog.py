@@ -12,7 +12,7 @@ from quire.functions import boxes, replies, text
 from quire.inputs import FIGURES_SQL, LINES_SQL, PAGES_SQL, figure_rows, figures_fx, lines_fx, pages_fx, table
 from quire.operators import figures, stitching, tables
 from quire.plans import conversion, models, prompts
-from quire.sources import images
+from quire.sources import images, storage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -627,6 +627,25 @@ def convert_stub(spark, d):
     return conversion.documents(pages, _stub)
 
 
+def _broken():
+    """A model that is not to be asked."""
+    return models.StubClient({stage: lambda r: 1 / 0 for stage in ("convert", "review")})
+
+
+@query("SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_num, text AS md, CASE WHEN turn % 3 = 1 THEN 2 ELSE 1 END AS attempts FROM conversations")
+def remembered_pages(spark, d):
+    """Conversations as documents, turns as pages, in waves; every third page is poor and tried twice.  A second run, whose model answers nothing, has it all."""
+    poor = F.when(F.col("turn") % 3 == 1, "poor").otherwise("good")
+    picture = F.array(F.struct(poor.alias("mime"), F.encode("text", "UTF-8").alias("data")))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_num"), F.lit("ctx").alias("doc_context"), F.lit(text.DEFAULT_MODEL).alias("model"), picture.alias("images"))
+    shown, pages = conversion.shown(rows.select("doc_id", "page_num", "images")), rows.drop("images")
+    placed = spark.createDataFrame([], "doc_id long, page_num int, filenames array<string>, places array<string>, coverage int")
+    memory = storage.shared_folder(spark)
+    model = lambda: models.StubClient({"convert": lambda r: r["images"][0]["data"].decode(), "review": lambda r: f'{{"score": {30 if r["images"][0]["mime"] == "poor" else 90}, "issues": ["x"]}}'})
+    conversion.transcribed(pages, placed, shown, conversion.Caller(model, memory))
+    return conversion.transcribed(pages, placed, shown, conversion.Caller(_broken, memory, models.Limits(attempts=1)))
+
+
 def _drawn():
     """A model that finds two figures, moves the first and would move the second onto blank paper."""
     found = '[{"bbox": [0, 0, 1000, 400], "desc": "top"}, {"bbox": [100, 600, 900, 900], "desc": "low"}]'

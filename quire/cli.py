@@ -25,6 +25,8 @@ def parser() -> argparse.ArgumentParser:
     convert.add_argument("-m", "--model", choices=text.MODELS, default=text.DEFAULT_MODEL)
     convert.add_argument("-o", "--output", required=True)
     convert.add_argument("-r", "--remember", help="folder where the model's replies are kept for later runs")
+    convert.add_argument("--in-flight", type=int, default=models.Limits.in_flight, help="calls of the model at one time")
+    convert.add_argument("--per-minute", type=int, default=models.Limits.per_minute, help="calls of the model a minute")
     return p
 
 
@@ -38,7 +40,7 @@ def main(args: list[str] | None = None) -> None:
         return
     pages = storage.stored(storage.pdf_pages(storage.pdf_files(spark, a.pdf), storage.pymupdf_renderer))
     model = a.model
-    conversion.write(pages.withColumn("model", F.lit(model)), lambda: models.client_for(model), a.output, images.PillowCodec, memory=a.remember)
+    conversion.write(pages.withColumn("model", F.lit(model)), lambda: models.client_for(model), a.output, images.PillowCodec, memory=a.remember, limits=models.Limits(in_flight=a.in_flight, per_minute=a.per_minute))
 
 
 if __name__ == "__main__":

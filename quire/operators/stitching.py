@@ -20,10 +20,14 @@ def in_document():
     return W.partitionBy("doc_id").orderBy("page_num")
 
 
+def headings(md: Column) -> Column:
+    """The lines of a page that are headings of the outline."""
+    return F.filter(text.lines(md), lambda x: x.rlike("^#{1,4} "))
+
+
 def rolling_outline(pages: DataFrame, most: int = OUTLINE_HEADINGS) -> DataFrame:
     """``outline``: the last headings of all earlier pages, one a line."""
-    own = F.filter(text.lines(F.col("md")), lambda x: x.rlike("^#{1,4} "))
-    before = F.flatten(F.collect_list(own).over(in_document().rowsBetween(W.unboundedPreceding, -1)))
+    before = F.flatten(F.collect_list(headings(F.col("md"))).over(in_document().rowsBetween(W.unboundedPreceding, -1)))
     return pages.withColumn("outline", F.array_join(text.tail_of(F.coalesce(before, F.array().cast("array<string>")), most), "\n"))
 
 
@@ -117,18 +121,26 @@ def image_loss_fallback(documents: DataFrame, pages: DataFrame) -> DataFrame:
     return known.select("doc_id", F.when(F.coalesce("lost", F.lit(False)), F.coalesce("plain", F.lit(""))).otherwise(F.col("md")).alias("md"), F.coalesce("lost", F.lit(False)).alias("fell_back"))
 
 
+def retried(score: Column, issues: Column) -> Column:
+    """A page is tried once more if its review names issues and scores it under 60."""
+    return F.coalesce((F.size(issues) > 0) & (score < 60), F.lit(False))
+
+
+def page_that_stays(page_num: Column, one: dict[str, Column], two: dict[str, Column], tried: Column) -> Column:
+    """The Markdown of a page from its tries (md, error, score): the second where it was made (``tried``) and scores higher."""
+    name = F.concat(F.lit("<!-- 第"), (page_num + 1).cast("string"), F.lit("页转换失败"))
+    blank = lambda x: F.coalesce(text.is_blank(x["md"]), F.lit(True))
+    better = tried & ~blank(two) & two["error"].isNull() & (two["score"] > one["score"])
+    return F.when(one["error"].isNotNull(), F.concat(name, F.lit(": "), one["error"], F.lit(" -->"))).when(blank(one), F.concat(name, F.lit(" -->"))).when(better, two["md"]).otherwise(one["md"])
+
+
 def chosen_attempt(attempts: DataFrame) -> DataFrame:
     """doc_id, page_num, md of the attempt that stays.
 
-    ``attempts``: doc_id, page_num, attempt (1 or 2), md, error, score, issues.  The second is asked
-    for when the first has issues and a score under 60, and stays only with a greater score.
+    ``attempts``: doc_id, page_num, attempt (1 or 2), md, error, score, issues.
     """
-    of = lambda k, c: F.max(F.when(F.col("attempt") == k, F.col(c))).alias(f"{c}{k}")
-    rows = attempts.withColumn("some", F.size("issues") > 0)
-    both = rows.groupBy("doc_id", "page_num").agg(*(of(k, c) for k in (1, 2) for c in ("md", "error", "score")), F.max(F.when(F.col("attempt") == 1, F.col("some"))).alias("some1"))
-    name = F.concat(F.lit("<!-- 第"), (F.col("page_num") + 1).cast("string"), F.lit("页转换失败"))
-    blank = F.coalesce(text.is_blank(F.col("md1")), F.lit(True))
-    retried = F.col("some1") & (F.col("score1") < 60)
-    better = retried & ~F.coalesce(text.is_blank(F.col("md2")), F.lit(True)) & F.col("error2").isNull() & (F.col("score2") > F.col("score1"))
-    md = F.when(F.col("error1").isNotNull(), F.concat(name, F.lit(": "), F.col("error1"), F.lit(" -->"))).when(blank, F.concat(name, F.lit(" -->"))).when(better, F.col("md2")).otherwise(F.col("md1"))
-    return both.select("doc_id", "page_num", md.alias("md"), F.coalesce(retried, F.lit(False)).alias("retried"))
+    of = lambda k: F.max(F.when(F.col("attempt") == k, F.struct("md", "error", "score", "issues"))).alias(f"try{k}")
+    both = attempts.groupBy("doc_id", "page_num").agg(of(1), of(2))
+    one, two = ({c: F.col(f"try{k}.{c}") for c in ("md", "error", "score", "issues")} for k in (1, 2))
+    tried = retried(one["score"], one["issues"])
+    return both.select("doc_id", "page_num", page_that_stays(F.col("page_num"), one, two, tried).alias("md"), tried.alias("retried"))

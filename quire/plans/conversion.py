@@ -1,20 +1,22 @@
 """Conversion of page images to documents: detection, verification, transcription, stitching, repair.
 
-Every model call is a row of a requests table, its reply a row of a stored table; all between is
-expressions and joins on (doc_id, page_num).  Images stay in tables of their own (one for each size a
-model is shown) and are joined to requests last, just before a call.  Transcription is sequential
-within a document (a page sees the end of the one before): pages stream through a task in order, one
-in memory at a time; everything else is parallel over pages.
+Every model call is a row of a requests table, its reply a row of a remembered one (``models.Memory``);
+all between is expressions and joins on (doc_id, page_num).  Images stay in tables of their own (one for
+each size a model is shown) with their keys; what is known already is found by key, and only rows that
+have to be asked about get their pictures, last, just before the call.
+
+Transcription is sequential within a document, as a page sees the end and the outline of those before
+it: it goes in waves, page k of all documents that have one at once.  A wave is one job in which a page is transcribed,
+reviewed and, where its score is low, tried once more; its replies are remembered and its result is
+stored before the next wave begins, so a run that breaks off goes on where it was.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import boxes, replies, text
@@ -27,44 +29,66 @@ KEY = ["doc_id", "page_num"]
 NO_FIGURES = f"array<{boxes.FIGURE}>"
 
 
+def shown(sized: DataFrame) -> DataFrame:
+    """``sized`` (with images), stored with the key of the images."""
+    return stored(sized.withColumn("images_key", models.images_key(F.col("images"))))
+
+
 class Caller:
-    """Asks a model about rows: its client's factory, and where replies are remembered, if they are."""
+    """Asks a model about rows: its client's factory, where replies are remembered, and what it may be asked at most.
+
+    Without a folder to remember replies in, those of this run are kept in one of its own, so that
+    nothing that fails later makes it ask again.
+    """
+
+    def __init__(self, factory: Callable[[], models.ModelClient], memory: str | None = None, limits: models.Limits = models.Limits()):  # noqa: B008
+        self.factory, self.memory, self.limits = factory, memory, limits
 
-    def __init__(self, factory: Callable[[], models.ModelClient], memory: str | None = None):
-        self.factory, self.memory = factory, memory
+    def folder(self, rows: DataFrame, name: str) -> str:
+        self.memory = self.memory or storage.shared_folder(rows.sparkSession)
+        return f"{self.memory.rstrip('/')}/{name}"
 
-    def __call__(self, rows: DataFrame, shown: DataFrame | None, stage: str, prompt: Column, temperature: float, max_tokens: int, system: str = "") -> DataFrame:
-        """Key columns, reply (null where the call failed) and error. ``shown``: key columns and images."""
+    def __call__(self, rows: DataFrame, pictures: DataFrame | None, stage: str, prompt: Column, temperature: float, max_tokens: int, system: str = "") -> DataFrame:
+        """Key columns, reply (null where the call failed) and error. ``pictures``: key columns, images and their key."""
         asked = rows.select(*KEY, F.lit(stage).alias("stage"), "model", F.lit(system).alias("system"), prompt.alias("prompt"), F.lit(temperature).alias("temperature"), F.lit(max_tokens).alias("max_tokens"))
-        nothing = F.array().cast(images.IMAGES)
-        asked = asked.withColumn("images", nothing) if shown is None else asked.join(shown.select(*KEY, "images"), KEY, "left").withColumn("images", F.coalesce("images", nothing))
-        told = models.remembered(asked, self.factory, self.memory) if self.memory else models.replies(asked, self.factory)
+        told = models.remembered(with_keys(asked, pictures), self.factory, self.folder(rows, stage), self.limits, lambda few: with_images(few, pictures))
         return stored(told.select(*KEY, "reply", "error"))
 
 
-def with_context(pages: DataFrame, shown: DataFrame, ask: Caller) -> DataFrame:
+def with_keys(rows: DataFrame, pictures: DataFrame | None) -> DataFrame:
+    """``rows`` with the keys of their pictures, which are not read."""
+    known = rows.withColumn("images_key", F.lit("")) if pictures is None else rows.join(pictures.select(*KEY, "images_key"), KEY, "left")
+    return known.withColumn("images_key", F.coalesce("images_key", F.lit("")))
+
+
+def with_images(rows: DataFrame, pictures: DataFrame | None) -> DataFrame:
+    nothing = F.array().cast(images.IMAGES)
+    return rows.withColumn("images", nothing) if pictures is None else rows.join(pictures.select(*KEY, "images"), KEY, "left").withColumn("images", F.coalesce("images", nothing))
+
+
+def with_context(pages: DataFrame, whole: DataFrame, ask: Caller) -> DataFrame:
     """``pages`` with ``doc_context``, asked for on the first page; empty where the call failed."""
-    told = ask(pages.filter("page_num = 0"), shown, "context", F.lit(prompts.CONTEXT), 0.0, 200)
+    told = ask(pages.filter("page_num = 0"), whole, "context", F.lit(prompts.CONTEXT), 0.0, 200)
     return pages.join(told.select("doc_id", F.coalesce(text.strip(F.col("reply")), F.lit("")).alias("doc_context")), "doc_id", "left").withColumn("doc_context", F.coalesce("doc_context", F.lit("")))
 
 
-def detected(pages: DataFrame, shown: DataFrame, ask: Caller) -> DataFrame:
+def detected(pages: DataFrame, searched: DataFrame, ask: Caller) -> DataFrame:
     """doc_id, page_num, figures: two detectors, the first tried twice, and a looser prompt if both find nothing.
 
-    Boxes in pixels are those of the image that was ``shown``.
+    Boxes in pixels are those of the image that was ``searched``.
     """
     none = F.array().cast(NO_FIGURES)
-    size = shown.select(*KEY, F.col("sent_width").alias("width"), F.col("sent_height").alias("height"))
+    size = searched.select(*KEY, F.col("sent_width").alias("width"), F.col("sent_height").alias("height"))
     read = lambda told, parse: told.join(size, KEY).select(*KEY, F.coalesce(parse(F.col("reply"), F.col("width"), F.col("height")), none).alias("figures"))
-    json_ = lambda rows, t: read(ask(rows, shown, "detect", prompts.detect(F.col("doc_context")), t, 2048, prompts.DETECT_SYSTEM), replies.detected)
+    json_ = lambda rows, t: read(ask(rows, searched, "detect", prompts.detect(F.col("doc_context")), t, 2048, prompts.DETECT_SYSTEM), replies.detected)
     some = lambda df: df.filter(F.size("figures") > 0)
     first = some(json_(pages, 0.15))
     second = some(json_(pages.join(first, KEY, "left_anti"), 0.30))
     found = first.unionByName(second)
     own = pages.filter(text.provider_of(F.col("model")) != "gemini")
-    boxed = some(read(ask(own, shown, "boxes", F.lit("qwenvl markdown"), 0.1, 4096), replies.commented))
+    boxed = some(read(ask(own, searched, "boxes", F.lit("qwenvl markdown"), 0.1, 4096), replies.commented))
     left = pages.join(found, KEY, "left_anti").join(boxed, KEY, "left_anti")
-    again = some(read(ask(left, shown, "detect-again", prompts.detect_again(F.col("doc_context")), 0.3, 2048), replies.detected))
+    again = some(read(ask(left, searched, "detect-again", prompts.detect_again(F.col("doc_context")), 0.3, 2048), replies.detected))
     all_json = found.unionByName(again).withColumnRenamed("figures", "one")
     both = pages.select(*KEY).join(all_json, KEY, "left").join(boxed.withColumnRenamed("figures", "two"), KEY, "left")
     return both.select(*KEY, boxes.clustered(boxes.merged(F.coalesce("one", none), F.coalesce("two", none))).alias("figures"))
@@ -80,8 +104,8 @@ def verified(pages: DataFrame, found: DataFrame, pngs: DataFrame, whole: DataFra
     rows = stored(rows.select(*KEY, "width", "height", "model", "doc_context", "crops", (F.size("crops") > 0).alias("open")))
     for k in range(rounds):
         looked = rows.filter("open")
-        shown = images.for_verification(looked.select(*KEY, "crops").join(pngs, KEY), codec) if codec else whole
-        told = ask(looked, shown, "verify", prompts.verify(F.col("crops"), F.col("page_num"), F.col("doc_context")), 0.1 + 0.1 * k, 2048, prompts.VERIFY_SYSTEM)
+        outlined = shown(images.for_verification(looked.select(*KEY, "crops").join(pngs, KEY), codec)) if codec else whole
+        told = ask(looked, outlined, "verify", prompts.verify(F.col("crops"), F.col("page_num"), F.col("doc_context")), 0.1 + 0.1 * k, 2048, prompts.VERIFY_SYSTEM)
         known = rows.join(told.select(*KEY, "reply"), KEY, "left").withColumn("actions", replies.actions(F.col("reply"), F.size("crops")))
         known = known.withColumn("acts", F.col("open") & ~figures.all_accept(F.col("actions")))
         is_blank = None
@@ -100,124 +124,91 @@ def crop_rows(crops: DataFrame) -> DataFrame:
     return crops.select(*KEY, F.posexplode("crops").alias("fig_idx", "c")).select(*KEY, "fig_idx", "c.*")
 
 
-_OUTLINE, _TAIL = "\x00outline\x00", "\x00tail\x00"
-
-
-def _before(tail: str) -> str:
-    """``prompts.page``'s paragraph on the page before, for a tail that is only known when its turn comes."""
-    if not tail:
-        return prompts.FIRST_PAGE
-    body = tail.rstrip()
-    last = next((x.strip() for x in reversed(body.split("\n")) if x.strip()), "")
-    hints = [prompts.IN_TABLE] * (last.startswith("|") and "|" in last[1:]) + [prompts.IN_SENTENCE] * bool(body and not re.search(text.ENDS_TAIL.replace(r"\z", r"\Z"), body))
-    return "\n".join(["The page before ends with:\n>>>", tail, "<<<", *hints])
-
-
-def _prompt(template: str, headings: list[str], tail: str) -> str:
-    """The page's prompt with the outline and the tail of what was transcribed before."""
-    paragraphs = []
-    for p in template.split("\n\n"):
-        if _OUTLINE in p:
-            p = p.replace(_OUTLINE, "\n".join(headings)) if headings else None
-        elif _TAIL in p:
-            p = _before(tail)
-        paragraphs += [p] if p is not None else []
-    return "\n\n".join(paragraphs)
-
-
-class _Document:
-    """One document's transcription, page after page."""
-
-    def __init__(self, client: models.ModelClient):
-        self.client, self.tail, self.headings = client, "", []
-
-    def _reviewed(self, row, shown: list, md: str) -> tuple[int, list]:
-        ask = {"stage": "review", "model": row.model, "system": "", "prompt": row.review.replace(_TAIL, md[: prompts.PREVIEW]), "images": shown, "temperature": 0.1, "max_tokens": 256}
-        try:
-            return _review(md, self.client.complete(ask) if md.strip() else None)
-        except Exception:  # noqa: BLE001  an unread review counts as a good one
-            return _review(md, None)
-
-    def page(self, row) -> tuple[str, int]:
-        """The Markdown of a page and the number of tries; a poor page is tried once more and the better one stays."""
-        shown = [{"mime": i["mime"], "data": bytes(i["data"])} for i in row.images]
-        ask = {"stage": "convert", "model": row.model, "system": prompts.SYSTEM, "prompt": _prompt(row.prompt, self.headings[-stitching.OUTLINE_HEADINGS :], self.tail), "images": shown, "temperature": 0.1, "max_tokens": 8192}
-        failed, tries = f"<!-- 第{row.page_num + 1}页转换失败", 0
-        try:
-            md = self.client.complete(ask)
-            tries = 1
-            score, issues = self._reviewed(row, shown, md)
-            if issues and score < 60:
-                tries = 2
-                try:
-                    second = self.client.complete(ask)
-                    if second.strip() and self._reviewed(row, shown, second)[0] > score:
-                        md = second
-                except Exception:  # noqa: BLE001, S110  the first try stays
-                    pass
-            md = md if md.strip() else f"{failed} -->"
-        except Exception as e:  # noqa: BLE001
-            md = f"{failed}: {e} -->"
-        self.tail = md[-stitching.CONVERT_TAIL :]
-        self.headings += [x for x in md.split("\n") if re.match("#{1,4} ", x)]
-        return md, tries
-
-
-def transcribed(pages: DataFrame, placed: DataFrame, shown: DataFrame, factory) -> DataFrame:
+REPLIES = "md string, error string, review string, again string, again_error string, again_review string"
+
+
+class _Page:
+    """What is made of one page, as columns that are put together once for all waves."""
+
+    def __init__(self) -> None:
+        blank = lambda md: F.coalesce(text.is_blank(F.col(md)), F.lit(True))
+        self.outline, self.tail = F.array_join("headings", "\n"), F.right("md", F.lit(stitching.CONVERT_TAIL))
+        self.convert = prompts.page(F.col("page_num"), F.col("total_pages"), F.col("doc_context"), self.outline, F.col("tail"), F.col("filenames"), F.col("places"), F.col("coverage"))
+        self.review = prompts.review(F.lit(_SEEN), F.col("page_num"), F.col("filenames"))
+        self.key = F.sha2(F.to_json(F.struct("model", F.lit(prompts.SYSTEM), "convert_prompt", "review_prompt", "images_key")), 256)
+        one, two = (replies.reviewed(F.col(md), F.col(review)) for md, review in (("md", "review"), ("again", "again_review")))
+        self.again = F.col("error").isNull() & ~blank("md") & stitching.retried(one["score"], one["issues"])
+        tries = {"md": F.col("md"), "error": F.col("error"), "score": one["score"]}, {"md": F.col("again"), "error": F.col("again_error"), "score": two["score"]}
+        tried = F.col("again").isNotNull() | F.col("again_error").isNotNull()
+        self.md = stitching.page_that_stays(F.col("page_num"), *tries, tried)
+        self.attempts = F.when(F.col("error").isNotNull(), 0).when(tried, 2).otherwise(1)
+        self.headings = text.tail_of(F.concat("headings", stitching.headings(F.col("md"))), stitching.OUTLINE_HEADINGS)
+        request = lambda stage, when, prompt, most, system: {"stage": F.lit(stage), "prompt": F.when(when, prompt), "temperature": F.lit(0.1), "max_tokens": F.lit(most), "system": F.lit(system)}
+        convert = lambda when: request("convert", when, F.col("convert_prompt"), 8192, prompts.SYSTEM)
+        review = lambda md: request("review", ~blank(md), F.replace("review_prompt", F.lit(_SEEN), F.left(md, F.lit(prompts.PREVIEW))), 256, "")
+        self.calls = [(convert(F.lit(True)), ("md", "error")), (review("md"), ("review", "review_error")), (convert(self.again), ("again", "again_error")), (review("again"), ("again_review", "again_review_error"))]
+
+    def told(self, rows: DataFrame, client: Callable[[], models.ModelClient], limits: models.Limits) -> DataFrame:
+        """``rows`` (with both prompts and images) with ``REPLIES``: a page's calls, one after the other, in one task.
+
+        Nothing is asked where it could change nothing.
+        """
+        half = limits.of_task(2)  # transcriptions and reviews are under way at one time
+        for request, names in self.calls:
+            rows = models.replies(rows.withColumns(request), client, half, names)
+        return rows
+
+
+#: stands for what is reviewed, in a prompt that is made before it is known
+_SEEN = "\x00transcribed\x00"
+
+
+def transcribed(pages: DataFrame, placed: DataFrame, pictures: DataFrame, ask: Caller) -> DataFrame:
     """doc_id, page_num, md, attempts: every page transcribed, reviewed, and tried again on a low score.
 
     ``placed``: doc_id, page_num, filenames, places, coverage of pages that have some.
     """
-    no_names = F.array().cast("array<string>")
+    spark, no_names = pages.sparkSession, F.array().cast("array<string>")
     rows = pages.join(placed, KEY, "left").withColumns({"filenames": F.coalesce("filenames", no_names), "places": F.coalesce("places", no_names), "coverage": F.coalesce("coverage", F.lit(0))})
-    rows = rows.join(pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages")), "doc_id")
-    prompt = prompts.page(F.col("page_num"), F.col("total_pages"), F.replace("doc_context", F.lit("\n\n"), F.lit("\n")), F.lit(_OUTLINE), F.lit(_TAIL), F.col("filenames"), F.col("places"), F.col("coverage"))
-    rows = rows.select(*KEY, "model", prompt.alias("prompt"), prompts.review(F.lit(_TAIL), F.col("page_num"), F.col("filenames")).alias("review"))
-    rows = rows.join(shown.select(*KEY, "images"), KEY).repartition("doc_id").sortWithinPartitions(*KEY)
-
-    def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, now, document = factory(), None, None
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                if document is None or row.doc_id != now:
-                    now, document = row.doc_id, _Document(client)
-                out.append((row.doc_id, row.page_num, *document.page(row)))
-            yield pd.DataFrame(out, columns=[*KEY, "md", "attempts"])
-
-    kinds = f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page_num int, md string, attempts int"
-    return stored(rows.mapInPandas(convert, kinds))
-
-
-def _review(md: str, reply: str | None) -> tuple[int, list]:
-    """Score and issues, as ``replies.reviewed`` reads them."""
-    if not md.strip():
-        return 0, ["empty"]
-    body = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", (reply or "").strip()))
-    for form in (body, body.replace("\\", "\\\\")):
-        try:
-            got = json.loads(form)
-            issues = got.get("issues", [])
-            return (int(got.get("score", 80)), [str(i) for i in issues]) if isinstance(issues, list) else (80, [])
-        except (ValueError, TypeError, AttributeError):
-            continue
-    return 80, []
-
-
-def converted(pages: DataFrame, factory, stitch: bool = True, codec: Callable[[], images.Codec] | None = None, memory: str | None = None) -> tuple[DataFrame, DataFrame]:
+    rows = rows.withColumns({"wave": F.row_number().over(stitching.in_document()) - 1, "total_pages": F.count("*").over(W.partitionBy("doc_id")).cast("int")})
+    rows = stored(with_keys(rows.select(*KEY, "model", "doc_context", "filenames", "places", "coverage", "wave", "total_pages"), pictures))
+    waves = [n for _, n in sorted(rows.groupBy("wave").count().collect())]  # as many as the longest document has pages
+    of_wave = storage.stored_by(with_images(rows.select(*KEY, "wave"), pictures), "wave")  # a wave reads no other wave's pictures
+    folder, kinds = ask.folder(rows, "transcribed"), f"{', '.join(f'{k} {t}' for k, t in pages.select(*KEY).dtypes)}, md string, attempts int, headings array<string>"
+    results, before, page = storage.shared_folder(spark), None, _Page()
+    for k, n in enumerate(waves):
+        now = rows.filter(F.col("wave") == k)
+        if before is None:
+            now = now.withColumns({"tail": F.lit(""), "headings": no_names})
+        else:
+            now = now.join(before.select("doc_id", page.tail.alias("tail"), "headings"), "doc_id")
+        now = now.select(*KEY, "model", "headings", "images_key", page.convert.alias("convert_prompt"), page.review.alias("review_prompt")).withColumn("request_key", page.key)
+        memory = models.Memory(spark, f"{folder}/wave={k}", REPLIES)
+        fresh, some = memory.without_known(now)
+        fresh, limits = models.dealt(fresh, ask.limits, None if some else n)
+        if fresh is not None:
+            memory.add(page.told(with_images(fresh, of_wave(k)), ask.factory, limits))
+        done = now.join(memory.rows(), "request_key").select(*KEY, page.md.alias("md"), page.attempts.alias("attempts"), "headings")
+        done.withColumn("headings", page.headings).write.parquet(f"{results}/wave={k}")
+        before = spark.read.schema(kinds).parquet(f"{results}/wave={k}")
+    return spark.createDataFrame([], kinds).drop("headings") if before is None else spark.read.schema(kinds).parquet(*(f"{results}/wave={k}" for k in range(len(waves)))).drop("headings")
+
+
+def converted(pages: DataFrame, factory, stitch: bool = True, codec: Callable[[], images.Codec] | None = None, memory: str | None = None, limits: models.Limits = models.Limits()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(doc_id, md) of each document of ``pages`` (doc_id, page_num, width, height, png, model), and its crops (doc_id, page_num, filename, data).
 
     ``codec`` sizes images for the model, draws outlines and cuts crops; without one there are no crop
-    files, and references to crops stay as they are.  ``memory``: a folder where replies are remembered.
+    files, and references to crops stay as they are.  ``memory``: a folder where replies are remembered
+    beyond this run; ``limits``: what the model's provider is asked at most.
     """
-    ask = Caller(factory, memory)
+    ask = Caller(factory, memory, limits)
     pngs, plain = pages.select(*KEY, "png"), pages.drop("png")
-    whole, searched = (stored(images.sent(pages, codec, side)) for side in (images.PAGE_SIDE, images.SEARCH_SIDE))
+    whole, searched = (shown(images.sent(pages, codec, side)) for side in (images.PAGE_SIDE, images.SEARCH_SIDE))
     known = stored(with_context(plain, whole, ask))
     crops = crop_rows(verified(known, detected(known, searched, ask), pngs, whole, ask, codec))
     crops = stored(figures.without_decorative(crops, known))
     placed = figures.positions(crops, known)
-    parts = transcribed(known, placed, whole, factory)
+    parts = transcribed(known, placed, whole, ask)
     named = placed.select(*KEY, F.col("filenames").alias("image_files"))
     parts = parts.join(named, KEY, "left").withColumn("image_files", F.coalesce("image_files", F.array().cast("array<string>")))
     parts = stored(parts.withColumn("md", stitching.with_unreferenced_images(F.col("md"), F.col("image_files"))))

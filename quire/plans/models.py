@@ -1,17 +1,24 @@
-"""Model clients: one protocol, built per executor partition, with a reply cache as a table.
+"""Model clients: one protocol, built per executor partition, called several at a time, with a reply cache as a table.
 
 A client answers a request (a dict with model, system, prompt, images, temperature, max_tokens) with
-a text.  Clients are never pickled: a *factory* is, and each partition builds its own.
+a text; several threads of a task use one client.  Clients are never pickled: a *factory* is, and each
+partition builds its own.
 """
 
 from __future__ import annotations
 
+import math
 import os
+import random
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,56 +104,173 @@ def client_for(model: str) -> ModelClient:
     return GeminiClient() if model.startswith("gemini/") else OpenAIClient()
 
 
-def request_key() -> Column:
-    """What a reply depends on, as a hash; a cached reply serves equal requests."""
-    images = F.transform("images", lambda i: F.sha2(i["data"], 256))
+@dataclass(frozen=True)
+class Limits:
+    """What a provider is asked for at most, by all tasks together.
+
+    ``slots`` tasks call at one time: by default as many as the session has cores, and no more than
+    ``in_flight``.  Each gets its share of the calls in flight and of the rate.  A failed call is made
+    ``attempts`` times in all, after ``pause`` seconds and twice as many each time; where the provider
+    says that it is asked too often, the whole task waits.  A task has at most ``batch`` requests, so
+    no more are paid for again when one is lost.
+    """
+
+    # Calls at one time and a minute
+    in_flight: int = 20
+    per_minute: int = 30_000
+    attempts: int = 3
+    pause: float = 1.0
+    batch: int = 256
+    slots: int | None = None
+
+    def of_task(self, tasks: int) -> Limits:
+        """The share of one of ``tasks`` tasks at a time."""
+        n = max(1, min(tasks, self.in_flight))
+        return replace(self, in_flight=max(1, self.in_flight // n), per_minute=max(1, self.per_minute // n))
+
+
+class Bucket:
+    """Lets calls through at a rate, and as many at once as a second holds; times are handed in for tests."""
+
+    def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.step, self.clock, self.sleep = 60 / per_minute, clock, sleep
+        self.lock, self.next = threading.Lock(), clock() - 1
+
+    def take(self) -> None:
+        with self.lock:
+            now = self.clock()
+            self.next = max(self.next, now - 1) + self.step
+            wait = self.next - now - self.step
+        if wait > 0:
+            self.sleep(wait)
+
+    def hold(self, seconds: float) -> None:
+        """No call before ``seconds`` from now."""
+        with self.lock:
+            self.next = max(self.next, self.clock() + seconds)
+
+
+def asked_too_often(error: Exception) -> bool:
+    return getattr(error, "status_code", getattr(error, "code", None)) == 429 or "429" in str(error)
+
+
+class Asker:
+    """A client under limits: ``all`` answers requests in order, several at a time."""
+
+    def __init__(self, client: ModelClient, limits: Limits, bucket: Bucket | None = None):
+        self.client, self.limits = client, limits
+        self.bucket = bucket or Bucket(limits.per_minute)
+
+    def one(self, request: dict) -> tuple[str | None, str | None]:
+        """The reply, or what the last attempt failed with: a failed call is a row, not a failed job."""
+        for k in range(self.limits.attempts):
+            self.bucket.take()
+            try:
+                return self.client.complete(request), None
+            except Exception as e:  # noqa: BLE001
+                error, wait = e, self.limits.pause * 2**k * (1 + random.random() / 4)
+                if k + 1 < self.limits.attempts:
+                    if asked_too_often(e):
+                        self.bucket.hold(wait)
+                    else:
+                        self.bucket.sleep(wait)
+        return None, str(error)
+
+    def all(self, requests: list[dict | None]) -> list[tuple[str | None, str | None]]:
+        some = [r for r in requests if r is not None]
+        if len(some) < 2 or self.limits.in_flight < 2:
+            told = iter([self.one(r) for r in some])
+        else:
+            with ThreadPoolExecutor(min(len(some), self.limits.in_flight)) as pool:
+                told = iter(list(pool.map(self.one, some)))
+        return [(None, None) if r is None else next(told) for r in requests]
+
+
+def images_key(images: Column) -> Column:
+    """What pictures contribute to a request's key."""
+    return F.sha2(F.array_join(F.transform(images, lambda i: F.sha2(i["data"], 256)), " "), 256)
+
+
+def request_key(images: Column) -> Column:
+    """What a reply depends on, as a hash; a remembered reply serves equal requests. ``images``: their ``images_key``."""
     return F.sha2(F.to_json(F.struct("stage", "model", "system", "prompt", images.alias("images"), "temperature", "max_tokens")), 256)
 
 
-def replies(requests: DataFrame, factory: Callable[[], ModelClient], at_most: int | None = None) -> DataFrame:
-    """``requests`` (any key columns and those of ``REQUEST``) with ``reply`` and ``error``.
+def replies(requests: DataFrame, factory: Callable[[], ModelClient], limits: Limits = Limits(), names: tuple[str, str] = ("reply", "error")) -> DataFrame:  # noqa: B008
+    """``requests`` (any key columns and those of ``REQUEST``) with the reply and the error, as columns ``names``.
 
-    ``at_most`` bounds how many partitions call the model at once.  Write the result before using it
-    twice, or calls are made again.
+    ``limits`` are those of one task.  Rows without a prompt are not asked about.  Write the result
+    before using it twice, or calls are made again.
     """
-    rows = requests.coalesce(at_most) if at_most else requests
-    names = [c.split(" ")[0] for c in REQUEST.split(", ")]
-    schema = T.StructType([*requests.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+    columns = [c.split(" ")[0] for c in REQUEST.split(", ")]
+    schema = T.StructType([*requests.schema.fields, *(T.StructField(n, T.StringType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = factory()
+        asker = Asker(factory(), limits)
         for batch in batches:
-            found, errors = [], []
-            for row in batch.select(names).to_pylist():
-                try:
-                    found.append(client.complete(row))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001  a failed call is a row, not a failed job
-                    found.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "reply", "error"])
+            for at in range(0, batch.num_rows, 2 * limits.in_flight):  # few pictures as Python objects at a time
+                part = batch.slice(at, 2 * limits.in_flight)
+                told = asker.all([r if r["prompt"] is not None else None for r in part.select(columns).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.string()) for x in zip(*told, strict=True))], names=[*part.schema.names, *names])
+
+    return requests.mapInArrow(run, schema)
+
+
+def dealt(requests: DataFrame, limits: Limits, n: int | None = None) -> tuple[DataFrame | None, Limits]:
+    """``requests`` in tasks of a bounded number of rows, and the limits of each; None where there are none. ``n``: their number, if known."""
+    n = requests.count() if n is None else n
+    slots = max(1, min(limits.slots or requests.sparkSession.sparkContext.defaultParallelism, limits.in_flight))
+    tasks = math.ceil(n / limits.batch)
+    if limits.slots or slots == limits.in_flight:
+        tasks = min(tasks, slots)  # more could run at once than may call
+    return (requests.repartition(tasks) if n else None), limits.of_task(min(slots, max(tasks, 1)))
+
+
+class Memory:
+    """Replies as a table in a folder, by request key.
+
+    Tasks add to it as they end (the committer's second algorithm), and what they have added stays
+    when the job fails later: a job that is run again asks only for the rest.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, kinds: str):
+        self.spark, self.path, self.kinds = spark, path, f"request_key string, {kinds}"
+        self.names = [c.strip().split(" ")[0] for c in kinds.split(",")]
+
+    def exists(self) -> bool:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = files.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*.parquet"))
+        return files.exists(folder) and len(found or ()) > 0
+
+    def without_known(self, keyed: DataFrame) -> tuple[DataFrame, bool]:
+        """Rows whose requests (``request_key``) have no good reply yet, equal requests once, and whether anything is remembered at all."""
+        some = self.exists()
+        fresh = keyed.join(self.rows("error is null").select("request_key"), "request_key", "left_anti") if some else keyed
+        return fresh.dropDuplicates(["request_key"]), some
+
+    def rows(self, good: str | None = None) -> DataFrame:
+        """A row for each key; ``good``: only of rows that this condition holds for."""
+        found = self.spark.read.schema(self.kinds).parquet(self.path)
+        told = F.min_by(F.struct(*self.names), F.struct(F.col("error").isNotNull(), *self.names))  # a task that ran twice may have told twice
+        return (found.filter(good) if good else found).groupBy("request_key").agg(told.alias("told")).select("request_key", "told.*")
 
-    return rows.mapInArrow(run, schema)
+    def add(self, rows: DataFrame) -> None:
+        rows.select("request_key", *self.names).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(self.path)
 
 
-def remembered(requests: DataFrame, factory: Callable[[], ModelClient], path: str) -> DataFrame:
-    """``replies`` that asks for nothing that an earlier run was told: good replies are kept in a table at ``path``.
+def remembered(requests: DataFrame, factory: Callable[[], ModelClient], path: str, limits: Limits = Limits(), with_images: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:  # noqa: B008
+    """``requests`` with reply and error, asking for nothing that an earlier run was told: good replies are kept in a table at ``path``.
 
-    The result is stored there with the requests' keys before it is used, so a stage that fails later
-    pays for none of its calls again.
+    Requests have the columns of ``REQUEST``; or, in place of ``images``, their ``images_key``, and
+    ``with_images`` adds the pictures to the few that have to be asked.
     """
-    spark = requests.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-    kinds = "request_key string, reply string, error string"
-
-    def known(what: str) -> DataFrame:
-        got = spark.read.schema(kinds).parquet(path) if exists else spark.createDataFrame([], kinds)
-        return got.filter("error is null").groupBy("request_key").agg(F.min("reply").alias(what))
-
-    keyed = requests.withColumn("request_key", request_key())
-    fresh = keyed.join(known("told").select("request_key"), "request_key", "left_anti").dropDuplicates(["request_key"])
-    replies(fresh, factory).select("request_key", "reply", "error").write.mode("append").parquet(path)
-    exists = True
-    told = spark.read.schema(kinds).parquet(path).groupBy("request_key").agg(F.min("reply").alias("reply"), F.max("error").alias("error"))
-    return keyed.join(told, "request_key").withColumn("error", F.when(F.col("reply").isNull(), F.col("error"))).drop("request_key")
+    memory = Memory(requests.sparkSession, path, "reply string, error string")
+    keyed = requests.withColumn("request_key", request_key(F.col("images_key") if with_images else images_key(F.col("images"))))
+    fresh, some = memory.without_known(keyed)
+    rows, own = dealt(fresh, limits)
+    if rows is not None:
+        memory.add(replies(with_images(rows) if with_images else rows, factory, own))
+    elif not some:
+        return keyed.withColumns({"reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).drop("request_key")  # of no rows
+    return keyed.join(memory.rows(), "request_key").drop("request_key")

@@ -22,17 +22,29 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="quire-")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that nothing upstream runs twice."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder that the driver and all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _own_dir()
-    path = f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, so that nothing upstream runs twice."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, column: str) -> Callable[[object], DataFrame]:
+    """``df`` stored with a folder for each value of ``column``: a function from a value that it has to its rows, which reads nothing else."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    df.repartition(column).write.partitionBy(column).parquet(path)
+    kinds = df.drop(column).schema
+    return lambda value: spark.read.schema(kinds).parquet(f"{path}/{column}={value}")
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,9 @@
 import ast
 import os
+import threading
+import time
+import uuid
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -13,6 +17,9 @@ from quire.sources import storage
 from quire.streaming import carry
 
 
+QUICK = models.Limits(pause=0.01)
+
+
 def page_rows(spark, texts):
     rows = [(1, i, 1000, 1000, t.encode(), "qwen3.5-plus") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id int, page_num int, width int, height int, png binary, model string")
@@ -30,19 +37,149 @@ def client():
 
 
 def test_whole_conversion(spark):
-    got = conversion.documents(page_rows(spark, ["# A figure", "fail", "The end."]), client).collect()
+    got = conversion.documents(page_rows(spark, ["# A figure", "fail", "The end."]), client, limits=QUICK).collect()
     assert [(r.doc_id, r.md) for r in got] == [(1, "# A figure\n\n![](images/page1_fig1.png)\n\n<!-- 第2页转换失败: down -->\n\nThe end.")]
 
 
-def test_retry_keeps_the_better(spark):
-    def factory():
-        left = ["worse", "better"]
-        return models.StubClient({"convert": lambda r: left.pop(0), "review": lambda r: '{"score": 90, "issues": []}' if "better" in r["prompt"] else '{"score": 30, "issues": ["x"]}'})
+def counted(folder, said):
+    """A client that notes each call as a file of its own, and answers by ``said(request, calls of this stage and picture before)``."""
+
+    class Counted:
+        def complete(self, r):
+            picture = r["images"][0]["data"].decode() if r["images"] else ""
+            name = f"{r['stage']}-{picture}-"
+            before = len([f for f in os.listdir(folder) if f.startswith(name)])
+            open(os.path.join(folder, f"{name}{uuid.uuid4().hex}"), "x").close()
+            return said(r, before)
+
+    return Counted
+
+
+def calls(folder):
+    """Times that each stage was asked about each picture."""
+    return Counter(tuple(f.split("-")[:2]) for f in os.listdir(folder))
+
+
+NO_CROPS = "doc_id int, page_num int, filenames array<string>, places array<string>, coverage int"
+
+
+def transcribe(spark, texts, factory, memory=None, limits=QUICK):
+    known = page_rows(spark, texts).withColumn("doc_context", F.lit(""))
+    rows = conversion.transcribed(known.drop("png"), spark.createDataFrame([], NO_CROPS), conversion.shown(pictures.sent(known, None, 0)), conversion.Caller(factory, memory, limits))
+    return {r.page_num: (r.md, r.attempts) for r in rows.collect()}
+
+
+def test_retry_keeps_the_better(spark, tmp_path):
+    def said(r, before):
+        if r["stage"] == "convert":
+            return "better" if before else "worse"
+        return '{"score": 90, "issues": []}' if "better" in r["prompt"] else '{"score": 30, "issues": ["x"]}'
+
+    assert transcribe(spark, ["x"], counted(str(tmp_path), said)) == {0: ("better", 2)}
+    assert calls(tmp_path) == {("convert", "x"): 2, ("review", "x"): 2}
+
+
+def test_a_run_that_breaks_off_goes_on(spark, tmp_path):
+    """Killed after the third page: the next run asks nothing twice, and the pages are those of a run in one piece."""
+    (tmp_path / "calls").mkdir()
+    texts = [f"# Page {i}\n\nwords of {i}" for i in range(5)]
+
+    def said(dies):
+        def answer(r, before):
+            picture = r["images"][0]["data"].decode()
+            if dies and picture == texts[3]:
+                os._exit(1)  # the task's process, as if its machine were gone
+            return picture.replace("words", "read") if r["stage"] == "convert" else "{}"
+
+        return counted(str(tmp_path / "calls"), answer)
+
+    with pytest.raises(Exception, match="(?i)worker|crash|exit"):
+        transcribe(spark, texts, said(True), str(tmp_path / "m"))
+    before = calls(tmp_path / "calls")
+    got = transcribe(spark, texts, said(False), str(tmp_path / "m"))
+    assert got == {i: (t.replace("words", "read"), 1) for i, t in enumerate(texts)}
+    again = calls(tmp_path / "calls")
+    assert all(again[k] == 1 == before[k] for k in again if k[1] in texts[:3]) and again["convert", texts[4]] == 1
+    assert transcribe(spark, texts, said(False), str(tmp_path / "m")) == got and calls(tmp_path / "calls") == again
+
+
+def test_tasks_that_ended_stay_remembered(spark, tmp_path):
+    """One of a job's tasks fails: what the others were told is not asked again."""
+    (tmp_path / "calls").mkdir()
+    rows = [(i, "s", "m", "", f"p{i}", [{"mime": "", "data": f"{i}".encode()}], 0.0, 1) for i in range(12)]
+    requests = spark.createDataFrame(rows, "k int, " + models.REQUEST)
+    one_each = models.Limits(pause=0.01, batch=1)
+
+    def said(dies):
+        def answer(r, before):
+            if dies and r["prompt"] == "p7":
+                time.sleep(3)  # the other tasks end before
+                os._exit(1)
+            return r["prompt"]
+
+        return counted(str(tmp_path / "calls"), answer)
+
+    with pytest.raises(Exception, match="(?i)worker|crash|exit"):
+        models.remembered(requests, said(True), str(tmp_path / "m"), one_each).collect()
+    got = {r.k: r.reply for r in models.remembered(requests, said(False), str(tmp_path / "m"), one_each).collect()}
+    assert got == {i: f"p{i}" for i in range(12)}
+    assert [i for i in range(12) if calls(tmp_path / "calls")["s", f"{i}"] > 1] == [7]
+
+
+def test_calls_in_flight():
+    """As many calls at once as allowed and no more; results stay in order."""
+    now, most, lock = 0, 0, threading.Lock()
+
+    def slow(r):
+        nonlocal now, most
+        with lock:
+            now += 1
+            most = max(most, now)
+        time.sleep(0.02)
+        with lock:
+            now -= 1
+        return r["prompt"]
+
+    asker = models.Asker(models.StubClient({"s": slow}), models.Limits(in_flight=5))
+    assert asker.all([{"stage": "s", "prompt": str(i)} if i % 4 else None for i in range(40)]) == [(str(i), None) if i % 4 else (None, None) for i in range(40)]
+    assert most == 5
+    assert models.Limits(in_flight=20, per_minute=100).of_task(8) == models.Limits(in_flight=2, per_minute=12)
+
+
+def test_rate_and_backing_off():
+    clock, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        clock[0] += seconds
+
+    bucket = models.Bucket(120, lambda: clock[0], sleep)  # two a second
+    for _ in range(12):
+        bucket.take()
+    assert clock[0] == pytest.approx(4.5, abs=0.6)
+    fails = iter([RuntimeError("down"), RuntimeError("429 too many"), None])
+
+    def said(r):
+        error = next(fails)
+        if error:
+            raise error
+        return "ok"
+
+    clock[0], slept[:] = 100.0, []
+    bucket = models.Bucket(6000, lambda: clock[0], sleep)
+    assert models.Asker(models.StubClient({"s": said}), models.Limits(in_flight=1, pause=1), bucket).one({"stage": "s"}) == ("ok", None)
+    assert len(slept) == 2 and 1 <= slept[0] <= 1.25 and 2 <= slept[1] <= 2.5  # doubled; the second by holding all of the task back
+    always = models.Asker(models.StubClient({"s": lambda r: 1 / 0}), models.Limits(in_flight=1, attempts=2, pause=0))
+    assert always.one({"stage": "s"}) == (None, "division by zero")
+
 
-    known = page_rows(spark, ["x"]).withColumn("doc_context", F.lit(""))
-    images = spark.createDataFrame([], "doc_id int, page_num int, filenames array<string>, places array<string>, coverage int")
-    row = conversion.transcribed(known.drop("png"), images, pictures.sent(known, None, 0), factory).first()
-    assert (row.md, row.attempts) == ("better", 2)
+def test_requests_are_dealt(spark):
+    rows = spark.range(100)
+    some, own = models.dealt(rows, models.Limits(in_flight=20, batch=10))
+    assert some.rdd.getNumPartitions() == 10 and own.in_flight == 20 // spark.sparkContext.defaultParallelism
+    few, own = models.dealt(rows, models.Limits(in_flight=2, batch=10))
+    assert few.rdd.getNumPartitions() == 2 and own.in_flight == 1
+    assert models.dealt(rows.limit(0), models.Limits())[0] is None
 
 
 def test_stream_carries_context(spark, tmp_path):
@@ -140,9 +277,9 @@ def test_remembered_replies(spark, tmp_path):
 
         return lambda: models.StubClient({"s": said})
 
-    first = {r.k: (r.reply, r.error) for r in models.remembered(requests, factory(True), str(tmp_path / "m")).collect()}
+    first = {r.k: (r.reply, r.error) for r in models.remembered(requests, factory(True), str(tmp_path / "m"), QUICK).collect()}
     assert first == {0: ("p0", None), 2: ("p0", None), 1: (None, "asked"), 3: (None, "asked")}
-    again = {r.k: r.reply for r in models.remembered(requests, factory(False), str(tmp_path / "m")).collect()}
+    again = {r.k: r.reply for r in models.remembered(requests, factory(False), str(tmp_path / "m"), QUICK).collect()}
     assert again == {0: "p0", 1: "p1", 2: "p0", 3: "p1"}
 
 
