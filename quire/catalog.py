@@ -12,7 +12,7 @@ from quire.functions import boxes, replies, text
 from quire.inputs import FIGURES_SQL, LINES_SQL, PAGES_SQL, figure_rows, figures_fx, lines_fx, pages_fx, table
 from quire.operators import figures, stitching, tables
 from quire.plans import conversion, models, prompts
-from quire.sources import images, storage
+from quire.sources import images, pdf, sink, storage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -627,6 +627,46 @@ def convert_stub(spark, d):
     return conversion.documents(pages, _stub)
 
 
+class _Lines:
+    """A document whose pages are the lines of its file."""
+
+    def __init__(self, file):
+        self.lines = file.read().decode().split("\n")
+
+    def __len__(self):
+        return len(self.lines)
+
+    def page(self, number):
+        return len(self.lines[number]), 1, self.lines[number].encode()
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(i AS INTEGER) AS page_num, CAST(length(line) AS INTEGER) AS width, md5(line) AS png FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)")
+def pdf_page_ranges(spark, d):
+    """The documents as files, written by the sink and read by the page source, a page for each line, long ones by several tasks."""
+    folder = storage.shared_folder(spark)
+    sink.write(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat("doc_id", F.lit(".pdf")).alias("name"), F.encode("text", "UTF-8").alias("data")), folder)
+    pages = pdf.pages(spark, folder, lambda: _Lines, pages_per_task=256, whole_bytes=1 << 14)
+    return pages.select("doc_id", "page_num", "width", F.md5("png").alias("png"))
+
+
+@query(
+    f"""WITH {LINES_SQL}, m AS (SELECT doc_id, string_agg(m, chr(10) ORDER BY i) AS md FROM lines_fx GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id || '.md' AS name, md5(md) AS content FROM m
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'images/page' || i || '_fig1.png', md5(m) FROM lines_fx WHERE (doc_id + i) % 11 = 9
+UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || '_markdown.zip', NULL FROM m"""
+)
+def written_documents(spark, d):
+    """What the sink has written, as it is read back: Markdown, crops, archives (their names)."""
+    rows = lines_fx(spark, d)
+    docs = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]), "\n").alias("md"))
+    crops = rows.filter("(doc_id + i) % 11 = 9").select("doc_id", F.concat(F.lit("page"), F.col("i").cast("string"), F.lit("_fig1.png")).alias("filename"), F.encode("m", "UTF-8").alias("data"))
+    made, folder = storage.stored(sink.file_rows(docs, crops)), storage.shared_folder(spark)
+    sink.write(made.unionByName(sink.archives(made)), folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.regexp_extract("path", r"/([^/]+)/((?:images/)?[^/]+)$", 2)
+    return found.select(F.regexp_extract("path", r"/([^/]+)/((?:images/)?[^/]+)$", 1).alias("doc_id"), name.alias("name"), F.when(~name.endswith(".zip"), F.md5("content")).alias("content"))
+
+
 def _broken():
     """A model that is not to be asked."""
     return models.StubClient({stage: lambda r: 1 / 0 for stage in ("convert", "review")})

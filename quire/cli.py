@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import stitching, tables
 from quire.plans import conversion, models
-from quire.sources import images, storage
+from quire.sources import images, pdf, sink, storage
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     convert.add_argument("-r", "--remember", help="folder where the model's replies are kept for later runs")
     convert.add_argument("--in-flight", type=int, default=models.Limits.in_flight, help="calls of the model at one time")
     convert.add_argument("--per-minute", type=int, default=models.Limits.per_minute, help="calls of the model a minute")
+    convert.add_argument("-z", "--zip", action="store_true", help="an archive of each document as well")
     return p
 
 
@@ -36,11 +37,11 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "join":
         pages = spark.read.parquet(a.pages)
         files = storage.image_files(spark, a.images) if a.images else spark.createDataFrame([], "doc_id string, filename string")
-        storage.write_markdown(tables.postprocessed(stitching.joined(pages), files), a.output)
+        sink.write(sink.file_rows(tables.postprocessed(stitching.joined(pages), files), spark.createDataFrame([], "doc_id string, filename string, data binary")), a.output)
         return
-    pages = storage.stored(storage.pdf_pages(storage.pdf_files(spark, a.pdf), storage.pymupdf_renderer))
+    pages = storage.stored(pdf.pages(spark, a.pdf))
     model = a.model
-    conversion.write(pages.withColumn("model", F.lit(model)), lambda: models.client_for(model), a.output, images.PillowCodec, memory=a.remember, limits=models.Limits(in_flight=a.in_flight, per_minute=a.per_minute))
+    conversion.write(pages.withColumn("model", F.lit(model)), lambda: models.client_for(model), a.output, images.PillowCodec, a.zip, memory=a.remember, limits=models.Limits(in_flight=a.in_flight, per_minute=a.per_minute))
 
 
 if __name__ == "__main__":

@@ -26,9 +26,17 @@ def headings(md: Column) -> Column:
 
 
 def rolling_outline(pages: DataFrame, most: int = OUTLINE_HEADINGS) -> DataFrame:
-    """``outline``: the last headings of all earlier pages, one a line."""
-    before = F.flatten(F.collect_list(headings(F.col("md"))).over(in_document().rowsBetween(W.unboundedPreceding, -1)))
-    return pages.withColumn("outline", F.array_join(text.tail_of(F.coalesce(before, F.array().cast("array<string>")), most), "\n"))
+    """``outline``: the last headings of all earlier pages, one a line.
+
+    A page that has headings gathers those of the ``most`` latest such pages, itself included; any page
+    has the outline of the last one before it.  So the work grows with the pages, however many a
+    document has, and all windows share one shuffle.
+    """
+    rows = pages.withColumn("_own", headings(F.col("md"))).withColumn("_some", F.size("_own") > 0)
+    latest = W.partitionBy("doc_id", "_some").orderBy("page_num").rowsBetween(1 - most, 0)
+    rows = rows.withColumn("_upto", F.when(F.col("_some"), text.tail_of(F.flatten(F.collect_list("_own").over(latest)), most)))
+    before = F.last("_upto", ignorenulls=True).over(in_document().rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("outline", F.array_join(F.coalesce(before, F.array().cast("array<string>")), "\n")).drop("_own", "_some", "_upto")
 
 
 def previous_tail(pages: DataFrame, n: int = CONVERT_TAIL) -> DataFrame:

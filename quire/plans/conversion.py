@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.functions import boxes, replies, text
 from quire.operators import figures, stitching, tables
 from quire.plans import models, prompts
-from quire.sources import images, storage
+from quire.sources import images, sink, storage
 from quire.sources.storage import stored
 
 KEY = ["doc_id", "page_num"]
@@ -231,9 +231,8 @@ def documents(pages: DataFrame, factory, stitch: bool = True, **how) -> DataFram
     return converted(pages, factory, stitch, **how)[0]
 
 
-def write(pages: DataFrame, factory, folder: str, codec: Callable[[], images.Codec], **how) -> None:
-    """Markdown and crops of all documents to ``folder``; crops that earlier runs left are removed."""
+def write(pages: DataFrame, factory, folder: str, codec: Callable[[], images.Codec], archive: bool = False, **how) -> None:
+    """Markdown and crops of all documents, and an archive of each, to ``folder``, all or none; crops that earlier runs left are removed."""
     docs, files = converted(pages, factory, codec=codec, **how)
-    storage.write_images(files, folder)
-    storage.remove_other_images(pages, files, folder)
-    storage.write_markdown(docs, folder)
+    rows = stored(sink.file_rows(docs, files))
+    sink.write(rows.unionByName(sink.archives(rows)) if archive else rows, folder)

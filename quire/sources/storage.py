@@ -1,22 +1,15 @@
-"""Files in and out: PDF and image listings, Markdown, stored intermediate tables, one document's archive."""
+"""Listings of image and Markdown files, stored intermediate tables."""
 
 from __future__ import annotations
 
 import functools
-import io
-import os
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGES = "doc_id string, page_num int, width int, height int, png binary"
-
-
 @functools.cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="quire-")
@@ -42,47 +35,11 @@ def stored(df: DataFrame) -> DataFrame:
 def stored_by(df: DataFrame, column: str) -> Callable[[object], DataFrame]:
     """``df`` stored with a folder for each value of ``column``: a function from a value that it has to its rows, which reads nothing else."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.repartition(column).write.partitionBy(column).parquet(path)
+    df.hint("rebalance", column).write.partitionBy(column).parquet(path)  # few files for a value, and large values over many tasks
     kinds = df.drop(column).schema
     return lambda value: spark.read.schema(kinds).parquet(f"{path}/{column}={value}")
 
 
-def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (file stem), path, content of the PDF files under ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("doc_id"), "path", "content")
-
-
-def pdf_pages(files: DataFrame, renderer: Callable[[], Callable[[bytes], Iterator[tuple[int, int, bytes]]]]) -> DataFrame:
-    """A row per page (``PAGES``). ``renderer()`` makes, per partition, a function PDF -> (width, height, PNG) of each page."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = renderer()
-        for batch in batches:
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, (width, height, png) in enumerate(render(content)):  # one page in memory at a time
-                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.string()), pa.array([number], pa.int32()), pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([png], pa.binary())], names=["doc_id", "page_num", "width", "height", "png"])
-
-    return files.select("doc_id", "content").mapInArrow(run, PAGES)
-
-
-# Fixed value: dots per inch at which pages are rendered
-RENDER_DPI = 220
-
-
-def pymupdf_renderer() -> Callable[[bytes], Iterator[tuple[int, int, bytes]]]:
-    """Needs PyMuPDF."""
-    import fitz
-
-    def render(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-        scale = RENDER_DPI / 72
-        for page in fitz.open(stream=content, filetype="pdf"):
-            image = page.get_pixmap(matrix=fitz.Matrix(scale, scale))
-            yield image.width, image.height, image.tobytes("png")
-
-    return render
-
-
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (file stem) and md of the Markdown files under ``path``."""
     files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(path, wholetext=True)
@@ -93,65 +50,3 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and filename of ``<doc>/images/<file>.png`` under ``path``, in order; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_extract("path", r"([^/]*)/images/[^/]*$", 1).alias("doc_id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("filename")).filter("doc_id != ''").orderBy("doc_id", "filename")
-
-
-def _put(path: str, data: bytes) -> None:
-    """A file appears whole under its name or not at all, so a task that runs twice does no harm."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = os.path.join(os.path.dirname(path), f".{uuid.uuid4().hex}")
-    with open(part, "wb") as f:
-        f.write(data)
-    os.replace(part, path)
-
-
-def _home(folder: str, doc_id) -> str:
-    return os.path.join(folder, os.path.basename(str(doc_id)))
-
-
-def write_markdown(documents: DataFrame, folder: str) -> None:
-    """One ``<doc_id>/<doc_id>.md`` per row of doc_id, md, under a folder that all executors share."""
-
-    def write(rows) -> None:
-        for row in rows:
-            home = _home(folder, row["doc_id"])
-            os.makedirs(os.path.join(home, "images"), exist_ok=True)
-            _put(os.path.join(home, f"{os.path.basename(home)}.md"), (row["md"] or "").encode())
-
-    documents.select("doc_id", "md").foreachPartition(write)
-
-
-def write_images(files: DataFrame, folder: str) -> None:
-    """``<doc_id>/images/<filename>`` per row of doc_id, filename, data, under a folder that all executors share."""
-
-    def write(rows) -> None:
-        for row in rows:
-            _put(os.path.join(_home(folder, row["doc_id"]), "images", os.path.basename(row["filename"])), bytes(row["data"]))
-
-    files.select("doc_id", "filename", "data").foreachPartition(write)
-
-
-def remove_other_images(documents: DataFrame, files: DataFrame, folder: str) -> None:
-    """Remove PNG files that earlier runs left: those of ``documents`` (doc_id) that are not among ``files`` (doc_id, filename)."""
-    own = files.groupBy("doc_id").agg(F.collect_set("filename").alias("own"))  # the images of one document
-
-    def clean(rows) -> None:
-        for row in rows:
-            images = os.path.join(_home(folder, row["doc_id"]), "images")
-            for name in os.listdir(images) if os.path.isdir(images) else []:
-                if name.endswith(".png") and name not in (row["own"] or ()):
-                    try:
-                        os.unlink(os.path.join(images, name))
-                    except FileNotFoundError:
-                        pass  # another attempt of this task was first
-
-    documents.select("doc_id").distinct().join(own, "doc_id", "left").foreachPartition(clean)
-
-
-def archive(md: str, name: str, images: dict[str, bytes]) -> bytes:
-    """A zip of one document: its Markdown and its images."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(f"{name}.md", md)
-        for file in sorted(images):
-            z.writestr(f"images/{file}", images[file])
-    return out.getvalue()

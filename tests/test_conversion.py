@@ -193,18 +193,6 @@ def test_stream_carries_context(spark, tmp_path):
     assert got[1] == ("# one\naa", "# one") and got[2] == ("# two\nbb", "# one\n# two")
 
 
-def test_files(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "x\ny"), ("b", None)], "doc_id string, md string")
-    storage.write_markdown(docs, str(tmp_path))
-    assert {(r.doc_id, r.md) for r in storage.markdown_files(spark, str(tmp_path)).collect()} >= {("a", "x\ny")}
-    (tmp_path / "a" / "images" / "p.png").write_bytes(b"1")
-    assert [(r.doc_id, r.filename) for r in storage.image_files(spark, str(tmp_path)).collect()] == [("a", "p.png")]
-    (tmp_path / "f.PDF").write_bytes(b"two")
-    pages = storage.pdf_pages(storage.pdf_files(spark, str(tmp_path)), lambda: lambda content: ((i, i, content) for i in range(2)))
-    assert [(r.doc_id, r.page_num, bytes(r.png)) for r in pages.collect()] == [("f", 0, b"two"), ("f", 1, b"two")]
-    assert storage.archive("m", "a", {"p.png": b"1"})[:2] == b"PK"
-
-
 def test_keys_are_checked():
     for name in ("DASHSCOPE_API_KEY", "GEMINI_PROXY_API_KEY"):
         os.environ.pop(name, None)
