@@ -574,7 +574,7 @@ def page_prompts(spark, d):
     return pages.select("doc_id", "page_num", prompts.page(F.col("page_num"), F.col("total"), F.lit("ctx"), F.lit(""), F.col("prev_tail"), none, none, F.lit(0)).alias("prompt"))
 
 
-# --- what SQL does not express: rows only, held against independent versions in the tests --------------
+# --- tables ------------------------------------------------------------------------------------------
 
 
 def _tables_fx(spark, d):
@@ -584,21 +584,66 @@ def _tables_fx(spark, d):
     cell = F.left("m", F.lit(12))
     row = F.concat(F.lit("| "), F.replace(cell, F.lit("|"), F.lit("/")), F.lit(" | "), F.col("i").cast("string"))
     line = F.when(k == 0, "| a | b |").when(k == 1, "|---|---|").when(k.isin(2, 3), F.concat(row, F.lit(" |"))).when(k == 4, row).when(k == 5, "rest of the cell").when(k == 6, "").otherwise(F.col("m"))
-    return rows.select("doc_id", "i", line.alias("m")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]), "\n").alias("md"))
+    return _as_documents(rows.select("doc_id", "i", line.alias("m")))
 
 
-@query()
+def _as_documents(rows):
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]), "\n").alias("md"))
+
+
+_TABLES_SQL = f"""WITH {LINES_SQL}, k AS (SELECT doc_id, i, m, (doc_id * 3 + i) % 9 AS k, '| ' || replace(left(m, 12), '|', '/') || ' | ' || i AS r FROM lines_fx),
+tables_fx AS (SELECT doc_id, i, CASE k WHEN 0 THEN '| a | b |' WHEN 1 THEN '|---|---|' WHEN 2 THEN r || ' |' WHEN 3 THEN r || ' |' WHEN 4 THEN r WHEN 5 THEN 'rest of the cell' WHEN 6 THEN '' ELSE m END AS line FROM k), {sql.tables_repaired('tables_fx')}"""
+
+
+@query(f"{_TABLES_SQL} SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS md FROM repaired GROUP BY doc_id")
 def table_repair(spark, d):
     return _tables_fx(spark, d).select("doc_id", tables.tables_repaired(_md()).alias("md"))
 
 
-@query()
+@query(
+    f"""{_TABLES_SQL}, p AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS md FROM repaired GROUP BY doc_id),
+f AS (SELECT doc_id, list('page' || i || '_fig1.png') AS files FROM lines_fx WHERE (doc_id + i) % 11 = 9 AND i % 2 = 1 GROUP BY doc_id),
+r AS (SELECT doc_id, md, coalesce(files, []) AS files, list_distinct(regexp_extract_all(md, '!\\[[^\\]]*\\]\\(images/[^)]+\\)')) AS refs FROM p LEFT JOIN f USING (doc_id)),
+gone AS (SELECT *, list_reverse_sort(list_transform(list_filter(refs, lambda x: NOT list_contains(files, regexp_extract(x, '\\]\\(images/([^)]+)\\)\\z', 1))), lambda x: {{'n': length(x), 'x': x}})) AS ghosts FROM r)
+SELECT doc_id, regexp_replace(list_reduce(list_transform(ghosts, lambda x: x.x), lambda t, x: replace(t, x, ''), md), '\\n{{3,}}', chr(10) || chr(10), 'g') AS md FROM gone"""
+)
 def postprocessed(spark, d):
     """Of each document's images those on odd lines exist."""
     files = lines_fx(spark, d).filter("(doc_id + i) % 11 = 9 and i % 2 = 1").select("doc_id", F.concat(F.lit("page"), F.col("i").cast("string"), F.lit("_fig1.png")).alias("filename"))
     return tables.postprocessed(_tables_fx(spark, d), files)
 
 
+_BRIDGES = """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS n, CAST(l_partkey AS BIGINT) AS p, CAST(l_suppkey AS BIGINT) AS s FROM lineitem),
+e AS (SELECT doc_id, n, p, s, unnest(range(6)) AS k FROM r),
+bridges_fx AS (SELECT doc_id, n * 6 + k AS i, CASE k WHEN 0 THEN CASE WHEN p % 4 = 0 THEN '| c | b |' WHEN p % 11 = 0 THEN '| a | b | c |' ELSE ' | a | b |' END WHEN 1 THEN '| :-- | --- |'
+  WHEN 2 THEN CASE WHEN s % 3 = 0 THEN '|' || p || '|' || s ELSE '| ' || p || ' | ' || s || ' | ' END
+  WHEN 3 THEN CASE s % 3 WHEN 0 THEN 'more ' || s ELSE 'Note: ' || s END WHEN 4 THEN CASE p % 5 WHEN 0 THEN '# h' WHEN 1 THEN ' ' ELSE 'between ' || p || ' ' END ELSE CASE p % 7 WHEN 0 THEN 'third' ELSE '' END END AS line FROM e)"""
+
+
+@query(f"{_BRIDGES}, {sql.tables_repaired('bridges_fx')} SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS md FROM repaired GROUP BY doc_id")
+def table_bridges(spark, d):
+    """Orders as tables, a header for each line: notes between them, wrapped rows, other headers, headings."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("n"), F.col("l_partkey").cast("long").alias("p"), F.col("l_suppkey").cast("long").alias("s"))
+    p, s = F.col("p"), F.col("s")
+    text_of = lambda c: c.cast("string")
+    lines = F.array(
+        F.when(p % 4 == 0, "| c | b |").when(p % 11 == 0, "| a | b | c |").otherwise(" | a | b |"),
+        F.lit("| :-- | --- |"),
+        F.when(s % 3 == 0, F.concat(F.lit("|"), text_of(p), F.lit("|"), text_of(s))).otherwise(F.concat(F.lit("| "), text_of(p), F.lit(" | "), text_of(s), F.lit(" | "))),
+        F.when(s % 3 == 0, F.concat(F.lit("more "), text_of(s))).otherwise(F.concat(F.lit("Note: "), text_of(s))),
+        F.when(p % 5 == 0, "# h").when(p % 5 == 1, " ").otherwise(F.concat(F.lit("between "), text_of(p), F.lit(" "))),
+        F.when(p % 7 == 0, "third").otherwise(""),
+    )
+    rows = rows.select("doc_id", "n", F.posexplode(lines).alias("k", "m"))
+    return _as_documents(rows.select("doc_id", (F.col("n") * 6 + F.col("k")).alias("i"), "m")).select("doc_id", tables.tables_repaired(_md()).alias("md"))
+
+
+# --- lists, and what is held against independent versions in the tests ----------------------------------
+
+
 _AFTER_ITEM = r"^(?:#{1,6} |!\[|```|[-*] |\d+[.)] |> |\||---)"
 
 

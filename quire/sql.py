@@ -90,3 +90,44 @@ def with_lines(prev: str, curr: str) -> str:
     """Columns that ``deduped`` reads."""
     old, new = lines(rstrip(prev)), lines(f"ltrim({curr}, chr(10))")
     return f"list_transform({old}, lambda x: {strip('x')}) AS old_l, list_transform({new}, lambda x: {strip('x')}) AS new_l, {new} AS new_raw"
+
+
+def tables_repaired(source: str) -> str:
+    """CTEs from the relation ``source`` (doc_id, i, line) to ``repaired`` (doc_id, i, x): the lines that stay, by windows.
+
+    Every step is islands of lines: a row and what follows it up to the next row; blocks of rows and of
+    other lines; chains of tables that are joined.  Left out are two cases that change a table while it is joined:
+    text with pipes between tables of one row, and text after a table of a header alone.
+    """
+    starts = lambda x, marks: "(" + " OR ".join(f"starts_with({x}, '{m}')" for m in marks) + ")"
+    not_in_gap = ("#", "![", "- ", "* ", "> ", "```")
+    ends_row = (*not_in_gap, "**", "注：", "注:", "Note:", "NOTE:")
+    last_pipe = lambda x: f"(length({x}) - strpos(reverse({x}), '|') + 1)"
+    before = lambda x: rstrip(f"left({x}, {last_pipe(x)} - 1)")
+    after = lambda x: strip(f"substr({x}, {last_pipe(x)} + 1)")
+    separator = like("x", r"^\|[\s:\-|]+\|$")
+    return f"""
+w0 AS (SELECT doc_id, i, line, {strip('line')} AS s, {is_row(strip('line'))} AS is_row FROM {source}),
+w1 AS (SELECT *, sum(CAST(is_row AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM w0),
+w2 AS (SELECT *, last_value(CASE WHEN s <> '' THEN s END IGNORE NULLS) OVER (PARTITION BY doc_id, island ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended, lag(s) OVER (PARTITION BY doc_id, island ORDER BY i) AS above FROM w1),
+w3 AS (SELECT *, island > 0 AND NOT is_row AND (ends_with(ended, '|') OR {starts('s', ends_row)}) AS stops FROM w2),
+w4 AS (SELECT *, sum(CAST(stops AS INTEGER)) OVER (PARTITION BY doc_id, island ORDER BY i) AS stopped FROM w3),
+w5 AS (SELECT doc_id, island, string_agg(CASE WHEN is_row THEN s WHEN s = '' THEN '' WHEN above = '' THEN '<br>' || s ELSE ' ' || s END, '' ORDER BY i) AS x FROM w4 WHERE island > 0 AND stopped = 0 GROUP BY doc_id, island),
+w6 AS (SELECT doc_id, w4.i, CASE WHEN is_row THEN CASE WHEN ends_with(w5.x, '|') THEN w5.x ELSE concat_ws('<br>', {before('w5.x')}, nullif({after('w5.x')}, '')) || ' |' END
+  WHEN stops AND stopped = 1 AND s = '' AND ends_with(ended, '|') THEN '' ELSE line END AS x, is_row FROM w4 LEFT JOIN w5 USING (doc_id, island) WHERE is_row OR island = 0 OR stopped > 0),
+b0 AS (SELECT *, coalesce(is_row <> lag(is_row) OVER (PARTITION BY doc_id ORDER BY i), true) AS turns FROM w6),
+b1 AS (SELECT *, sum(CAST(turns AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS block, is_row AND {separator} AS sep FROM b0),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY i) AS k, lead(sep) OVER (PARTITION BY doc_id, block ORDER BY i) AS over_sep FROM b1),
+t0 AS (SELECT doc_id, block, is_row, min(i) AS i, CASE WHEN bool_or(k = 2 AND sep) THEN min(CASE WHEN k = 1 THEN x END) END AS header,
+  arg_min(length(x) - length(replace(x, '|', '')) - 1, i) FILTER (WHERE NOT sep) AS cells,
+  count(*) FILTER (WHERE {strip('x')} <> '') AS lines, bool_or({starts(strip('x'), not_in_gap)}) AS bad, string_agg({strip('x')}, '<br>' ORDER BY i) FILTER (WHERE {strip('x')} <> '') AS said FROM b2 GROUP BY doc_id, block, is_row),
+t1 AS (SELECT *, lag(cells, 2) OVER w AS cells_before, lag(lines) OVER w AS gap, lag(bad) OVER w AS gap_bad, lag(is_row, 2) OVER w AS table_before FROM t0 WINDOW w AS (PARTITION BY doc_id ORDER BY block)),
+t2 AS (SELECT *, is_row AND coalesce(table_before AND cells = cells_before AND (gap = 0 OR gap <= 3 AND header IS NOT NULL AND NOT gap_bad), false) AS joins FROM t1),
+t3 AS (SELECT *, sum(CAST(is_row AND NOT joins AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY block) AS chain, coalesce(lead(joins) OVER (PARTITION BY doc_id ORDER BY block), false) AND NOT is_row AS bridged FROM t2),
+t4 AS (SELECT *, first_value(header) OVER (PARTITION BY doc_id, chain ORDER BY NOT is_row, block) AS first_header FROM t3),
+l0 AS (SELECT b2.doc_id, b2.i, x, b2.is_row, t.bridged, t.said, t.i = b2.i AS first,
+  CASE WHEN NOT b2.is_row THEN NOT t.bridged WHEN t.joins THEN NOT sep AND NOT coalesce(k <= 2 AND t.header = first_header, false)
+  WHEN t.header IS NULL THEN NOT sep ELSE k <= 2 OR NOT sep AND NOT (x = t.header AND coalesce(over_sep, false)) END AS stays FROM b2 JOIN t4 t ON t.doc_id = b2.doc_id AND t.block = b2.block),
+l1 AS (SELECT *, last_value(CASE WHEN is_row AND stays THEN i END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS home FROM l0),
+g AS (SELECT doc_id, home, string_agg(said, '<br>' ORDER BY i) AS more FROM l1 WHERE bridged AND first AND said IS NOT NULL GROUP BY doc_id, home),
+repaired AS (SELECT l1.doc_id, l1.i, CASE WHEN more IS NOT NULL THEN {before('x')} || '<br>' || more || ' |' ELSE x END AS x FROM l1 LEFT JOIN g ON g.doc_id = l1.doc_id AND g.home = l1.i AND l1.is_row WHERE stays)"""
