@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import sql
 from quire.functions import boxes, replies, text
 from quire.inputs import FIGURES_SQL, LINES_SQL, PAGES_SQL, figure_rows, figures_fx, lines_fx, pages_fx, table
-from quire.operators import figures, stitching, tables
+from quire.operators import figures, large_pages, stitching, tables
 from quire.plans import conversion, models, prompts
 from quire.sources import images, pdf, sink, storage
 
@@ -270,6 +270,31 @@ def bbox_clusters(spark, d):
     return _rows(own, "figures", "x1", "y1", "x2", "y2", "desc")
 
 
+_PLANES = """planes_fx AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS place,
+ CAST((l_orderkey * 7919 + l_partkey * 31) % 6000 AS DOUBLE) AS x1, CAST((l_partkey * 104729 + l_orderkey * 17) % 6000 AS DOUBLE) AS y1, CAST(l_quantity AS DOUBLE) AS w, CAST(5 + l_partkey % 90 AS DOUBLE) AS h FROM lineitem)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PLANES}, p AS (SELECT doc_id, place, x1, y1, x1 + w AS x2, y1 + h AS y2, CASE WHEN place % 4 = 0 THEN '' ELSE 'f' || place END AS descr FROM planes_fx),
+e AS (SELECT a.doc_id, a.place AS u, b.place AS v FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.place <> b.place
+ WHERE greatest(0, greatest(a.x1, b.x1) - least(a.x2, b.x2), greatest(a.y1, b.y1) - least(a.y2, b.y2)) < 40
+ AND (greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) / greatest(least(a.x2 - a.x1, b.x2 - b.x1), 1) > 0.3 OR greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / greatest(least(a.y2 - a.y1, b.y2 - b.y1), 1) > 0.3)),
+r AS (SELECT doc_id, place AS node, place AS seen FROM p UNION SELECT r.doc_id, r.node, e.v FROM r JOIN e ON e.doc_id = r.doc_id AND e.u = r.seen),
+c AS (SELECT doc_id, node, min(seen) AS label FROM r GROUP BY doc_id, node)
+SELECT c.doc_id, label AS place, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, coalesce(array_to_string((list(descr ORDER BY c.node) FILTER (WHERE descr <> ''))[1:3], '; '), '') AS descr FROM c JOIN p ON p.doc_id = c.doc_id AND p.place = c.node GROUP BY c.doc_id, label"""
+)
+def large_page_clusters(spark, d):
+    """All lines of a supplier as boxes on one large page, clustered as rows."""
+    from pyspark.sql import Window as W
+
+    n = lambda c: F.col(c).cast("long")
+    order = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    x1, y1 = ((n("l_orderkey") * 7919 + n("l_partkey") * 31) % 6000).cast("double"), ((n("l_partkey") * 104729 + n("l_orderkey") * 17) % 6000).cast("double")
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.row_number().over(order).cast("long").alias("place"), x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_quantity")).alias("x2"), (y1 + 5 + n("l_partkey") % 90).alias("y2"))
+    rows = storage.stored(rows.withColumn("desc", F.when(F.col("place") % 4 == 0, "").otherwise(F.concat(F.lit("f"), F.col("place").cast("string")))))
+    return large_pages.clustered(rows, ["doc_id"]).withColumnRenamed("desc", "descr")
+
+
 # documents of up to four pages of figures: order number by eights, page by remainder
 _CROPS_SQL = f"""{FIGURES_SQL},
 crops_fx AS (SELECT doc_id // 8 AS doc, doc_id % 8 AS page_num, fig_idx, 'page' || (doc_id % 8 + 1) || '_fig' || fig_idx || '.png' AS filename, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1,

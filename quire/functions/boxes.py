@@ -90,7 +90,8 @@ def merged(*lists: Column) -> Column:
     return keep_first(F.concat(*lists), FIGURE, covers)
 
 
-def _near(a: Column, b: Column, gap: float) -> Column:
+def is_near(a: Column, b: Column, gap: float) -> Column:
+    """Less than ``gap`` apart along both axes, and side by side for over three tenths of the smaller along one."""
     zero = F.lit(0.0)
     shared = lambda lo, hi: F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo])
     width, height = shared("x1", "x2"), shared("y1", "y2")
@@ -106,7 +107,7 @@ def clustered(figures: Column, gap: float = 40.0) -> Column:
 
     def later(a: Column, i: Column) -> Column:
         """The figures after ``a`` that are near it, as pairs of places."""
-        near = F.transform(F.slice(figures, i + 2, n), lambda b, k: F.when(_near(a, b, gap), i + k + 1))
+        near = F.transform(F.slice(figures, i + 2, n), lambda b, k: F.when(is_near(a, b, gap), i + k + 1))
         return F.transform(F.filter(near, lambda j: j.isNotNull()), lambda j: F.struct(i.alias("i"), j.alias("j")))
 
     pairs = F.flatten(F.transform(figures, later))
