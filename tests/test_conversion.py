@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from quire.plans import conversion, models
 from quire.sources import images as pictures
 from quire.sources import storage
-from quire.streaming import carry
 
 
 QUICK = models.Limits(pause=0.01)
@@ -182,17 +181,6 @@ def test_requests_are_dealt(spark):
     assert models.dealt(rows.limit(0), models.Limits())[0] is None
 
 
-def test_stream_carries_context(spark, tmp_path):
-    schema = "doc_id string, page_num int, md string"
-    for k, rows in enumerate([[("d", 1, "# two\nbb"), ("d", 0, "# one\naa")], [("d", 2, "cc"), ("d", 0, "again")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = carry.with_context(stream).writeStream.format("memory").queryName("carried").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    got = {r.page_num: (r.prev_tail, r.outline) for r in spark.table("carried").collect()}
-    assert got[1] == ("# one\naa", "# one") and got[2] == ("# two\nbb", "# one\n# two")
-
-
 def test_keys_are_checked():
     for name in ("DASHSCOPE_API_KEY", "GEMINI_PROXY_API_KEY"):
         os.environ.pop(name, None)
