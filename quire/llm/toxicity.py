@@ -5,11 +5,12 @@ and its inner four-grams.  Features whose rate differs clearly between the class
 training rows) enter a logistic model.
 
 Counterfactuals are made of every labelled text.  Where it names identity groups of a list, each copy
-swaps those names for other members of the list, every member in turn.  Where it names none, a word of
-it (by a hash of the text) is swapped for each member of one list: neutral mentions that any corpus
-yields, whether or not its labelled texts happen to name groups.  The loss adds ``swap_penalty`` times
-the mean squared change of the linear score over all swaps, so naming a group, or one group in place
-of another, hardly moves the score: a feature that group names share with insults is given up for
+swaps those names for other members of the list, every member in turn.  Where it names none, a member of
+one list is put in between its words (list and place by a hash of the text), and swapped for each other member: neutral mentions that any corpus
+yields, whether or not its labelled texts happen to name groups.  Names are only ever compared with names,
+never with a word of the text, which may be what makes it toxic.  The loss adds ``swap_penalty`` times
+the mean squared change of the linear score over all swaps, so naming one group in place
+of another hardly moves the score: a feature that some group names share with insults is given up for
 others of the insult.  ``Model.swaps`` tells how many swaps took part and how much they move the score.
 
 Fitting reads at most ``max_per_class`` labelled ids of each class (smallest hash of the id);
@@ -94,9 +95,9 @@ def counterfactuals(words: list[bytes], terms=IDENTITY_TERMS) -> tuple[list[byte
         return words, []
     if not named:
         h = xxhash.xxh3_64_intdigest(b" ".join(words))
-        n, at = h % len(terms), (h >> 20) % len(words)
-        put = lambda w: [*words[:at], w.encode(), *words[at + 1 :]]
-        return put(terms[n][0]), [words, *map(put, terms[n][1:])]
+        n, at = h % len(terms), (h >> 20) % (len(words) + 1)
+        put = lambda w: [*words[:at], w.encode(), *words[at:]]
+        return put(terms[n][0]), [*map(put, terms[n][1:])]
     copies = []
     for n in sorted({n for _, n, _ in named}):
         for step in range(1, len(terms[n])):
