@@ -547,7 +547,7 @@ def message_flattening(spark, d):
 
 @query(
     f"""WITH {PAGES_SQL}, t AS (SELECT *, coalesce(lag(md) OVER (PARTITION BY doc_id ORDER BY page_num), '') AS prev, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'ctx' END AS ctx FROM pages_fx)
-SELECT doc_id, page_num, CASE WHEN ctx <> '' THEN '<document_context>ctx</document_context>' || repeat(chr(10), 2) ELSE '' END AS context,
+SELECT doc_id, page_num, CASE WHEN ctx <> '' THEN 'About the document: ctx' || repeat(chr(10), 2) ELSE '' END AS context,
  'END OF THE PAGE BEFORE:' || chr(10) || right(prev, 600) || repeat(chr(10), 2) || 'START OF THE NEXT PAGE:' || chr(10) || left(md, 600) AS stitch,
  'Compare page ' || (page_num + 1) || ' with its conversion.' || chr(10) || CASE WHEN page_num % 2 = 0 THEN '2 crops were supplied: a.png, b.png' ELSE '' END || repeat(chr(10), 2) || 'CONVERSION:' || chr(10) || left(md, 3000) || repeat(chr(10), 2) ||
  'Is the text complete, are images referenced, are formulas closed, are there no coordinates?' || chr(10) || 'Answer: {{"score": 0-100, "issues": ["..."]}}' AS review FROM t"""
@@ -565,7 +565,7 @@ def model_prompts(spark, d):
 @query(
     f"""WITH {_CROPS_SQL}
 SELECT doc AS doc_id, page_num, 'Page ' || (page_num + 1) || ' with numbered outlines, followed by ' || count(*) || ' crops:' || chr(10) ||
- string_agg('  #' || rank || ': ' || filename || ' | ' || (x2 - x1) || '×' || (y2 - y1) || 'px | ' || CASE WHEN rank % 2 = 0 THEN 'no description' ELSE 'd' || rank END, chr(10) ORDER BY rank) AS listed
+ string_agg(rank || '. ' || filename || ', ' || (x2 - x1) || ' by ' || (y2 - y1) || ' pixels' || CASE WHEN rank % 2 = 0 THEN '' ELSE ': d' || rank END, chr(10) ORDER BY rank) AS listed
 FROM (SELECT *, row_number() OVER (PARTITION BY doc, page_num ORDER BY fig_idx) AS rank FROM crops_fx) GROUP BY doc, page_num"""
 )
 def verify_prompts(spark, d):

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ from quire.sources import images, sink, storage
 from quire.sources.storage import stored
 
 KEY = ["doc_id", "page_num"]
+# Fixed value: percent done while pages are stitched
+STITCHING = 92
 NO_FIGURES = f"array<{boxes.FIGURE}>"
 
 
@@ -34,6 +36,10 @@ def shown(sized: DataFrame) -> DataFrame:
     return stored(sized.withColumn("images_key", models.images_key(F.col("images"))))
 
 
+#: hears of a step and the percent done
+Progress = Callable[[str, int], None]
+
+
 class Caller:
     """Asks a model about rows: its client's factory, where replies are remembered, and what it may be asked at most.
 
@@ -41,8 +47,8 @@ class Caller:
     nothing that fails later makes it ask again.
     """
 
-    def __init__(self, factory: Callable[[], models.ModelClient], memory: str | None = None, limits: models.Limits = models.Limits()):  # noqa: B008
-        self.factory, self.memory, self.limits = factory, memory, limits
+    def __init__(self, factory: Callable[[], models.ModelClient], memory: str | None = None, limits: models.Limits = models.Limits(), progress: Progress | None = None):  # noqa: B008
+        self.factory, self.memory, self.limits, self.progress = factory, memory, limits, progress
 
     def folder(self, rows: DataFrame, name: str) -> str:
         self.memory = self.memory or storage.shared_folder(rows.sparkSession)
@@ -189,19 +195,24 @@ def transcribed(pages: DataFrame, placed: DataFrame, pictures: DataFrame, ask: C
         if fresh is not None:
             memory.add(page.told(with_images(fresh, of_wave(k)), ask.factory, limits))
         done = now.join(memory.rows(), "request_key").select(*KEY, page.md.alias("md"), page.attempts.alias("attempts"), "headings")
-        done.withColumn("headings", page.headings).write.parquet(f"{results}/wave={k}")
+        observed = Observation()
+        percent = text.progress_percent(F.concat(F.lit("["), (F.lit(sum(waves[:k])) + F.count(F.lit(1))).cast("string"), F.lit(f"/{sum(waves)}]")))
+        done.withColumn("headings", page.headings).observe(observed, percent.alias("percent")).write.parquet(f"{results}/wave={k}")
+        if ask.progress:
+            ask.progress("pages", observed.get["percent"])  # measured by the job that has stored them
         before = spark.read.schema(kinds).parquet(f"{results}/wave={k}")
     return spark.createDataFrame([], kinds).drop("headings") if before is None else spark.read.schema(kinds).parquet(*(f"{results}/wave={k}" for k in range(len(waves)))).drop("headings")
 
 
-def converted(pages: DataFrame, factory, stitch: bool = True, codec: Callable[[], images.Codec] | None = None, memory: str | None = None, limits: models.Limits = models.Limits()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+def converted(pages: DataFrame, factory, stitch: bool = True, codec: Callable[[], images.Codec] | None = None, memory: str | None = None, limits: models.Limits = models.Limits(), progress: Progress | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(doc_id, md) of each document of ``pages`` (doc_id, page_num, width, height, png, model), and its crops (doc_id, page_num, filename, data).
 
     ``codec`` sizes images for the model, draws outlines and cuts crops; without one there are no crop
     files, and references to crops stay as they are.  ``memory``: a folder where replies are remembered
-    beyond this run; ``limits``: what the model's provider is asked at most.
+    beyond this run; ``limits``: what the model's provider is asked at most; ``progress`` hears of the
+    percent of pages that each wave has stored.
     """
-    ask = Caller(factory, memory, limits)
+    ask = Caller(factory, memory, limits, progress)
     pngs, plain = pages.select(*KEY, "png"), pages.drop("png")
     whole, searched = (shown(images.sent(pages, codec, side)) for side in (images.PAGE_SIDE, images.SEARCH_SIDE))
     known = stored(with_context(plain, whole, ask))
@@ -213,6 +224,8 @@ def converted(pages: DataFrame, factory, stitch: bool = True, codec: Callable[[]
     parts = parts.join(named, KEY, "left").withColumn("image_files", F.coalesce("image_files", F.array().cast("array<string>")))
     parts = stored(parts.withColumn("md", stitching.with_unreferenced_images(F.col("md"), F.col("image_files"))))
     fixes = None
+    if progress:
+        progress("stitch", STITCHING)
     if stitch:
         bounds = stitching.boundaries(parts).filter(F.col("needs_stitch") & ~text.is_blank(F.col("curr"))).join(known.select(*KEY, "model"), KEY)
         mend = prompts.stitch(F.right("prev", F.lit(stitching.STITCH_TAIL)), F.left("curr", F.lit(stitching.STITCH_TAIL)))
@@ -236,3 +249,5 @@ def write(pages: DataFrame, factory, folder: str, codec: Callable[[], images.Cod
     docs, files = converted(pages, factory, codec=codec, **how)
     rows = stored(sink.file_rows(docs, files))
     sink.write(rows.unionByName(sink.archives(rows)) if archive else rows, folder)
+    if how.get("progress"):
+        how["progress"]("done", 100)

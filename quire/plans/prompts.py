@@ -30,7 +30,7 @@ VERIFY_SYSTEM = "You review crops of figures against the whole page. When in dou
 
 
 def _context(doc_context: Column) -> Column:
-    return F.when(F.coalesce(doc_context, F.lit("")) != "", F.concat(F.lit("<document_context>"), doc_context, F.lit("</document_context>\n\n"))).otherwise("")
+    return F.when(F.coalesce(doc_context, F.lit("")) != "", F.concat(F.lit("About the document: "), doc_context, F.lit("\n\n"))).otherwise("")
 
 
 def detect(doc_context: Column) -> Column:
@@ -49,7 +49,8 @@ def crop_lines(crops: Column) -> Column:
     """A line for each crop: number, file, size in pixels, description."""
 
     def line(c: Column, i: Column) -> Column:
-        return F.concat(F.lit("  #"), (i + 1).cast("string"), F.lit(": "), c["filename"], F.lit(" | "), (c["x2"] - c["x1"]).cast("string"), F.lit("×"), (c["y2"] - c["y1"]).cast("string"), F.lit("px | "), F.when(c["desc"] != "", c["desc"]).otherwise("no description"))
+        size = F.concat((c["x2"] - c["x1"]).cast("string"), F.lit(" by "), (c["y2"] - c["y1"]).cast("string"), F.lit(" pixels"))
+        return F.concat((i + 1).cast("string"), F.lit(". "), c["filename"], F.lit(", "), size, F.when(c["desc"] != "", F.concat(F.lit(": "), c["desc"])).otherwise(""))
 
     return F.array_join(F.transform(crops, line), "\n")
 

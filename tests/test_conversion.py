@@ -125,6 +125,16 @@ def test_tasks_that_ended_stay_remembered(spark, tmp_path):
     assert [i for i in range(12) if calls(tmp_path / "calls")["s", f"{i}"] > 1] == [7]
 
 
+def test_progress_rises(spark, tmp_path):
+    """Percents are those of the pages that are stored; then stitching, then done."""
+    said = []
+    pages = page_rows(spark, [f"# {i}" for i in range(6)]).unionByName(page_rows(spark, ["x", "y"]).withColumn("doc_id", F.lit(2)))
+    factory = lambda: models.StubClient({"convert": lambda r: "md", "detect": lambda r: "[]"})
+    conversion.write(pages.withColumn("png", F.lit(picture(40, 40))), factory, str(tmp_path), pictures.NetpbmCodec, limits=QUICK, progress=lambda step, percent: said.append((step, percent)))
+    share = lambda done: min(95, int(done / 8 * 90 + 0.5) + 5)
+    assert said == [*(("pages", share(n)) for n in (2, 4, 5, 6, 7, 8)), ("stitch", 92), ("done", 100)]
+
+
 def test_calls_in_flight():
     """As many calls at once as allowed and no more; results stay in order."""
     now, most, lock = 0, 0, threading.Lock()

@@ -1,9 +1,11 @@
+import os
+import shutil
 import time
 
 import pytest
 from pyspark.errors import AnalysisException
 
-from quire.streaming import carry
+from quire.streaming import arrivals, carry
 
 SCHEMA = "doc_id string, page_num int, md string"
 
@@ -71,3 +73,35 @@ def test_headings_are_bounded(pages):
     got = pages.run(("d", 5))
     every = [f"## {n}.{k}" for n in range(6) for k in range(30)]
     assert [got["d", n][1] for n in range(6)] == ["\n".join(every[: 30 * n][-80:]) for n in range(6)]
+
+
+def test_files_that_arrive(spark, tmp_path):
+    """Two drops and restarts: every file is converted once, also when a batch is run again."""
+    drop, out, checkpoint = tmp_path / "drop", tmp_path / "out", tmp_path / "c"
+    (drop / "deep").mkdir(parents=True)
+    seen = []
+
+    def convert(files):
+        rows = files.collect()
+        seen.extend(r.doc_id for r in rows)
+        made = [(r.doc_id, f"{r.doc_id}.md", str(r.bytes).encode()) for r in rows]
+        return spark.createDataFrame(made, "doc_id string, name string, data binary")
+
+    def run():
+        query = arrivals.converted(arrivals.arrivals(spark, str(drop), most_bytes=100), convert, str(out), str(checkpoint))
+        query.awaitTermination()
+        return {r.doc_id: (r.batch, r.state) for r in arrivals.jobs(spark, str(out)).collect()}
+
+    (drop / "a.pdf").write_bytes(b"1" * 10)
+    (drop / "deep" / "b.PDF").write_bytes(b"1" * 20)
+    (drop / "big.pdf").write_bytes(b"1" * 101)
+    (drop / "notes.txt").write_bytes(b"1")
+    first = {"a": (0, "done"), "b": (0, "done"), "big": (0, "too large"), "notes": (0, "no PDF")}
+    assert run() == first and run() == first
+    (drop / "c.pdf").write_bytes(b"1")
+    assert run() == first | {"c": (1, "done")}
+    shutil.rmtree(checkpoint / "commits")  # as if the driver had been lost before it noted the batches' ends
+    assert run() == first | {"c": (1, "done")}
+    assert sorted(seen) == ["a", "b", "c"]
+    assert sorted(os.path.relpath(os.path.join(h, n), out) for h, _, names in os.walk(out) for n in names if n.endswith(".md")) == ["a/a.md", "b/b.md", "c/c.md"]
+    assert (out / "b" / "b.md").read_bytes() == b"20"
