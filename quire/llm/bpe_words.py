@@ -24,6 +24,7 @@ their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -40,6 +41,8 @@ from quire.llm.common import documents, kept, shared_dir, stored
 
 #: words of a block, and rows of words that a task encodes together
 BLOCK, CHUNK = 1 << 22, 1 << 17
+#: turns in which digests shuffle words and blocks, to need less disk at one time
+PASSES = 2
 #: (?U): \s is Unicode White_Space, as in the pre-tokeniser
 WORDS = r"(?U)\s*+\S++|\s++"
 CODED = "kind int, block long, doc_id long, codes binary, first int, words array<string>"
@@ -255,17 +258,28 @@ def _positions(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _matched(docs: DataFrame, tokenizer_file: str | None, block: int, chunk: int, then: Callable[[pa.Table], pa.Table], kinds: str) -> DataFrame:
-    """``then`` of the rows of doc_id and ids of each block."""
+def _matched(docs: DataFrame, tokenizer_file: str | None, block: int, chunk: int, then: Callable[[pa.Table], pa.Table], kinds: str, passes: int = 1) -> DataFrame:
+    """``then`` of the rows of doc_id and ids of each block.
+
+    With several ``passes`` the words, by hash, and then the blocks are shuffled in as many turns, whose
+    shuffle files go as each is stored, and the result is stored.
+    """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
     cut = docs.select(F.col("doc_id").cast("long"), words(F.col("text").cast("string")).alias("words"))
     cut.mapInArrow(numbered(block), CODED).write.partitionBy("kind").options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}).parquet(path)
     read = lambda kind, columns: spark.read.schema(columns).parquet(f"{path}/kind={kind}") if exists(spark, f"{path}/kind={kind}") else spark.createDataFrame([], columns)
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
     entries = read(WORDS_OF_BLOCK, "block long, first int, words array<string>").select("block", "first", F.posexplode("words").alias("at", "word"))
-    found = stored(word_ids(entries.select("word", "block", (F.col("first") + F.col("at")).alias("code")), tokenizer_file, chunk), "zstd")
+    entries = entries.select("word", "block", (F.col("first") + F.col("at")).alias("code"))
+    turn = F.pmod(F.xxhash64("word"), F.lit(passes))
+    found = union([stored(word_ids(entries.filter(turn == k), tokenizer_file, chunk), "zstd") for k in range(passes)])
     delete(spark, f"{path}/kind={WORDS_OF_BLOCK}")  # found has all of it
     texts = read(TEXTS, "block long, doc_id long, codes binary")
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda one, two: then(_positions(one, two)), kinds)
+    if passes == 1:
+        return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda one, two: then(_positions(one, two)), kinds)
+    turn = F.shiftrightunsigned("block", 32) % passes  # by the task that made it
+    own = lambda rows, k: rows.filter(turn == k).groupBy("block")
+    return union([stored(own(texts, k).cogroup(own(found, k)).applyInArrow(lambda one, two: then(_positions(one, two)), kinds)) for k in range(passes)])
 
 
 def encode(docs: DataFrame, tokenizer_file: str | None = None, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
@@ -328,7 +342,7 @@ def digest(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
         return [docs, pc.list_value_length(ids).cast(pa.int64()), pa.array([sha(raw[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], pa.string()), pa.array([sha(lossy(x)) for x in data.to_pylist()], pa.string())]
 
     table = lambda rows: pa.Table.from_batches(list(_decoded(tokenizer_file, rows, schema, columns)), schema=schema)
-    return _matched(docs, tokenizer_file, BLOCK, CHUNK, table, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _matched(docs, tokenizer_file, BLOCK, CHUNK, table, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", PASSES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
