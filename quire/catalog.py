@@ -737,7 +737,7 @@ def written_documents(spark, d):
     return found.select(F.regexp_extract("path", r"/([^/]+)/((?:images/)?[^/]+)$", 1).alias("doc_id"), name.alias("name"), F.when(~name.endswith(".zip"), F.md5("content")).alias("content"))
 
 
-def _broken():
+def _silent():
     """A model that is not to be asked."""
     return models.StubClient({stage: lambda r: 1 / 0 for stage in ("convert", "review")})
 
@@ -753,7 +753,7 @@ def remembered_pages(spark, d):
     memory = storage.shared_folder(spark)
     model = lambda: models.StubClient({"convert": lambda r: r["images"][0]["data"].decode(), "review": lambda r: f'{{"score": {30 if r["images"][0]["mime"] == "poor" else 90}, "issues": ["x"]}}'})
     conversion.transcribed(pages, placed, shown, conversion.Caller(model, memory))
-    return conversion.transcribed(pages, placed, shown, conversion.Caller(_broken, memory, models.Limits(attempts=1)))
+    return conversion.transcribed(pages, placed, shown, conversion.Caller(_silent, memory, models.Limits(attempts=1)))
 
 
 def _drawn():
