@@ -1,23 +1,14 @@
-"""Line dedup as the pipeline has it: edits by length, and equal lines of every length that hold a word."""
+"""Line dedup as the pipeline has it: edits by length, and equal lines of every length that hold a word.
+
+Held against brute force in the tests; SQL that compares all pairs of lines does not end on whole tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.common import documents
-from quire.llm.line_dedup import EDITS, LEAST, SHARE, counted
-
-#: not registered as ORACLE_SQL: it did not finish on sf0.001 in 75 s and is unverified
-SQL = rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-k AS (SELECT *, length(t) AS n FROM l WHERE length(t) >= {LEAST} OR regexp_matches(t, '[^\x20\x09-\x0D]')),
-g AS (SELECT t, n, min((doc_id, i)) AS first FROM k GROUP BY t, n),
-near AS (SELECT DISTINCT a.t FROM g a JOIN g b ON abs(a.n - b.n) <= greatest({EDITS}, least(a.n, b.n) // {SHARE}) AND b.first < a.first
-  WHERE least(a.n, b.n) >= {LEAST} AND levenshtein(a.t, b.t) <= greatest({EDITS}, least(a.n, b.n) // {SHARE})),
-f AS (SELECT k.doc_id, count(*) FILTER (WHERE (k.doc_id, k.i) <> g.first) AS n_equal, count(*) FILTER (WHERE (k.doc_id, k.i) = g.first AND near.t IS NOT NULL) AS n_near
-  FROM k JOIN g ON g.t = k.t LEFT JOIN near ON near.t = k.t GROUP BY k.doc_id)
-SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
-FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id"""
+from quire.llm.line_dedup import SHARE, counted
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
