@@ -243,7 +243,8 @@ def near_lines(texts: DataFrame, k: int = EDITS, share: int | None = None) -> Da
         # a long text may repeat itself: it is once in a bucket
         several = part.join(few(met.filter("size > 2").select("key", "low", "size")), "key")
         members.append(stored(several.groupBy("key", "low", "size", "id").agg(F.bool_or("indexed").alias("indexed"))))
-    buckets, members = (functools.reduce(DataFrame.unionByName, x) for x in (buckets, members))
+    # one table of each, so that the plans below do not have a branch for every pass
+    buckets, members = (stored(functools.reduce(DataFrame.unionByName, x)) if len(x) > 1 else x[0] for x in (buckets, members))
     star = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")))
     gone = _within(stored(star.distinct()), texts, k, share)
     # what is left meets all earlier texts of its buckets, block by block
