@@ -119,3 +119,11 @@ def test_listing(tmp_path):
     assert files.files_under(str(tmp_path / "none")) == []
     (tmp_path / "f").write_text("x")
     assert [f.size for f in files.files_under(str(tmp_path / "f"))] == [1]
+
+
+def test_written_files_come_back(spark, tmp_path):
+    """Also empty ones, which Spark's own file sources leave out."""
+    sink.write(content(spark, [("a", "a.md", ""), ("a", "images/x.png", "x"), ("b", "b.md", None)]), str(tmp_path / "out"))
+    docs = spark.createDataFrame([("a",), ("b",), ("a",), ("none",)], "doc_id string")
+    got = sorted((r.doc_id, r.name, bytes(r.data)) for r in sink.written(docs, f"file:{tmp_path}/out").collect())
+    assert got == [("a", "a.md", b""), ("a", "images/x.png", b"x"), ("b", "b.md", b"")]
