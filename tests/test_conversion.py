@@ -40,6 +40,19 @@ def test_whole_conversion(spark):
     assert [(r.doc_id, r.md) for r in got] == [(1, "# A figure\n\n![](images/page1_fig1.png)\n\n<!-- 第2页转换失败: down -->\n\nThe end.")]
 
 
+def test_pages_are_rendered_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    @F.udf("binary")
+    def rendered(n):
+        open(os.path.join(folder, f"{n}-{uuid.uuid4().hex}"), "x").close()
+        return f"Words {n}.".encode()
+
+    pages = page_rows(spark, ["", ""]).withColumn("png", rendered("page_num"))
+    assert [r.md for r in conversion.documents(pages, client, limits=QUICK).collect()] == ["Words 0.\n\nWords 1."]
+    assert Counter(f.split("-")[0] for f in os.listdir(folder)) == {"0": 1, "1": 1}
+
+
 def counted(folder, said):
     """A client that notes each call as a file of its own, and answers by ``said(request, calls of this stage and picture before)``."""
 
