@@ -1,6 +1,6 @@
 """Clusters of figure boxes as rows, for pages with far more boxes than an array expression can compare.
 
-A page's plane is cut into square cells as wide as the gap.  A box stands in the cells that it covers,
+A page's plane is cut into square cells some gaps wide, so that a box stands in few.  A box stands in the cells that it covers,
 and is looked for in the cells that it covers with the gap around it, so two boxes that are near meet
 by an equi-join on the cell; the cell that holds the corner of what they share there is the one that
 reports them, so a pair is compared and told once.  Pairs that are near are edges of a graph whose
@@ -18,11 +18,13 @@ from quire.operators.components import components
 
 #: descriptions of members that a cluster keeps
 TOLD = 3
+#: gaps that a cell is wide: rows that are shuffled fall with it, boxes compared in a cell rise
+CELL = 4
 
 
 def _cells(rows: DataFrame, gap: float, around: float) -> DataFrame:
     """``rows`` for each cell (cx, cy) that their boxes cover with ``around`` on all sides."""
-    of = lambda c: F.floor(c / gap)
+    of = lambda c: F.floor(c / (CELL * gap))
     span = lambda low, high: F.sequence(of(F.col(low) - around), of(F.col(high) + around))
     return rows.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
 
@@ -32,7 +34,7 @@ def near_pairs(rows: DataFrame, key: list[str], gap: float = 40.0) -> DataFrame:
     plain = rows.select(*key, "place", *boxes.SIDES)
     one = _cells(plain, gap, 0.0).select(*key, "cx", "cy", F.col("place").alias("a"), F.struct(*boxes.SIDES).alias("one"))
     two = _cells(plain, gap, gap).select(*key, "cx", "cy", F.col("place").alias("b"), F.struct(*boxes.SIDES).alias("two"))
-    corner = lambda side: F.floor(F.greatest(F.col(f"one.{side}"), F.col(f"two.{side}") - gap) / gap)
+    corner = lambda side: F.floor(F.greatest(F.col(f"one.{side}"), F.col(f"two.{side}") - gap) / (CELL * gap))
     met = one.join(two, [*key, "cx", "cy"]).filter((F.col("a") < F.col("b")) & (F.col("cx") == corner("x1")) & (F.col("cy") == corner("y1")))
     return met.filter(boxes.is_near(F.col("one"), F.col("two"), gap)).select(*key, "a", "b")
 

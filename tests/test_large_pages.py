@@ -49,3 +49,9 @@ def test_components(spark):
     got = {(r.k, r.node): r.component for r in components(spark.createDataFrame(nodes, "k int, node int"), spark.createDataFrame(edges, "k int, a int, b int"), ["k"]).collect()}
     assert got == {(1, i): 0 for i in range(n)} | {(2, 5): 5, (2, 6): 6, (2, 7): 5, (2, 9): 5}
     assert components(spark.createDataFrame([], "k int, node int"), spark.createDataFrame([], "k int, a int, b int"), ["k"]).count() == 0
+
+
+def test_boxes_stand_in_few_cells(spark):
+    """Boxes of up to 50 by 95 on a page: some five rows a box for both sides of the join, not over twenty."""
+    rows = spark.range(2000).selectExpr("1 as doc_id", "id as place", "double(id * 7919 % 6000) as x1", "double(id * 104729 % 6000) as y1").selectExpr("*", "x1 + 1 + place % 50 as x2", "y1 + 5 + place % 90 as y2")
+    assert sum(large_pages._cells(rows, 40.0, around).count() for around in (0.0, 40.0)) < 6 * 2000
