@@ -106,3 +106,12 @@ def test_joined_with_replies(spark):
     df = spark.createDataFrame([(1, 0, "It goes"), (1, 1, "goes on."), (1, 2, "Other"), (1, 3, "Text")], "doc_id int, page_num int, md string")
     told = spark.createDataFrame([(1, 1, "on."), (1, 3, "# H\n" * 40)], "doc_id int, page_num int, reply string")
     assert stitching.joined(df, told).first().md == "It goes\non.\n\nOther\n\nText"
+
+
+def test_boundaries_are_judged_once(spark):
+    from quire.functions import text
+
+    pages = spark.createDataFrame([(1, 0, "It goes", ["a.png"]), (1, 1, "on.", [])], "doc_id long, page_num long, md string, image_files array<string>")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    whole = stitching.joined(pages)
+    assert plan(whole).count(text.STRUCTURAL_END) == plan(whole).count(text.ENDS_SENTENCE) == 1
