@@ -115,3 +115,6 @@ def test_boundaries_are_judged_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     whole = stitching.joined(pages)
     assert plan(whole).count(text.STRUCTURAL_END) == plan(whole).count(text.ENDS_SENTENCE) == 1
+    back = stitching.image_loss_fallback(whole, pages)
+    assert plan(back).count(text.STRUCTURAL_END) == plan(back).count(text.ENDS_SENTENCE) == 1
+    assert back.collect() == [(1, "It goes\n\non.", True)]
