@@ -118,3 +118,18 @@ def test_boundaries_are_judged_once(spark):
     back = stitching.image_loss_fallback(whole, pages)
     assert plan(back).count(text.STRUCTURAL_END) == plan(back).count(text.ENDS_SENTENCE) == 1
     assert back.collect() == [(1, "It goes\n\non.", True)]
+
+
+def test_decorative_in_one_pass(spark):
+    size = [(1, p, 600, 800) for p in range(4)] + [(2, p, 600, 800) for p in range(2)]
+    pages = spark.createDataFrame(size, "doc_id long, page_num long, width int, height int")
+    small = lambda d, p, f: (d, p, f, 0, 0, 41, 39)
+    rows = [small(1, p, f"s{p}") for p in (0, 0, 1, 3)] + [small(1, 9, "no such page"), (1, 2, "no box", None, None, None, None), (1, 2, "other", 0, 0, 90, 90)]
+    rows += [(1, p, f"large{p}", 0, 0, 500, 700) for p in range(4)] + [(1, p, f"half{p}", 0, 0, 60, 60) for p in (1, 2)] + [small(2, p, f"two{p}") for p in range(2)] + [small(3, 0, "no pages")]
+    crops = spark.createDataFrame(rows, "doc_id long, page_num long, filename string, x1 int, y1 int, x2 int, y2 int")
+    rest = figures.without_decorative(crops, pages)
+    kept = {"no box", "other", "large0", "large1", "large2", "large3", "half1", "half2", "two0", "two1", "no pages"}
+    assert {r.filename for r in rest.collect()} == kept and rest.columns == crops.columns
+    assert [tuple(r.signature) for r in figures.decorative(crops, pages).collect()] == [(40, 40)]
+    plan = rest._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and "Aggregate" not in plan
