@@ -253,6 +253,26 @@ def test_edits_grow_with_the_line(spark):
     assert [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_keys_of_a_long_line_are_few_and_meet(spark):
+    from pyspark.sql import functions as F
+
+    for i in range(21):  # wherever a segment stands in the longer text, one of its windows is at a place that is probed
+        t = line_dedup._stride(i)
+        places = line_dedup._places(i, t)
+        assert all(any((d + o, True) in places or (d + o, False) in places and (d + o) % t == 0 for o, own in places if own) for d in range(-i, i + 1))
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(360))
+    of = line_dedup.classed(spark.createDataFrame([(1, line, 360)], "id long, text string, n int"), 20)
+    assert line_dedup.classed_posts(of, line_dedup._units(of)).count() < 130  # 181 when every place was probed
+    other = list(line)
+    for at in rng.sample(range(360), 18):
+        other[at] = rng.choice(["", "e", "é", other[at] + "t"])
+    pairs = [(line, "".join(other)), (line, "".join(rng.sample(line, 360))), (line, "e" * 360)]
+    of = lambda c: F.struct(F.char_length(c).alias("n"), line_dedup.letters(F.col(c)).alias("letters"))
+    got = spark.createDataFrame(pairs, "x string, y string").select(of("x").alias("x"), of("y").alias("y")).select(line_dedup._alike(F.col("x"), F.col("y"), 2, 20).alias("may"))
+    assert [r.may for r in got.collect()] == [True, True, False]  # texts are sent to the pairs that may be near
+
+
 def test_stages_equal_brute_force(spark):
     """Line dedup, n-gram join, mixing and encoding in sequence, each step of it written out plainly."""
     import corpus_pipeline
