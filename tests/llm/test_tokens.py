@@ -1,5 +1,6 @@
 import random
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -146,3 +147,16 @@ def test_dictionary_is_by_frequency(spark):
     df = spark.createDataFrame([(i, "often often rare" + str(i)) for i in range(5)], "doc_id long, text string")
     found = codec.dictionary(df, codec.Pieces(), 1)
     assert list(found) == ["▁often"]
+
+
+def test_signs_at_the_end_of_a_rare_word_are_encoded_apart(monkeypatch):
+    from quire.llm import sentencepiece_codec as codec
+
+    pieces = codec.Pieces()
+    lib = sentencepiece.SentencePieceProcessor(model_file=codec.default_model())
+    encoder = codec.Encoder(pieces, {"▁neutral": array("i", pieces.ids("▁neutral")).tobytes()})
+    asked = []
+    monkeypatch.setattr(pieces, "ids", lambda word, of=pieces.ids: asked.append(word) or of(word))
+    for text in ("neutral%%% neutral|||", "e. e, a's U.S. ### x", "...", "zá$$$ zá&&& ,, a,b;", "x" * 90 + "%%%"):
+        assert list(memoryview(encoder.of(text.encode())).cast("i")) == lib.encode(text)
+    assert not any(word.startswith("▁neutral") for word in asked) and "%%%" in asked  # what is before the signs is known
