@@ -273,6 +273,28 @@ def test_keys_of_a_long_line_are_few_and_meet(spark):
     assert [r.may for r in got.collect()] == [True, True, False]  # texts are sent to the pairs that may be near
 
 
+def test_alike_lines_are_few_rows(spark):
+    """Lines of one origin that are too far apart share many segments; each pair of them is hardly more than one row."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(3, 8))) for _ in range(110)]
+    data = []
+    for i in range(40):
+        text = list(words)
+        for at in rng.sample(range(110), 6):
+            text[at] = "".join(rng.sample(text[at], len(text[at])))
+        data.append((i, " ".join(text)))
+    texts = spark.createDataFrame(data, "id long, text string").withColumn("n", F.char_length("text"))
+    of = line_dedup.classed(texts, 20)
+    links = line_dedup._links(line_dedup.classed_posts(of, line_dedup._units(of)))
+    marks = texts.select("id", F.struct("n", line_dedup.letters(F.col("text")).alias("letters")).alias("of"))
+    got = [(r.a, r.b) for r in line_dedup._later_pairs(links, texts.select("id").limit(0), marks, 2, 20).collect()]
+    assert 300 < len(set(got)) and len(got) < 1.5 * len(set(got))  # one for each segment that two share, before
+    want = {b for b, t in data if any(banded_at_most(t, u, max(2, min(len(t), len(u)) // 20)) for _, u in data[:b])}
+    assert {r.id for r in line_dedup.near_lines(texts, share=20).collect()} == want
+
+
 def test_stages_equal_brute_force(spark):
     """Line dedup, n-gram join, mixing and encoding in sequence, each step of it written out plainly."""
     import corpus_pipeline
