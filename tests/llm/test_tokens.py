@@ -37,6 +37,17 @@ def pairs_without_overlap(symbols):
     return count
 
 
+def test_words_are_encoded_together(monkeypatch):
+    """One call of the library for many words, and the ids of each as if it stood alone, also where the sign between them is text."""
+    encode = token_output.Encoder()
+    words = [f" w{i}é" for i in range(600)] + ["<|endof", "text|>", "<", "\n\n", " ", "日本"]
+    odd = [" <|endoftext|>x", "<|endoftext|>", "a<|endoftext|><|endoftext|>"]
+    alone = {p: b"".join(i.to_bytes(4, "little") for i in encode.tokenizer.encode(p, add_special_tokens=False).ids) for p in words + odd}
+    assert encode._encode(words + odd) == alone
+    monkeypatch.setattr(token_output, "array", None)  # no word by itself
+    assert encode._encode(words) == {p: alone[p] for p in words}
+
+
 @pytest.mark.parametrize("slots", [4, 21])
 def test_grammar_round_trip_and_slices(monkeypatch, slots):
     """Decoding gives all back, from any place, and no pair stands twice; also where most pairs share their slots."""
