@@ -251,6 +251,16 @@ def test_crops_end_to_end(spark, tmp_path):
     assert md["d"] == "Text \n\n![](images/page1_fig1.png)\n\n![](images/page1_fig2_a.png)" and md["e"].strip() == "Text"
 
 
+def test_pictures_are_not_broadcast(spark):
+    """Plain pages, whose files are far smaller than they are: no join of a conversion sends them through the driver."""
+    rows = spark.range(4).select(F.col("id").alias("doc_id"), F.lit(0).alias("page_num"), F.lit(picture(300, 200)).alias("png"))
+    sent = conversion.shown(pictures.sent(rows.withColumns({"width": F.lit(300), "height": F.lit(200)}), pictures.NetpbmCodec, 100))
+    keys = storage.stored(rows.drop("png"))
+    joined = [conversion.with_images(keys, sent), conversion.beside(keys, storage.stored(rows))]
+    for df in joined:
+        assert df.count() == 4 and "Broadcast" not in df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
 def test_sizes_for_the_model():
     class Lossy(pictures.NetpbmCodec):
         def encode(self, pixels, kind, quality=90):
