@@ -4,10 +4,11 @@
     spark.read.format("pdf_pages").option("pages_per_task", 8).load(folder)
 
 A file above ``whole_bytes`` is opened once while the read is planned, to count its pages, and cut into
-ranges; smaller ones are put together, some ``whole_bytes`` to a task, and not opened before.  A task
+ranges; smaller ones are put together, some ``whole_bytes`` to a range, and not opened before.  A task
 opens its file from where it lies and renders one page after the other, so neither a file nor a
 document's pages are ever one row, and a thousand pages are rendered by as many tasks as there are
-ranges.  A lost task renders its own range again.
+ranges, up to ``most_tasks``; beyond that a task has several ranges, as each task costs time of its
+own, however little it has to do.  A lost task renders its own ranges again.
 
 Files without pages, and folders without files, give no rows; what cannot be opened fails the read.
 """
@@ -15,7 +16,7 @@ Files without pages, and folders without files, give no rows; what cannot be ope
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -40,6 +41,8 @@ Documents = Callable[[], Callable[[object], Document]]
 
 # Fixed value: dots per inch at which pages are rendered
 RENDER_DPI = 220
+#: rows and bytes of pages that go to Spark at once; a page beyond goes alone
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 20
 
 
 def pymupdf_documents() -> Callable[[object], Document]:
@@ -87,10 +90,34 @@ def ranges(files: list[tuple[str, int]], pages_of: Callable[[str], int], per_tas
     return out + ([Pages(tuple(together))] if together else [])
 
 
+def together(parts: list[Pages], most: int) -> list[Pages]:
+    """``parts`` in order as at most ``most`` partitions, each with as many of them, or one fewer."""
+    n = min(len(parts), most)
+    cuts = [len(parts) * k // n for k in range(n + 1)] if n else []
+    return [Pages(tuple(i for p in parts[a:b] for i in p.items)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def batched(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PAGES`` as batches of few of them."""
+    held, size = [], 0
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PAGES.types, strict=True)], schema=_PAGES)
+    for row in rows:
+        if held and size + len(row[-1]) > BATCH_BYTES:
+            yield batch(held)
+            held, size = [], 0
+        held.append(row)
+        size += len(row[-1])
+        if len(held) == BATCH_ROWS or size >= BATCH_BYTES:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
 def source(documents: Documents) -> type[DataSource]:
     """The data source ``pdf_pages`` for a renderer.
 
-    Options: path; pages_per_task (16); whole_bytes (1 MB).
+    Options: path; pages_per_task (16); whole_bytes (1 MB); most_tasks (1,024).
     """
 
     class PdfPages(DataSource):
@@ -108,6 +135,7 @@ def source(documents: Documents) -> type[DataSource]:
         def __init__(self, options):
             self.path = options["path"]
             self.per_task, self.whole = int(options.get("pages_per_task", 16)), int(options.get("whole_bytes", 1 << 20))
+            self.most = int(options.get("most_tasks", 1024))
 
         def _open(self, path: str):
             return file_system(self.path)[0].open_input_file(path)
@@ -120,16 +148,19 @@ def source(documents: Documents) -> type[DataSource]:
                     return len(open_document(file))
 
             files = [(f.path, f.size) for f in files_under(self.path) if f.path.lower().endswith(".pdf")]
-            return ranges(files, pages_of, self.per_task, self.whole)
+            return together(ranges(files, pages_of, self.per_task, self.whole), self.most)
 
         def read(self, partition: Pages | None) -> Iterator[pa.RecordBatch]:
             open_document = documents()
-            for path, first, end in partition.items if partition else ():
-                with self._open(path) as file:
-                    document = open_document(file)
-                    for n in range(first, len(document) if end is None else end):  # one page in memory at a time
-                        row = (doc_id(path), n, *document.page(n))
-                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _PAGES.types, strict=True)], schema=_PAGES)
+
+            def rows() -> Iterator[tuple]:
+                for path, first, end in partition.items if partition else ():
+                    with self._open(path) as file:
+                        document = open_document(file)
+                        for n in range(first, len(document) if end is None else end):  # rendered one after the other
+                            yield doc_id(path), n, *document.page(n)
+
+            yield from batched(rows())
 
     return PdfPages
 

@@ -45,6 +45,25 @@ def test_ranges():
     assert [p.items for p in parts] == [(("a", 0, 2),), (("a", 2, 4),), (("a", 4, 5),), (("b", 0, None),), (("c", 0, None), ("d", 0, None))]
 
 
+def test_few_tasks_for_many_ranges(spark, tmp_path):
+    """No more tasks than ``most_tasks``, and the same pages in their order."""
+    parts = [pdf.Pages(((str(i), 0, None),)) for i in range(10)]
+    assert [len(p.items) for p in pdf.together(parts, 4)] == [2, 3, 2, 3] and sum((p.items for p in pdf.together(parts, 4)), ()) == sum((p.items for p in parts), ())
+    assert pdf.together(parts, 10) == parts and pdf.together([], 10) == []
+    for i in range(1500):
+        (tmp_path / f"{i}.pdf").write_text(f"a{i}\nb{i}")
+    got = pdf.pages(spark, str(tmp_path), lambda: Lines, pages_per_task=1, whole_bytes=1)
+    assert got.rdd.getNumPartitions() == 1024  # of 3,000 ranges
+    assert {(r.doc_id, r.page_num, bytes(r.png).decode()) for r in got.collect()} == {(str(i), k, f"{'ab'[k]}{i}") for i in range(1500) for k in range(2)}
+
+
+def test_pages_go_in_small_batches():
+    rows = [("d", i, 1, 1, b"x" * n) for i, n in enumerate([10, 10, pdf.BATCH_BYTES - 20, 1, 3 * pdf.BATCH_BYTES, 5, *[0] * 300])]
+    got = list(pdf.batched(rows))
+    assert [b.num_rows for b in got] == [3, 1, 1, 256, 45] and [r["page_num"] for b in got for r in b.to_pylist()] == list(range(306))
+    assert list(pdf.batched([])) == []
+
+
 def tree(folder):
     return sorted(os.path.relpath(os.path.join(home, name), folder) for home, _, names in os.walk(folder) for name in names)
 
