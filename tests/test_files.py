@@ -93,6 +93,16 @@ def test_written_documents(spark, tmp_path):
     assert [f for f in tree(out) if f.startswith("a/")] == ["a/a.md", "a/a_markdown.zip", "a/notes.txt"] and (out / "a" / "a.md").read_bytes() == b"new"
 
 
+def test_only_folders_that_hold_files(spark, tmp_path):
+    """No folder for pictures of a document that has none, and staged files in a folder for each task; names may have folders of their own."""
+    rows = content(spark, [("a", "a.md", "x"), ("b", "images/p.png", "y"), ("b", "deep/er/n", "z")]).repartition(3)
+    sink.stage(rows, f"{tmp_path}/o/_staging-1")
+    homes = [os.path.dirname(r.staged) for r in spark.read.parquet(f"{tmp_path}/o/_staging-1/manifest").collect()]
+    assert len(set(homes)) == spark.read.parquet(f"{tmp_path}/o/_staging-1/manifest").select(F.input_file_name()).distinct().count()
+    sink.publish(spark, f"{tmp_path}/o/_staging-1", f"{tmp_path}/o")
+    assert sorted(os.path.relpath(home, tmp_path / "o") for home, _, _ in os.walk(tmp_path / "o")) == [".", "a", "b", "b/deep", "b/deep/er", "b/images"]
+
+
 def test_odd_rows_to_files(spark, tmp_path):
     rows = [("a", "x", "1"), ("a", "x", "2"), ("a", "x", "1"), ("b", "y", None), (None, "n", "1"), ("", "n", "1"), ("c", "", "1"), ("c", None, "1")]
     sink.write(content(spark, rows).repartition(3), f"file://{tmp_path}/o")
