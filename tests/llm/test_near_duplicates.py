@@ -295,6 +295,43 @@ def test_alike_lines_are_few_rows(spark):
     assert {r.id for r in line_dedup.near_lines(texts, share=20).collect()} == want
 
 
+def test_pairs_in_passes(spark, monkeypatch):
+    """Groups of several blocks whose letters and texts are compared in many passes: the pairs and near lines of one pass, each pass a part of them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(3, 8))) for _ in range(40)]
+    data = []
+    for i in range(60):
+        text = list(words)
+        for at in rng.sample(range(40), rng.randint(1, 6)):
+            text[at] = "".join(rng.sample(text[at], len(text[at])))
+        data.append((i, " ".join(text)))
+    texts = spark.createDataFrame(data, "id long, text string").withColumn("n", F.char_length("text"))
+    of = line_dedup.classed(texts, 20)
+    links = line_dedup._links(line_dedup.classed_posts(of, line_dedup._units(of)))
+    marks = texts.select("id", F.struct("n", line_dedup.letters(F.col("text")).alias("letters")).alias("of"))
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    pairs = lambda: sorted((r.a, r.b) for r in line_dedup._later_pairs(links, texts.select("id").limit(0), marks, 2, 20).collect())
+    whole, near = pairs(), {r.id for r in line_dedup.near_lines(texts, share=20).collect()}
+    made, stored = [], line_dedup.stored
+
+    def noted(df, *codec):
+        out = stored(df, *codec)
+        made.append((df.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    for name, value in (("PASS_ROWS", 3), ("LEAST_ROWS", 1), ("PASS_PAIRS", 3), ("LEAST_PAIRS", 1)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert pairs() == whole
+    passes = [n for columns, n in made if columns == ["a", "b"]][:-1]
+    assert len(passes) > 2 and sum(passes) >= len(whole) > max(passes)
+    assert {r.id for r in line_dedup.near_lines(texts, share=20).collect()} == near
+    want = {b for b, t in data if any(banded_at_most(t, u, max(2, min(len(t), len(u)) // 20)) for _, u in data[:b])}
+    assert near == want
+
+
 def test_stages_equal_brute_force(spark):
     """Line dedup, n-gram join, mixing and encoding in sequence, each step of it written out plainly."""
     import corpus_pipeline
